@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _sql(value) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else repr(value)
+
+
 def lookup(table: dict, key: Column) -> Column:
     """A literal map lookup; null when the key is absent."""
-    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    entries = ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items())
+    return F.element_at(F.expr(f"map({entries})"), key)
 
 
 def clamp(value: Column, low: float, high: float) -> Column:

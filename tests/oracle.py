@@ -78,6 +78,7 @@ def main() -> None:
     parser.add_argument("-s", default="0.01")
     parser.add_argument("-b", default="")
     parser.add_argument("--slow", type=float, default=3.0)
+    parser.add_argument("--limit", type=float, default=60.0)
     args = parser.parse_args()
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
@@ -94,7 +95,7 @@ def main() -> None:
     bad = 0
     names = [n for n in queries if not args.names or any(n.startswith(p.rstrip("*")) if p.endswith("*") else n == p for p in args.names)]
     for name in names:
-        faulthandler.dump_traceback_later(60, exit=True)
+        faulthandler.dump_traceback_later(args.limit, exit=True)
         started = time.time()
         try:
             left = queries[name](spark, sf_dir).toPandas()
