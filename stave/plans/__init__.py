@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ["chord_queries", "timeline_queries", "catalog_queries", "quality_queries", "signal_queries"]
+MODULES = [
+    "chord_queries", "timeline_queries", "catalog_queries", "quality_queries", "signal_queries", "stream_queries",
+]
 
 
 def load() -> None:

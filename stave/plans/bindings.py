@@ -454,7 +454,7 @@ class Tables:
                 F.concat("track_id", F.lit("-"), F.floor(F.col("block_no") / 64)).alias("track_id"),
                 (F.col("block_no") % 64).alias("block_no"), code.alias("code"),
             )
-            flipped = F.col("code").bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), (F.col("block_no") % 32).cast("int")))
+            flipped = F.col("code").bitwiseXOR(F.expr("shiftleft(1L, cast(block_no % 32 AS int))"))
             both = items.select("track_id", "block_no", "code").unionByName(
                 items.select(F.concat("track_id", F.lit("x")).alias("track_id"), "block_no", flipped.alias("code")))
             return both.groupBy("track_id").agg(

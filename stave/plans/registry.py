@@ -39,8 +39,8 @@ def compose(sql: str, recursive: bool = False) -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function of (tables) as query ``name`` with its oracle."""
+def query(name: str, sql: str | None = None, same_as: str | None = None):
+    """Register a function of (tables) as query ``name`` with its oracle, or that of its batch twin."""
 
     def wrap(fn):
         from stave.plans.bindings import Tables
@@ -54,6 +54,8 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = compose(sql)
+        elif same_as is not None:
+            ORACLES[name] = ORACLES[same_as]
         return fn
 
     return wrap
