@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,59 +148,46 @@ def homogenize_beats(beats: DataFrame, mode: str = "auto") -> DataFrame:
         return source.select("track_id", "beat_s", "is_downbeat")
     source = staged(source, "beats")
     hot = hot_keys(source, ["track_id"], "beat_s")
-    intervals = staged(with_intervals(source, hot), "intervals")
+    # a beat counts as downbeat when one lies within a millisecond
+    mark = {"_m": F.when(F.col("is_downbeat"), F.col("beat_s"))}
+    marked = annotate(source, ["track_id"], ["beat_s"], last={"_l": mark["_m"]}, upcoming={"_u": mark["_m"]}, hot=hot)
+    close = F.least(F.col("beat_s") - F.col("_l"), F.col("_u") - F.col("beat_s")) <= SAME_TIME
+    flagged = marked.select("track_id", "beat_s", F.coalesce(close, F.lit(False)).alias("down"))
+    lane = staged(annotate(
+        flagged, ["track_id"], ["beat_s"], ordinal="beat_idx",
+        lead={"next_s": F.col("beat_s"), "next_down": F.col("down")}, lag={"came_s": F.col("beat_s")}, hot=hot,
+    ), "lane")
+    intervals = lane.where(F.col("next_s").isNotNull()).withColumn("interval_s", F.col("next_s") - F.col("beat_s"))
     aimed = intervals.join(target_interval(intervals, mode), "track_id", "left")
-    flagged = staged(_flag_runs(_flag_runs(aimed, 0.5, "_d", hot), 2.0, "_s", hot), "runs")
-    kept_d = _kept_runs(flagged, "_d").select("track_id", "_d", F.lit(True).alias("dense"))
-    kept_s = _kept_runs(flagged, "_s").select("track_id", "_s", F.lit(True).alias("sparse"))
-    marked = flagged.join(kept_d, ["track_id", "_d"], "left").join(kept_s, ["track_id", "_s"], "left").select(
-        "track_id", "beat_idx", "beat_s", "next_s", "target_s", "is_downbeat",
+    runs = staged(_flag_runs(_flag_runs(aimed, 0.5, "_d", hot), 2.0, "_s", hot), "runs")
+    kept_d = _kept_runs(runs, "_d").select("track_id", "_d", F.lit(True).alias("dense"))
+    kept_s = _kept_runs(runs, "_s").select("track_id", "_s", F.lit(True).alias("sparse"))
+    judged = runs.join(kept_d, ["track_id", "_d"], "left").join(kept_s, ["track_id", "_s"], "left").select(
+        "track_id", "beat_idx", "beat_s", "down", "next_s", "next_down", "came_s", "target_s",
         F.coalesce("dense", F.lit(False)).alias("dense"), F.coalesce("sparse", F.lit(False)).alias("sparse"),
     )
-    flags = {"_pd": F.col("dense"), "_ps": F.col("sparse"), "_pb": F.col("beat_s")}
-    seen = annotate(marked, ["track_id"], ["beat_s"], lag=flags, lead={"next_down": F.col("is_downbeat")}, hot=hot)
-    seen = annotate(seen, ["track_id"], ["beat_s"], lag={"_ppd": F.col("_pd")}, hot=hot)
-    # state is known before interval i when intervals i-1 and i-2 are not dense (or i is the first)
-    known = (F.col("beat_idx") == 0) | (
-        ~F.coalesce("_pd", F.lit(False)) & ~F.coalesce("_ppd", F.lit(False))
-    )
+    # before interval i the state is known when intervals i-1 and i-2 are not dense, or i is the first
+    before = {"was_dense": F.col("dense"), "was_sparse": F.col("sparse")}
+    seen = annotate(judged, ["track_id"], ["beat_s"], lag=before, hot=hot)
+    seen = annotate(seen, ["track_id"], ["beat_s"], lag={"_ppd": F.col("was_dense")}, hot=hot)
+    no = F.lit(False)
+    known = (F.col("beat_idx") == 0) | (~F.coalesce("was_dense", no) & ~F.coalesce("_ppd", no))
     cut = staged(annotate(
         seen.withColumn("_k", F.when(known, 1).otherwise(0)), ["track_id"], ["beat_s"], running={"seg": F.col("_k")}, hot=hot
     ), "stretches")
-    touched = cut.groupBy("track_id", "seg").agg(F.max("dense").alias("any_dense"))
-    marked = cut.join(touched, ["track_id", "seg"])
-    # the last beat has no interval of its own, so its flag is looked up among the source beats
-    downs = source.where("is_downbeat").select("track_id", "beat_s")
-    plain = marked.where(~F.col("any_dense")).select(
-        "track_id",
-        F.explode(F.when(
-            F.col("sparse"), F.array(F.col("beat_s") + (F.col("next_s") - F.col("beat_s")) / 2, F.col("next_s"))
-        ).otherwise(F.array("next_s"))).alias("out_s"),
-    )
-    rows = marked.where("any_dense")
-    rows = nearby_downbeat(rows, downs, "next_s", "next_down")
-    rows = nearby_downbeat(rows, downs, "beat_s", "is_downbeat")
-    folded = rows.groupBy("track_id", "seg").applyInPandas(_thin, "track_id string, out_s double, replaces double")
-    firsts = source.groupBy("track_id").agg(F.min("beat_s").alias("out_s"))
-    made = firsts.unionByName(plain).unionByName(folded.select("track_id", "out_s"))
-    # a downbeat may take the place of a beat emitted before the stretch began
-    replaced = folded.where(F.col("replaces").isNotNull()).select("track_id", F.col("replaces").alias("out_s"))
-    out = made.join(replaced, ["track_id", "out_s"], "left_anti").where(~F.isnan("out_s")).withColumnRenamed("out_s", "beat_s")
-    return nearby_downbeat(out, downs, "beat_s", "is_downbeat")
-
-
-def nearby_downbeat(df: DataFrame, downs: DataFrame, time: str, out: str) -> DataFrame:
-    """Flag rows with a downbeat within 1 ms, by equi-join on 2 ms bins and their neighbours."""
-    names = [n for n in df.columns if n != out]
-    bins = downs.select("track_id", F.col("beat_s").alias("_db")).withColumn(
-        "_bin", F.explode(F.array(*[F.floor(F.col("_db") / 0.002) + d for d in (-1, 0, 1)]))
-    )
-    tagged = df.select(*names).withColumn("_bin", F.floor(F.col(time) / 0.002)).withColumn("_row", F.col(time))
-    near = (
-        tagged.select("track_id", "_bin", "_row").distinct().join(bins, ["track_id", "_bin"])
-        .where(F.abs(F.col("_db") - F.col("_row")) <= SAME_TIME).select("track_id", "_row").distinct().withColumn("_hit", F.lit(True))
-    )
-    return tagged.join(near, ["track_id", "_row"], "left").select(*names, F.coalesce("_hit", F.lit(False)).alias(out))
+    touched = cut.where("dense").select("track_id", "seg").distinct()
+    out = F.struct(F.col("next_s").alias("beat_s"), F.col("next_down").alias("is_downbeat"))
+    middle = F.struct((F.col("beat_s") + (F.col("next_s") - F.col("beat_s")) / 2).alias("beat_s"), no.alias("is_downbeat"))
+    plain = cut.join(touched, ["track_id", "seg"], "left_anti").select(
+        "track_id", F.inline(F.when(F.col("sparse"), F.array(middle, out)).otherwise(F.array(out))))
+    folded = staged(
+        cut.join(touched, ["track_id", "seg"], "left_semi").groupBy("track_id", "seg").applyInPandas(
+            _thin, "track_id string, beat_s double, is_downbeat boolean, replaces double"), "thinned")
+    firsts = lane.where("beat_idx = 0").select("track_id", "beat_s", F.col("down").alias("is_downbeat"))
+    made = firsts.unionByName(plain).unionByName(folded.where("beat_s IS NOT NULL").drop("replaces"))
+    # a downbeat may take the place of a beat emitted before its stretch began
+    replaced = folded.where("replaces IS NOT NULL").select("track_id", F.col("replaces").alias("beat_s"))
+    return made.join(replaced, ["track_id", "beat_s"], "left_anti")
 
 
 def _thin(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -210,40 +195,37 @@ def _thin(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = pdf.sort_values("beat_s")
     first = rows.iloc[0]
     target = float(first["target_s"])
-    last, last_down = float(first["beat_s"]), bool(first["is_downbeat"])
+    last, last_down = float(first["beat_s"]), bool(first["down"])
     before = None
     if first["beat_idx"] > 0:
-        came = float(first["_pb"])
-        before = came + (last - came) / 2 if first["_ps"] else came
+        came = float(first["came_s"])
+        before = came + (last - came) / 2 if first["was_sparse"] else came
     kept, replaced = [], None
     for row in rows.itertuples():
         beat, down = float(row.next_s), bool(row.next_down)
         if row.dense:
-            prefer = down and not last_down and (
-                before is None or target * LOW <= beat - before <= target * HIGH
-            )
-            if prefer:
+            fits = before is None or target * LOW <= beat - before <= target * HIGH
+            if down and not last_down and fits:
                 if kept:
-                    kept[-1] = beat
+                    kept.pop()
                 else:
                     replaced = last
-                    kept.append(beat)
-                last, last_down = beat, down
             elif beat - last >= target * LOW:
-                kept.append(beat)
-                before, last, last_down = last, beat, down
-            continue
-        if row.sparse:
-            middle = last + (beat - last) / 2
-            kept.append(middle)
-            last = middle
-        kept.append(beat)
-        before, last, last_down = last, beat, down
-    out = pd.DataFrame({"track_id": first["track_id"], "out_s": kept or [float("nan")], "replaces": float("nan")})
-    if replaced is not None:
-        out.loc[0, "replaces"] = replaced
-    out["replaces"] = out["replaces"].astype(object).where(out["replaces"].notna(), None)
-    return out
+                before = last
+            else:
+                continue
+        else:
+            if row.sparse:
+                last = last + (beat - last) / 2
+                kept.append((last, False))
+            before = last
+        kept.append((beat, down))
+        last, last_down = beat, down
+    count = max(1, len(kept))
+    return pd.DataFrame({
+        "track_id": [first["track_id"]] * count, "beat_s": [k[0] for k in kept] or [None], "is_downbeat": [k[1] for k in kept] or [None],
+        "replaces": [replaced] + [None] * (count - 1),
+    })
 
 
 def homogenized_bpm(homogenized: DataFrame) -> DataFrame:

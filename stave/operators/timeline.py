@@ -38,8 +38,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], axis: str) -> DataFrame | None:
     """
     hot = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(axis).alias("_lo"), F.max(axis).alias("_hi"))
-        .where(F.col("_n") > block_rows(df.sparkSession))
+        .agg(F.count(F.lit(1)).alias("_hot_n"), F.min(axis).alias("_hot_lo"), F.max(axis).alias("_hot_hi"))
+        .where(F.col("_hot_n") > block_rows(df.sparkSession))
     )
     found = hot.limit(MAX_BROADCAST_HOT_KEYS + 1).count()
     if found == 0:
@@ -49,13 +49,13 @@ def hot_keys(df: DataFrame, keys: Sequence[str], axis: str) -> DataFrame | None:
 
 def _with_blocks(df: DataFrame, keys: Sequence[str], axis: str, hot: DataFrame) -> DataFrame:
     """Add ``_blk``: the block along the axis for hot keys, null for others."""
-    blocks = F.ceil(F.col("_n") / F.lit(block_rows(df.sparkSession)))
-    span = F.col("_hi") - F.col("_lo")
-    position = F.floor((F.col(axis) - F.col("_lo")) * blocks / F.when(span > 0, span))
+    blocks = F.ceil(F.col("_hot_n") / F.lit(block_rows(df.sparkSession)))
+    span = F.col("_hot_hi") - F.col("_hot_lo")
+    position = F.floor((F.col(axis) - F.col("_hot_lo")) * blocks / F.when(span > 0, span))
     block = F.when(
-        F.col("_n").isNotNull(), F.coalesce(F.greatest(F.lit(0), F.least(blocks - 1, position)), F.lit(0)).cast("bigint")
+        F.col("_hot_n").isNotNull(), F.coalesce(F.greatest(F.lit(0), F.least(blocks - 1, position)), F.lit(0)).cast("bigint")
     )
-    return df.join(hot, list(keys), "left").withColumn("_blk", block).drop("_n", "_lo", "_hi")
+    return df.join(hot, list(keys), "left").withColumn("_blk", block).drop("_hot_n", "_hot_lo", "_hot_hi")
 
 
 def annotate(

@@ -498,9 +498,22 @@ def meter_history(t):
     return T.meter_history(t.levels).select("track_id", "event_id", r6("level"), r6("held_peak"))
 
 
-@query("stem_eta")
+@query("stem_eta", """
+WITH RECURSIVE base AS MATERIALIZED (SELECT job_id, ts_ms, seq, profile, greatest(1, duration_s) AS d, stage, completed, total, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms, seq) AS i FROM v_progress),
+o AS MATERIALIZED (SELECT *, CASE stage WHEN 'checkingCache' THEN 2 WHEN 'loadingModel' THEN lm WHEN 'loadingAudio' THEN la WHEN 'separating' THEN sp WHEN 'writingStems' THEN wr WHEN 'validatingStems' THEN va ELSE ca END AS cur,
+    CASE stage WHEN 'checkingCache' THEN lm + la + sp + wr + va + ca WHEN 'loadingModel' THEN la + sp + wr + va + ca WHEN 'loadingAudio' THEN sp + wr + va + ca WHEN 'separating' THEN wr + va + ca WHEN 'writingStems' THEN va + ca WHEN 'validatingStems' THEN ca ELSE 0 END AS later,
+    2 + lm + la + sp + wr + va + ca AS whole
+  FROM (SELECT *, CASE profile WHEN 'hq' THEN 14 ELSE 9 END AS lm, greatest(2, d * 15e-3) AS la, CASE profile WHEN 'hq' THEN greatest(75, d * 15e-1) ELSE greatest(28, d * 35e-2) END AS sp, greatest(3, d * 25e-3) AS wr, greatest(3, d * 2e-2) AS va, greatest(2, d * 15e-3) AS ca FROM base)),
+w AS (SELECT job_id, 0::BIGINT AS i, NULL::BIGINT AS seq, 'checkingCache' AS stage, ts_ms AS began, 0::BIGINT AS first_n, NULL::DOUBLE AS pace, whole::DOUBLE AS remaining, ts_ms AS seen FROM o WHERE i = 1
+  UNION ALL SELECT job_id, i, seq, stage, CASE WHEN same THEN began ELSE ts_ms END, CASE WHEN same THEN first_n ELSE coalesce(completed, 0) END, CASE WHEN same THEN np END,
+    CASE WHEN NOT same THEN cur + later ELSE least(7200, greatest(0, CASE WHEN np IS NULL THEN raw ELSE greatest(0, remaining - (ts_ms - seen) / 1e3) * 35e-2 + raw * 65e-2 END)) END, ts_ms
+  FROM (SELECT *, CASE WHEN np IS NOT NULL AND total IS NOT NULL AND completed IS NOT NULL THEN np * greatest(0, total - completed) ELSE greatest(0, cur - elapsed) END + later AS raw FROM (
+    SELECT *, CASE WHEN total IS NOT NULL AND completed IS NOT NULL AND completed - first_n > 0 AND elapsed >= 5e-1 THEN CASE WHEN pace IS NULL THEN elapsed / (completed - first_n) ELSE pace * 65e-2 + elapsed / (completed - first_n) * 35e-2 END ELSE pace END AS np
+    FROM (SELECT o.*, w.began, w.first_n, w.pace, w.remaining, w.seen, o.stage = w.stage AS same, greatest(0, (o.ts_ms - w.began) / 1e3) AS elapsed FROM w JOIN o ON o.job_id = w.job_id AND o.i = w.i + 1)))
+  )
+SELECT job_id, seq, round(remaining, 3) AS remaining_s, greatest(1, floor(remaining + 5e-1))::INT AS shown_s FROM w WHERE i > 0""")
 def stem_eta(t):
-    return T.stem_eta(t.progress).select("job_id", "seq", r6("remaining_s"), "shown_s")
+    return T.stem_eta(t.progress).select("job_id", "seq", F.round("remaining_s", 3).alias("remaining_s"), "shown_s")
 
 
 @query("progress_sanity", "SELECT job_id, seq, CASE WHEN total IS NOT NULL AND completed <= total THEN completed ELSE -1 END AS completed, coalesce(total, -1)::BIGINT AS total FROM v_progress")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from stave.functions import scalars as S
@@ -14,6 +16,7 @@ from stave.plans.chord_queries import r6
 from stave.plans.registry import query, view
 from stave.sinks import tables as TB
 from stave.sources import manifests as MF
+from stave.sources import wav as WV
 
 RATE, BLOCK = 4000, 64
 
@@ -312,6 +315,45 @@ def manifest_children(t):
     return marks.unionByName(stems).unionByName(bad)
 
 
+def wav_files(t):
+    """WAV files written from the block table: one per 64 blocks of a track, odd ones as 16-bit integers."""
+    import struct
+
+    from stave.session import new_dir
+
+    folder = new_dir(t.spark, "wav")
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        name, part = pdf["track_id"].iloc[0], int(pdf["part"].iloc[0])
+        x = np.concatenate(list(pdf.sort_values("block_no")["samples"])).astype("<f4")
+        wide = part % 2 == 0
+        body = x.tobytes() if wide else np.clip(np.round(x * 32768), -32768, 32767).astype("<i2").tobytes()
+        size = 4 if wide else 2
+        head = b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 3 if wide else 1, 1, RATE, RATE * size, size, size * 8) + b"data" + struct.pack("<I", len(body))
+        target = f"{folder}/{name}-{part}.wav"
+        local = fs.LocalFileSystem() if "://" not in target else None
+        system, inner = (local, target) if local else fs.FileSystem.from_uri(target)
+        system.create_dir(folder if local else inner.rsplit("/", 1)[0])
+        with system.open_output_stream(inner) as out:
+            out.write(head + body)
+        return pd.DataFrame({"path": [target]})
+
+    grouped = t.blocks.select("track_id", "block_no", "samples", F.floor(F.col("block_no") / 64).alias("part"))
+    grouped.groupBy("track_id", "part").applyInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("scan_wav_blocks", """
+SELECT track_id || '-' || part AS file, i // 1000 AS block_no, count(*) AS n, round(sum(CASE WHEN part % 2 = 0 THEN x ELSE greatest(-32768, least(32767, round_even(x * 32768, 0))) / 32768 END), 6) AS total
+FROM (SELECT track_id, block_no // 64 AS part, (block_no % 64) * 64 + k AS i, samples[k + 1]::DOUBLE AS x FROM v_blocks, range(64) g(k)) GROUP BY ALL""")
+def scan_wav_blocks(t):
+    blocks = WV.scan_wav_blocks(WV.wav_metadata(t.spark, wav_files(t)), block_frames=1000)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return blocks.select(F.regexp_extract("path", r"([^/]*)\.wav$", 1).alias("file"), "block_no", F.size("samples").cast("bigint").alias("n"), F.round(total, 6).alias("total"))
+
+
 @query("write_tables", "SELECT track_id, beat_idx, beat_s FROM v_raw")
 def write_tables(t):
     from stave.session import new_dir

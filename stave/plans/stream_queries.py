@@ -52,9 +52,10 @@ def stream_job_summary(t):
     return run_append(R.job_summary(rows), "stream_jobs")
 
 
-@query("stream_eta")
+@query("stream_eta", same_as="stem_eta")
 def stream_eta(t):
-    return run_append(R.stem_eta(stream(t, "progress", t.progress)), "stream_eta").select("job_id", "seq", r6("remaining_s"), "shown_s")
+    return run_append(R.stem_eta(stream(t, "progress", t.progress)), "stream_eta").select(
+        "job_id", "seq", F.round("remaining_s", 3).alias("remaining_s"), "shown_s")
 
 
 @query("stream_meter", same_as="meter_history")

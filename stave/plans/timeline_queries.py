@@ -59,17 +59,48 @@ def tempo_anomaly_runs(t):
         "track_id", "ratio", "first_interval", "n_intervals", r6("span_s"))
 
 
-@query("homogenize_beats")
+view("v_flags", f"""
+WITH f AS (SELECT i.*, r AS ratio, dominant_s, interval_s >= dominant_s * r * {LOW} AND interval_s <= dominant_s * r * {HIGH} AS near FROM v_intervals i JOIN v_dominant USING (track_id), (VALUES (5e-1), (2e0)) v(r)),
+g AS (SELECT *, beat_idx - row_number() OVER (PARTITION BY track_id, ratio ORDER BY beat_idx) AS island FROM f WHERE near),
+k AS (SELECT track_id, ratio, beat_idx, count(*) OVER x >= 3 AND sum(interval_s) OVER x >= dominant_s * 4 AS ok FROM g WINDOW x AS (PARTITION BY track_id, ratio, island))
+SELECT i.track_id, i.beat_idx, i.beat_s, i.beat_s + 0e0 AS from_s, n.beat_s AS to_s, dominant_s AS target,
+  EXISTS (SELECT 1 FROM k WHERE k.track_id = i.track_id AND k.beat_idx = i.beat_idx AND ratio < 1 AND ok) AS dense, EXISTS (SELECT 1 FROM k WHERE k.track_id = i.track_id AND k.beat_idx = i.beat_idx AND ratio > 1 AND ok) AS sparse,
+  EXISTS (SELECT 1 FROM v_beat_times d WHERE d.is_downbeat AND d.track_id = i.track_id AND abs(d.beat_s - i.beat_s) <= 1e-3) AS from_down, EXISTS (SELECT 1 FROM v_beat_times d WHERE d.is_downbeat AND d.track_id = i.track_id AND abs(d.beat_s - n.beat_s) <= 1e-3) AS to_down
+FROM v_intervals i JOIN v_dominant USING (track_id) JOIN (SELECT track_id, beat_s, row_number() OVER (PARTITION BY track_id ORDER BY beat_s) - 2 AS beat_idx FROM v_beat_times) n ON n.track_id = i.track_id AND n.beat_idx = i.beat_idx""")
+_HOMOGENIZED = f"""
+WITH RECURSIVE fl AS MATERIALIZED (SELECT * FROM v_flags),
+w AS (SELECT track_id, 0::BIGINT AS i, [from_s] AS out, from_s AS last_s, from_down AS last_down, NULL::DOUBLE AS prev_s FROM fl WHERE beat_idx = 0
+  UNION ALL SELECT track_id, i + 1, CASE WHEN NOT dense THEN CASE WHEN sparse THEN list_concat(out, [last_s + (to_s - last_s) / 2, to_s]) ELSE list_append(out, to_s) END
+      WHEN prefer THEN list_append(out[1:len(out) - 1], to_s) WHEN far THEN list_append(out, to_s) ELSE out END,
+    CASE WHEN NOT dense OR prefer OR far THEN to_s ELSE last_s END, CASE WHEN NOT dense OR prefer OR far THEN to_down ELSE last_down END,
+    CASE WHEN NOT dense THEN CASE WHEN sparse THEN last_s + (to_s - last_s) / 2 ELSE last_s END WHEN prefer THEN prev_s WHEN far THEN last_s ELSE prev_s END
+  FROM (SELECT w.*, to_s, to_down, dense, sparse, to_down AND NOT last_down AND (prev_s IS NULL OR to_s - prev_s BETWEEN target * {LOW} AND target * {HIGH}) AS prefer, to_s - last_s >= target * {LOW} AS far
+    FROM w JOIN fl ON fl.track_id = w.track_id AND fl.beat_idx = w.i)),
+h AS (SELECT track_id, unnest(out) AS beat_s FROM w QUALIFY i = max(i) OVER (PARTITION BY track_id))"""
+
+
+@query("homogenize_beats", f"""{_HOMOGENIZED}
+SELECT track_id, round(beat_s, 6) AS beat_s, EXISTS (SELECT 1 FROM v_beat_times d WHERE d.is_downbeat AND d.track_id = h.track_id AND abs(d.beat_s - h.beat_s) <= 1e-3) AS is_downbeat FROM h""")
 def homogenize_beats(t):
     return R.homogenize_beats(t.grid).select("track_id", r6("beat_s"), "is_downbeat")
 
 
-@query("homogenized_bpm")
+@query("homogenized_bpm", f"""{_HOMOGENIZED}
+SELECT track_id, count(*) AS n_beats, round(60 / median(g) FILTER (g > 0), 6) AS bpm FROM (SELECT track_id, lead(beat_s) OVER (PARTITION BY track_id ORDER BY beat_s) - beat_s AS g FROM h) GROUP BY ALL""")
 def homogenized_bpm(t):
     return R.homogenized_bpm(R.homogenize_beats(t.grid)).select("track_id", "n_beats", r6("bpm"))
 
 
-@query("local_bpm")
+@query("local_bpm", """
+WITH c AS (SELECT p.track_id, query_id, count(*) FILTER (beat_s < t_s) AS centre, count(*) AS n FROM v_positions p JOIN v_grid USING (track_id) GROUP BY ALL),
+b AS (SELECT query_id, g.beat_idx, g.beat_s, lead(g.beat_s) OVER (PARTITION BY query_id ORDER BY g.beat_idx) - g.beat_s AS gap
+  FROM c JOIN v_grid g ON g.track_id = c.track_id AND g.beat_idx BETWEEN greatest(0, centre - 4) AND least(n - 1, centre + 4)),
+m AS (SELECT query_id, list_sort(list(gap) FILTER (gap BETWEEN 2e-1 AND 2)) AS l FROM b GROUP BY ALL),
+s AS (SELECT b.*, l[len(l) // 2 + 1] AS med, coalesce(gap BETWEEN l[len(l) // 2 + 1] * 9e-1 AND l[len(l) // 2 + 1] * 11e-1, false) AS steady FROM b JOIN m USING (query_id)),
+r AS (SELECT *, sum(CASE WHEN steady THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY beat_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM s),
+k AS (SELECT query_id, coalesce(run, 0) AS run, count(*) AS n, min(beat_idx) AS f FROM r GROUP BY ALL),
+best AS (SELECT query_id, arg_min(run, struct_pack(a := -n, f := f)) AS run FROM k GROUP BY ALL)
+SELECT c.track_id, c.query_id, round(60 / nullif(regr_slope(beat_s, beat_idx), 0), 6) AS bpm FROM c LEFT JOIN best USING (query_id) LEFT JOIN r ON r.query_id = c.query_id AND coalesce(r.run, 0) = best.run GROUP BY ALL""")
 def local_bpm(t):
     return R.local_bpm(t.positions, t.grid, 1.0).select("track_id", "query_id", r6("bpm"))
 
