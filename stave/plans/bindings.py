@@ -100,6 +100,12 @@ class Tables:
 
         return self.stored("grid", build)
 
+    @property
+    def intervals(self) -> DataFrame:
+        from stave.operators.rhythm import distinct_beats, with_intervals
+
+        return self.stored("intervals", lambda: with_intervals(distinct_beats(self.grid)))
+
     @property
     def tracks(self) -> DataFrame:
         def build():
@@ -212,7 +218,7 @@ class Tables:
                 "query_id", "query", "search_index", F.lit("youtube").alias("provider"), F.to_json(row).alias("json")
             )
 
-        return self.stored("search_rows", build)
+        return self.stored("search_rows", build, files=8)
 
     @property
     def lyric_results(self) -> DataFrame:
@@ -235,6 +241,9 @@ class Tables:
     @property
     def import_texts(self) -> DataFrame:
         """Pasted texts: every document, and every page address in prose."""
+        return self.stored("import_texts", self._import_texts, files=8)
+
+    def _import_texts(self) -> DataFrame:
         docs = self.source("documents")
         half = F.floor(F.col("doc_id") / 2).cast("string")
         from_docs = docs.select(
@@ -295,19 +304,23 @@ class Tables:
                 ((F.col("doc_id") % 5 - 2) * 100).alias("offset_ms"), (F.size(lines) * 2500 + 5000).cast("bigint").alias("duration_ms"),
             )
 
-        return self.stored("lyric_texts", build)
+        return self.stored("lyric_texts", build, files=8)
 
     @property
-    def lyric_lines(self) -> DataFrame:
-        from stave.sources.lyrics import parse_lrc
+    def lyric_parsed(self) -> DataFrame:
+        from stave.sources.lyrics import parse_lrc_rows
+
+        return self.stored("lyric_parsed", lambda: parse_lrc_rows(self.lyric_texts))
 
-        return self.stored("lyric_lines", lambda: parse_lrc(self.lyric_texts)[0])
+    @property
+    def lyric_lines(self) -> DataFrame:
+        return self.lyric_parsed.drop("words")
 
     @property
     def lyric_words(self) -> DataFrame:
-        from stave.sources.lyrics import parse_lrc
+        from stave.sources.lyrics import lyric_words
 
-        return self.stored("lyric_words", lambda: parse_lrc(self.lyric_texts)[1])
+        return lyric_words(self.lyric_parsed)
 
     @property
     def lyric_docs(self) -> DataFrame:
@@ -406,7 +419,7 @@ class Tables:
                 (F.col("block_no") * 64).alias("first_frame"), F.lit(4000).alias("sample_rate"), F.col("embedding").alias("samples"), "vec_id",
             )
 
-        return self.stored("blocks", build)
+        return self.stored("blocks", build, files=8)
 
     @property
     def stereo(self) -> DataFrame:

@@ -206,7 +206,7 @@ def parsed(t):
 def ordered_candidates(t):
     """Candidates with their place in the whole batch, keys not yet unique across line and token."""
     seq = (F.col("line_no") * 100000 + F.col("token_no")).cast("bigint")
-    return t.stored("candidates", lambda: parsed(t).withColumn("seq", seq).withColumn("blocked", F.col("line_no") % 11 == 10))
+    return t.stored("candidates", lambda: parsed(t).withColumn("seq", seq).withColumn("blocked", F.col("line_no") % 11 == 10), files=8)
 
 
 view("v_ordered", "SELECT *, line_no * 100000 + token_no AS seq, line_no % 11 = 10 AS blocked FROM v_import")

@@ -44,7 +44,7 @@ def select_beat_source(t):
 
 @query("dominant_interval", "SELECT track_id, size::BIGINT AS size, round(dominant_s, 6) AS dominant_s FROM v_dominant")
 def dominant_interval(t):
-    return R.dominant_interval(R.with_intervals(R.distinct_beats(t.grid))).select("track_id", "size", r6("dominant_s"))
+    return R.dominant_interval(t.intervals).select("track_id", "size", r6("dominant_s"))
 
 
 @query("tempo_anomaly_runs", f"""
@@ -54,8 +54,7 @@ g AS (SELECT *, beat_idx - row_number() OVER (PARTITION BY track_id, ratio ORDER
 SELECT track_id, ratio, min(beat_idx) AS first_interval, count(*) AS n_intervals, round(sum(interval_s), 6) AS span_s
 FROM g GROUP BY track_id, ratio, island, dominant_s HAVING count(*) >= 3 AND sum(interval_s) >= dominant_s * 4""")
 def tempo_anomaly_runs(t):
-    intervals = R.with_intervals(R.distinct_beats(t.grid))
-    return R.tempo_anomaly_runs(intervals, R.target_interval(intervals)).select(
+    return R.tempo_anomaly_runs(t.intervals, R.target_interval(t.intervals)).select(
         "track_id", "ratio", "first_interval", "n_intervals", r6("span_s"))
 
 
