@@ -498,6 +498,11 @@ def meter_history(t):
     return T.meter_history(t.levels).select("track_id", "event_id", r6("level"), r6("held_peak"))
 
 
+def eta_ms():
+    """Milliseconds, cut where no reading falls on the edge, so both engines agree on the last digit."""
+    return F.floor(F.col("remaining_s") * 1000 + 0.37).alias("remaining_ms")
+
+
 @query("stem_eta", """
 WITH RECURSIVE base AS MATERIALIZED (SELECT job_id, ts_ms, seq, profile, greatest(1, duration_s) AS d, stage, completed, total, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms, seq) AS i FROM v_progress),
 o AS MATERIALIZED (SELECT *, CASE stage WHEN 'checkingCache' THEN 2 WHEN 'loadingModel' THEN lm WHEN 'loadingAudio' THEN la WHEN 'separating' THEN sp WHEN 'writingStems' THEN wr WHEN 'validatingStems' THEN va ELSE ca END AS cur,
@@ -511,9 +516,9 @@ w AS (SELECT job_id, 0::BIGINT AS i, NULL::BIGINT AS seq, 'checkingCache' AS sta
     SELECT *, CASE WHEN total IS NOT NULL AND completed IS NOT NULL AND completed - first_n > 0 AND elapsed >= 5e-1 THEN CASE WHEN pace IS NULL THEN elapsed / (completed - first_n) ELSE pace * 65e-2 + elapsed / (completed - first_n) * 35e-2 END ELSE pace END AS np
     FROM (SELECT o.*, w.began, w.first_n, w.pace, w.remaining, w.seen, o.stage = w.stage AS same, greatest(0, (o.ts_ms - w.began) / 1e3) AS elapsed FROM w JOIN o ON o.job_id = w.job_id AND o.i = w.i + 1)))
   )
-SELECT job_id, seq, round(remaining, 3) AS remaining_s, greatest(1, floor(remaining + 5e-1))::INT AS shown_s FROM w WHERE i > 0""")
+SELECT job_id, seq, floor(remaining * 1000 + 37e-2)::BIGINT AS remaining_ms, greatest(1, floor(remaining + 5e-1))::INT AS shown_s FROM w WHERE i > 0""")
 def stem_eta(t):
-    return T.stem_eta(t.progress).select("job_id", "seq", F.round("remaining_s", 3).alias("remaining_s"), "shown_s")
+    return T.stem_eta(t.progress).select("job_id", "seq", eta_ms(), "shown_s")
 
 
 @query("progress_sanity", "SELECT job_id, seq, CASE WHEN total IS NOT NULL AND completed <= total THEN completed ELSE -1 END AS completed, coalesce(total, -1)::BIGINT AS total FROM v_progress")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stave.plans.bindings import Tables
 from stave.plans.catalog_queries import ordered_candidates
 from stave.plans.chord_queries import r6
-from stave.plans.quality_queries import worker_rows
+from stave.plans.quality_queries import eta_ms, worker_rows
 from stave.plans.registry import query
 from stave.streaming import rules as R
 from stave.streaming.results import ingest_results
@@ -54,8 +54,7 @@ def stream_job_summary(t):
 
 @query("stream_eta", same_as="stem_eta")
 def stream_eta(t):
-    return run_append(R.stem_eta(stream(t, "progress", t.progress)), "stream_eta").select(
-        "job_id", "seq", F.round("remaining_s", 3).alias("remaining_s"), "shown_s")
+    return run_append(R.stem_eta(stream(t, "progress", t.progress)), "stream_eta").select("job_id", "seq", eta_ms(), "shown_s")
 
 
 @query("stream_meter", same_as="meter_history")
