@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stave.functions import music
@@ -58,9 +58,9 @@ def chord_statistics(chords: DataFrame) -> DataFrame:
             F.sum("span_s").alias("duration_s"), F.count(F.lit(1)).alias("occurrences"), F.max("strength").alias("strength")
         )
     )
-    # labels per track are few and already aggregated, so the total is a second aggregate over them
-    totals = per_label.groupBy("track_id").agg(F.sum("duration_s").alias("_total"))
-    return per_label.join(totals, "track_id").withColumn("share", F.col("duration_s") / F.col("_total")).drop("_total")
+    # one row per label of the chord vocabulary is left, so a track's window is small
+    total = F.sum("duration_s").over(Window.partitionBy("track_id"))
+    return per_label.withColumn("share", F.col("duration_s") / total)
 
 
 def chord_repertoire(chords: DataFrame) -> DataFrame:
