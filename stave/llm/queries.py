@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stave.llm.dart_minhash import op2_dart_minhash
 from stave.llm.substring_dedup import op10_substring_dedup
 from stave.llm.suffix_dedup import op7_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_dart_minhash": op2_dart_minhash,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
