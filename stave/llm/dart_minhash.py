@@ -116,7 +116,7 @@ def _bands(shingle: int, bands: int, rows: int) -> Callable:
                 flat = pa.array(keys.reshape(-1).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * bands + 1, bands, dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(n).slice(a, b - a) for n in ("_d", "_t", "_k")] + [pa.array(size), lists], ["_d", "_t", "_k", "_n", "_bands"])
+                    [batch.column(n).slice(a, b - a) for n in ("_d", "_t", "_k", "_x")] + [pa.array(size), lists], ["_d", "_t", "_k", "_x", "_n", "_bands"])
 
     return run
 
@@ -156,7 +156,7 @@ def _similar(threshold: float) -> Callable:
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
-                           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                           id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
     """One row per input row: id, ``class_id`` (the least id of its class), ``is_first``, ``n_texts`` (different texts in the class).
 
     A class is a connected component of the links between texts whose weighted Jaccard
@@ -169,11 +169,11 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY, shing
     and last all remaining pairs across components of one band. Texts without a word
     (null, empty, blanks) are classes of equal texts. Repeated rows share a class, of
     which one row is first. A null id comes first and gives a null class id. Other
-    columns are ignored.
+    columns are ignored. With ``tag_col`` the hash ``xxhash64`` of the text is added.
     """
     base = keyed(docs, id_col, text_col)
-    signed = step(base.withColumn("_k", F.unhex(F.md5("_text"))).mapInArrow(
-        _bands(shingle, bands, rows), "_d long, _t int, _k binary, _n long, _bands array<long>"), "darts")
+    signed = step(base.withColumns({"_k": F.unhex(F.md5("_text")), "_x": F.xxhash64("_text")}).mapInArrow(
+        _bands(shingle, bands, rows), "_d long, _t int, _k binary, _x long, _n long, _bands array<long>"), "darts")
     texts = signed.groupBy("_k").agg(F.min(F.struct("_d", "_t", "_n", "_bands")).alias("s"))
     texts = step(texts.select("_k", F.struct("s._d", "s._t").alias("node"), "s._n", "s._bands"), "texts")
     met = texts.where("_n > 0").select("node", "_n", F.posexplode("_bands").alias("_i", "_h"))
@@ -214,11 +214,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY, shing
     named = texts.join(roots, "node", "left").select("_k", F.coalesce("root", "node").alias("root"))
     counts = named.groupBy("root").agg(F.count(F.lit(1)).alias("n_texts"))
     named = named.join(counts, "root")
-    rows_named = signed.select("_d", "_t", "_k").join(named, "_k")
+    rows_named = signed.select("_d", "_t", "_k", "_x").join(named, "_k")
     least = F.col("root._d")
+    tag = [F.col("_x").alias(tag_col)] if tag_col else []
     out = rows_named.select(
         F.when(F.col("_d") != NULL_ID, F.col("_d")).alias(id_col), F.when(least != NULL_ID, least).alias("class_id"),
-        ((F.col("_d") == least) & (F.col("_t") == F.col("root._t"))).alias("is_first"), "n_texts")
+        ((F.col("_d") == least) & (F.col("_t") == F.col("root._t"))).alias("is_first"), "n_texts", *tag)
     return out
 
 
