@@ -191,40 +191,34 @@ def homogenize_beats(beats: DataFrame, mode: str = "auto") -> DataFrame:
 
 
 def _thin(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Thin one stretch: keep beats a target apart, preferring downbeats."""
+    """Thin one stretch: keep beats a target apart, preferring downbeats.
+
+    The beats kept so far are a pile of (time, downbeat). A beat outside dense runs goes
+    on top, above the middle that fills a sparse gap. One of a dense run takes the place of
+    a plain top if it is a downbeat a target after the beat below, or goes on top if it
+    is far enough from it, or is dropped.
+    """
     rows = pdf.sort_values("beat_s")
-    first = rows.iloc[0]
-    target = float(first["target_s"])
-    last, last_down = float(first["beat_s"]), bool(first["down"])
-    before = None
-    if first["beat_idx"] > 0:
-        came = float(first["came_s"])
-        before = came + (last - came) / 2 if first["was_sparse"] else came
-    kept, replaced = [], None
-    for row in rows.itertuples():
-        beat, down = float(row.next_s), bool(row.next_down)
-        if row.dense:
-            fits = before is None or target * LOW <= beat - before <= target * HIGH
-            if down and not last_down and fits:
-                if kept:
-                    kept.pop()
-                else:
-                    replaced = last
-            elif beat - last >= target * LOW:
-                before = last
-            else:
-                continue
-        else:
-            if row.sparse:
-                last = last + (beat - last) / 2
-                kept.append((last, False))
-            before = last
-        kept.append((beat, down))
-        last, last_down = beat, down
-    count = max(1, len(kept))
+    head, target = rows.iloc[0], float(rows["target_s"].iloc[0])
+    base = (float(head["beat_s"]), bool(head["down"]))
+    pile = [base]
+    if head["beat_idx"] > 0:
+        came = float(head["came_s"])
+        pile.insert(0, ((came + base[0]) / 2 if head["was_sparse"] else came, False))
+    settled = len(pile)
+    for time, down, dense, sparse in zip(rows["next_s"], rows["next_down"], rows["dense"], rows["sparse"]):
+        (top, top_down), below = pile[-1], pile[-2][0] if len(pile) > 1 else None
+        takes = dense and down and not top_down and (below is None or target * LOW <= time - below <= target * HIGH)
+        if takes:
+            pile[-1] = (float(time), True)
+        elif not dense or time - top >= target * LOW:
+            pile.extend([(top + (time - top) / 2, False)] * bool(sparse and not dense) + [(float(time), bool(down))])
+    # A downbeat may have taken the place of the beat the stretch began with.
+    swapped = pile[settled - 1] != base
+    made = pile[settled - swapped:] or [(None, None)]
     return pd.DataFrame({
-        "track_id": [first["track_id"]] * count, "beat_s": [k[0] for k in kept] or [None], "is_downbeat": [k[1] for k in kept] or [None],
-        "replaces": [replaced] + [None] * (count - 1),
+        "track_id": head["track_id"], "beat_s": [m[0] for m in made], "is_downbeat": [m[1] for m in made],
+        "replaces": [base[0] if swapped else None] + [None] * (len(made) - 1),
     })
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stave.functions import text as X
 from stave.functions.scalars import clamp
-from stave.operators.timeline import annotate, keep_last
+from stave.operators.timeline import annotate, asof, keep_last
 
 # Smoothing and metering constants.
 ALPHA = {"fast": 0.72, "medium": 0.38, "smooth": 0.18}
@@ -99,18 +99,43 @@ def _ordered(df: DataFrame, key: str, order: list[str], step, schema: str) -> Da
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
+FAR = 1e300
+
+
+def scan_maps(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Composes maps x -> min(high, max(low, a x + b)) with all before them in the array (a >= 0).
+
+    Such maps are closed under composition, so n of them take log2(n) vectorised rounds
+    and blocks of them can be folded apart. A constant map (a = 0) forgets what came before.
+    """
+    a, b, low, high = (np.array(x, np.float64) for x in (a, b, low, high))
+    reach = 1
+    while reach < len(a):
+        later, before = (a[reach:], b[reach:], low[reach:], high[reach:]), (a[:-reach], b[:-reach], low[:-reach], high[:-reach])
+        edges = [np.clip(later[0] * x + later[1], later[2], later[3]) for x in before[2:]]
+        a[reach:], b[reach:] = later[0] * before[0], later[0] * before[1] + later[1]
+        low[reach:], high[reach:] = edges
+        reach *= 2
+    return a, b, low, high
+
+
+def run_maps(start, a, b, low, high) -> np.ndarray:
+    """Values after each map, from ``start``."""
+    a, b, low, high = scan_maps(a, b, low, high)
+    return np.clip(a * start + b, low, high)
+
+
 def smooth_step(response: str):
     """Exponential smoothing of band arrays; the first frame seeds."""
     alpha = ALPHA[response]
 
     def step(state, part: pd.DataFrame):
-        out = []
-        for bands in part["bands"]:
-            values = np.asarray(bands, dtype=np.float64)
-            state = values if state is None else state + (values - state) * alpha
-            state = np.clip(state, 0.0, 1.0)
-            out.append(state)
-        return state, part[["track_id", "frame_no"]].assign(bands=out)
+        bands = np.stack([np.asarray(x, np.float64) for x in part["bands"]])
+        keep, gain = np.full(bands.shape, 1.0 - alpha), alpha * bands
+        if state is None:
+            keep[0], gain[0] = 0.0, bands[0]
+        made = run_maps(0.0 if state is None else state, keep, gain, np.zeros(bands.shape), np.ones(bands.shape))
+        return made[-1], part[["track_id", "frame_no"]].assign(bands=list(made))
 
     return step
 
@@ -121,33 +146,52 @@ def smooth_bands(spectra: DataFrame, response: str = "medium") -> DataFrame:
     return _ordered(rows, "track_id", ["frame_no"], smooth_step(response), "track_id string, frame_no bigint, bands array<double>")
 
 
-def meter_state(state, level: float, now: int, response: str, hold_ms: int) -> tuple:
-    """Next (level, held peak, held at, updated at) of a meter."""
-    before, peak, held_at, seen = state or (0.0, 0.0, 0, 0)
-    level = min(1.0, max(0.0, level))
-    elapsed = min(MAX_STEP_MS, max(0, now - seen)) if seen > 0 else 0
-    if level < before:
-        release = 1.0 - np.exp(-elapsed / RELEASE_MS[response]) if elapsed > 0 else 1.0
-        level = before + (level - before) * release
-    if hold_ms <= 0:
-        return level, 0.0, now, now
-    if level >= peak:
-        return level, level, now, now
-    if now - held_at <= hold_ms:
-        return level, peak, held_at, now
-    fallen = max(level, peak - elapsed * PEAK_FALL_PER_MS)
-    return level, fallen, now if fallen == level else held_at, now
+def meter_levels(readings: np.ndarray, gaps: np.ndarray, response: str, start: float) -> np.ndarray:
+    """Levels that jump up at once and fall back by an exponential share of each gap (all of it for no gap)."""
+    stay = np.where(gaps > 0, np.exp(-gaps / RELEASE_MS[response]), 0.0)
+    return run_maps(start, stay, (1.0 - stay) * readings, readings, np.full(len(readings), FAR))
+
+
+def held_peaks(levels: np.ndarray, at: np.ndarray, gaps: np.ndarray, hold_ms: int, peak: float, held_at: int) -> tuple[np.ndarray, int]:
+    """Peaks and the moment of the last one, going from peak to peak.
+
+    A peak stands for the hold time and then sinks evenly. Its line is laid over the
+    following readings; the first level on or above the line is the next peak.
+    """
+    out, i = np.empty(len(levels)), 0
+    while i < len(levels):
+        reach, sunk = 64, 0.0
+        while i < len(levels):
+            part = slice(i, i + reach)
+            line = peak - (sunk + np.cumsum(np.where(at[part] - held_at > hold_ms, gaps[part], 0.0))) * PEAK_FALL_PER_MS
+            over = np.flatnonzero(levels[part] >= line)
+            stop = over[0] if len(over) else len(line)
+            out[i: i + stop] = line[:stop]
+            i += stop
+            if len(over):
+                peak, held_at = levels[i], int(at[i])
+                out[i] = peak
+                i += 1
+                break
+            sunk, reach = (peak - line[-1]) / PEAK_FALL_PER_MS, reach * 2
+    return out, held_at
 
 
 def meter_step(response: str, hold_ms: int):
+    """State: level, peak, moment of the peak, moment of the last reading."""
+
     def step(state, part: pd.DataFrame):
-        shown = []
-        for row in part.itertuples():
-            state = meter_state(state, float(row.left), int(row.ts_ms), response, hold_ms)
-            shown.append(state[:2])
-        made = part[["track_id", "event_id"]].copy()
-        made["level"], made["held_peak"] = [s[0] for s in shown], [s[1] for s in shown]
-        return state, made
+        level, peak, held_at, seen = state or (0.0, 0.0, 0, 0)
+        at = part["ts_ms"].to_numpy(np.int64)
+        before = np.append(seen, at[:-1])
+        gaps = np.where(before > 0, np.clip(at - before, 0, MAX_STEP_MS), 0).astype(np.float64)
+        levels = meter_levels(np.clip(part["left"].to_numpy(np.float64), 0.0, 1.0), gaps, response, level)
+        if hold_ms > 0:
+            peaks, held_at = held_peaks(levels, at, gaps, hold_ms, peak, held_at)
+        else:
+            peaks, held_at = np.zeros(len(levels)), int(at[-1])
+        made = part[["track_id", "event_id"]].assign(level=levels, held_peak=peaks)
+        return (float(levels[-1]), float(peaks[-1]), held_at, int(at[-1])), made
 
     return step
 
@@ -179,40 +223,74 @@ def stage_prior(profile: str, duration: float, stage: str) -> tuple[float, float
     return seconds[at], sum(seconds[s] for s in later if s != "downloadingModel")
 
 
-def eta_state(state, profile: str, duration: float, stage: str, completed, total, now: int) -> tuple:
-    """Next (stage, started, first units, seconds per unit, remaining, updated) of an estimate."""
-    duration = max(1.0, duration)
-    if state is None:
-        current, later = stage_prior(profile, duration, "checkingCache")
-        state = ("checkingCache", now, 0, None, current + later, now)
-    known, started, first, pace, remaining, seen = state
-    current, later = stage_prior(profile, duration, stage)
-    if stage != known:
-        return stage, now, 0 if completed is None else completed, None, current + later, now
-    elapsed = max(0.0, (now - started) / 1000.0)
-    done = 0 if completed is None else completed - first
-    measurable = total is not None and completed is not None
-    if measurable and done > 0 and elapsed >= 0.5:
-        observed = elapsed / done
-        pace = observed if pace is None else pace * 0.65 + observed * 0.35
-    ahead = pace * max(0, total - completed) if pace is not None and measurable else max(0.0, current - elapsed)
-    raw = ahead + later
-    if pace is not None:
-        raw = max(0.0, remaining - (now - seen) / 1000.0) * 0.35 + raw * 0.65
-    return known, started, first, pace, min(7200.0, max(0.0, raw)), now
+MOST_SECONDS = 7200.0
+NEW_PACE, NEW_ESTIMATE = 0.35, 0.65
+LEAST_SECONDS = 0.5
 
 
 ETA = "job_id string, seq bigint, remaining_s double, shown_s int"
 
 
 def eta_rows(state, part: pd.DataFrame):
-    out = []
-    for row in part.itertuples():
-        done = None if pd.isna(row.completed) else int(row.completed)
-        total = None if pd.isna(row.total) else int(row.total)
-        state = eta_state(state, row.profile, float(row.duration_s), row.stage, done, total, int(row.ts_ms))
-        out.append((row.job_id, row.seq, state[4], int(max(1, np.floor(state[4] + 0.5)))))
-    return state, pd.DataFrame(out, columns=["job_id", "seq", "remaining_s", "shown_s"])
+    """Estimates after the reports of one job in order, and the state behind them.
+
+    State: stage, its start, its first count, seconds per unit, remaining seconds, last
+    moment. Each of pace and remaining time is a chain of maps, which stages and first
+    measurements cut.
+    """
+    at = part["ts_ms"].to_numpy(np.int64)
+    stage = part["stage"].to_numpy(object)
+    done, total = (part[n].astype("float64").to_numpy() for n in ("completed", "total"))
+    first_row = part.iloc[0]
+    priors = {x: stage_prior(first_row["profile"], max(1.0, float(first_row["duration_s"])), x) for x in {*stage, "checkingCache"}}
+    if state is None:
+        state = ("checkingCache", int(at[0]), 0, None, sum(priors["checkingCache"]), int(at[0]))
+    known, started, first, pace, remaining, seen = state
+    current, later = (np.array([priors[x][i] for x in stage]) for i in (0, 1))
+    enters = stage != np.append(known, stage[:-1])
+    # Of each row, the row that entered its stage, or -1 for the stage of the state.
+    entry = np.maximum.accumulate(np.where(enters, np.arange(len(at)), -1))
+    zeroed = np.nan_to_num(done)
+    elapsed = np.maximum(0.0, (at - np.where(entry >= 0, at[entry], started)) / 1000.0)
+    units = zeroed - np.where(entry >= 0, zeroed[entry], first)
+    counted = ~np.isnan(done) & ~np.isnan(total)
+    measured = counted & (units > 0) & (elapsed >= LEAST_SECONDS) & ~enters
+
+    number = np.cumsum(measured)
+    fresh = measured & (number - np.where(entry >= 0, number[entry], 0) == 1) & ((entry >= 0) | (pace is None))
+    observed = np.divide(elapsed, units, out=np.zeros(len(at)), where=measured)
+    keep = np.where(fresh, 0.0, np.where(measured, 1.0 - NEW_PACE, 1.0))
+    gain = np.where(fresh, observed, np.where(measured, NEW_PACE * observed, 0.0))
+    wide = np.full(len(at), FAR)
+    paces = run_maps(0.0 if pace is None else pace, keep, gain, -wide, wide)
+    paced = (number - np.where(entry >= 0, number[entry], 0) > 0) | ((entry < 0) & (pace is not None))
+
+    ahead = np.where(paced & counted, paces * np.maximum(0.0, np.nan_to_num(total) - zeroed), np.maximum(0.0, current - elapsed)) + later
+    fixed = enters | ~paced
+    gap = (at - np.append(seen, at[:-1])) / 1000.0
+    share = 1.0 - NEW_ESTIMATE
+    # The estimate before sinks with the time gone, though not below nothing.
+    low = np.where(fixed, 0.0, np.minimum(MOST_SECONDS, NEW_ESTIMATE * ahead))
+    slope = np.where(fixed, 0.0, share)
+    level = np.where(enters, current + later, np.where(fixed, np.clip(ahead, 0.0, MOST_SECONDS), NEW_ESTIMATE * ahead - share * gap))
+    left = run_maps(remaining, slope, level, low, np.where(enters, FAR, MOST_SECONDS))
+    out = part[["job_id", "seq"]].assign(remaining_s=left, shown_s=np.maximum(1, np.floor(left + 0.5)).astype(int))
+    end = entry[-1]
+    state = (stage[-1], started if end < 0 else int(at[end]), first if end < 0 else int(zeroed[end]), float(paces[-1]) if paced[-1] else None, float(left[-1]), int(at[-1]))
+    return state, out
+
+
+def remaining_shown(estimates: DataFrame, asked: DataFrame) -> DataFrame:
+    """Seconds to show for each look at a job (job_id, look_id, ts_ms, progress).
+
+    ``estimates``: job_id, seq, ts_ms, remaining_s. The last estimate counts down to the
+    look; none is shown before the first, or from progress .999 on.
+    """
+    at = F.col("ts_ms")
+    seen = asof(asked, estimates.select("job_id", "ts_ms", "seq", "remaining_s"), ["job_id"], at, at, ["remaining_s"], ties=["seq"], before="est")
+    left = F.col("est.remaining_s") - (at - F.col("est.t")) / 1000.0
+    shown = F.when(left.isNotNull() & (F.col("progress") < 0.999), F.greatest(F.lit(1), F.floor(left + 0.5)).cast("int"))
+    return seen.select("job_id", "look_id", shown.alias("shown_s"))
 
 
 def stem_eta(progress: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Known cases of the rules."""
 
+import math
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,25 +251,54 @@ def test_jobs_and_logs(spark):
     assert [tuple(r) for r in telemetry.progress_sanity(units).collect()] == [(4, 12), (None, None), (None, None), (None, None)]
 
 
-def test_eta_and_meter():
-    state = telemetry.eta_state(None, "fast", 240.0, "checkingCache", None, None, 0)
-    state = telemetry.eta_state(state, "fast", 240.0, "separating", 0, 20, 1000)
+def _reports(*rows):
+    return pd.DataFrame([("j", i, "fast", 240.0, *r) for i, r in enumerate(rows)], columns=["job_id", "seq", "profile", "duration_s", "stage", "completed", "total", "ts_ms"])
+
+
+def test_remaining_time():
+    rows = [("checkingCache", None, None, 0), ("separating", 0, 20, 1000), ("separating", 4, 20, 21000)]
+    state, _ = telemetry.eta_rows(None, _reports(*rows[:2]))
     assert state[3] is None
-    state = telemetry.eta_state(state, "fast", 240.0, "separating", 4, 20, 21000)
+    state, made = telemetry.eta_rows(None, _reports(*rows))
     assert state[3] == 5.0 and state[4] > 80
-    assert telemetry.eta_state(state, "fast", 240.0, "writingStems", None, None, 30000)[3] is None
-
-    def fall(steps):
-        now, s = 1000, telemetry.meter_state(None, .9, 1000, "medium", 0)
-        for step in steps:
-            now += step
-            s = telemetry.meter_state(s, .1, now, "medium", 0)
-        return s[0]
-
-    assert fall([33, 33, 33]) == pytest.approx(fall([99]))
-    held = telemetry.meter_state((.9, .9, 1000, 1000), .1, 1500, "medium", 1000)
-    assert held[1] == .9
-    assert telemetry.meter_state(held, .1, 2200, "medium", 1000)[1] < .9
+    split, first = telemetry.eta_rows(None, _reports(*rows[:2]))
+    split, second = telemetry.eta_rows(split, _reports(*rows)[2:])
+    assert split == state and [*first["remaining_s"], *second["remaining_s"]] == pytest.approx(list(made["remaining_s"]))
+    assert telemetry.eta_rows(state, _reports(("writingStems", None, None, 30000)))[0][3] is None
+
+
+def test_remaining_time_shown(spark):
+    made = spark.createDataFrame([("j", 1, 1000, 90.0), ("j", 2, 5000, 60.0)], "job_id string, seq bigint, ts_ms bigint, remaining_s double")
+    looks = spark.createDataFrame([("j", 1, 500, .1), ("j", 2, 3000, .2), ("j", 3, 9000, .5), ("j", 4, 9000, .999), ("j", 5, 99000, .9)], "job_id string, look_id int, ts_ms bigint, progress double")
+    assert {r.look_id: r.shown_s for r in telemetry.remaining_shown(made, looks).collect()} == {1: None, 2: 88, 3: 56, 4: None, 5: 1}
+
+
+def _meter(rows, hold_ms, state=None):
+    part = pd.DataFrame([("t", i, at, left) for i, (at, left) in enumerate(rows)], columns=["track_id", "event_id", "ts_ms", "left"])
+    return telemetry.meter_step("medium", hold_ms)(state, part)
+
+
+def test_meter():
+    assert _meter([(1000, .9), (1033, .1), (1066, .1), (1099, .1)], 0)[0][0] == pytest.approx(_meter([(1000, .9), (1099, .1)], 0)[0][0])
+    peaks = list(_meter([(1000, .9), (1500, .1), (2200, .1), (2300, .1), (2400, .95)], 1000)[1]["held_peak"])
+    assert peaks[:2] == [.9, .9] and peaks[2] == pytest.approx(.9 - 250 * .0008) and peaks[3] == pytest.approx(.9 - 350 * .0008) and peaks[4] == .95
+    rows = [(1000 + 37 * i, abs(((i * 7919) % 101) / 101 - (i % 13) / 26)) for i in range(400)]
+    whole = _meter(rows, 1000)[1]
+    state, parts = None, []
+    for low in range(0, 400, 61):
+        state, made = _meter(rows[low: low + 61], 1000, state)
+        parts.append(made)
+    cut = pd.concat(parts)
+    for name in ("level", "held_peak"):
+        assert list(cut[name]) == pytest.approx(list(whole[name]))
+    # each step by its rule
+    level, peak, held, seen = 0.0, 0.0, 0, 0
+    for (now, x), shown, top in zip(rows, whole["level"], whole["held_peak"]):
+        gap = min(250, now - seen) if seen else 0
+        level = x if x >= level else level + (x - level) * (1 - math.exp(-gap / 105))
+        fallen = peak if now - held <= 1000 else peak - .0008 * gap
+        peak, held, seen = (level, now, now) if level >= fallen else (fallen, held, now)
+        assert (shown, top) == (pytest.approx(level), pytest.approx(peak))
 
 
 def test_contracts(spark):
