@@ -258,7 +258,7 @@ def edits_upsert(chords: DataFrame, edits: DataFrame, requests: DataFrame) -> Da
 
 
 def segment_frame_scores(chords: DataFrame, frames: DataFrame, hop_s: float, width: int = 64) -> DataFrame:
-    """Mean probability of each segment's native class over its frames.
+    """Mean probability of each segment's native class over its frames, null for a segment without frames.
 
     ``frames``: track_id, frame, probs. Segments are spread over frame bins, the
     sums are made per bin and added up, so a long segment spreads over tasks.
@@ -276,8 +276,9 @@ def segment_frame_scores(chords: DataFrame, frames: DataFrame, hop_s: float, wid
     )
     binned = frames.withColumn("_bin", F.floor(F.col("frame") / width))
     hit = (F.col("frame") >= F.col("_first")) & (F.col("frame") < F.col("_last"))
-    return (
+    scores = (
         spans.join(binned, ["track_id", "_bin"]).where(hit)
         .groupBy("track_id", "idx")
         .agg(F.avg(F.element_at("probs", (F.col("_class") + 1).cast("int"))).alias("score"))
     )
+    return chords.select("track_id", "idx").join(scores, ["track_id", "idx"], "left")

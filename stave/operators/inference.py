@@ -59,7 +59,7 @@ def batch_infer(chunks: DataFrame, model: str, batch: int = 2) -> DataFrame:
                     except Exception as failure:  # noqa: BLE001
                         if len(part) > 1:
                             continue
-                        results = [(None, f"{type(failure).__name__}: {failure}"[:240])]
+                        results = [(None, f"{type(failure).__name__}: {failure}")]
                     outputs.extend(r[0] for r in results)
                     errors.extend(r[1] for r in results)
                     if len(part) == len(rows):
@@ -83,7 +83,8 @@ def overlap_add(blocks: DataFrame, model: str, chunk: int, overlaps: int = 4, ba
     when it is long enough; weights fade linearly over a tenth of a chunk, except
     at the outer ends, which is settled per batch of chunks. Every chunk is a row
     that gathers only its own blocks, and every output block sums the few chunks
-    over it.
+    over it. A block under a chunk that failed has null samples and the reasons in
+    ``error``; where all its chunks failed, stem and channel are null too.
     """
     step = chunk // overlaps
     border, fade = chunk - step, chunk // 10
@@ -135,8 +136,6 @@ def overlap_add(blocks: DataFrame, model: str, chunk: int, overlaps: int = 4, ba
         for b in batches:
             out = []
             for row in b.itertuples():
-                if row.outputs is None:
-                    continue
                 window = base.copy()
                 last_of_batch = min((row.chunk_no // batch + 1) * batch, row.n_chunks) - 1
                 if last_of_batch == 0:
@@ -147,15 +146,21 @@ def overlap_add(blocks: DataFrame, model: str, chunk: int, overlaps: int = 4, ba
                 length = min(chunk, row.total - row.chunk_no * step)
                 low, high = max(0, first), min(row.frames, first + length)
                 for block in range(low // block_frames, -(-high // block_frames) if high > low else low // block_frames):
+                    if row.outputs is None:
+                        out.append((row.track_id, None, None, block, None, None, None, row.error))
+                        continue
                     a, z = max(low, block * block_frames), min(high, (block + 1) * block_frames)
                     w = window[a - first : z - first]
                     for number, output in enumerate(row.outputs):
                         for channel, y in enumerate(output):
-                            out.append((row.track_id, number, channel, block, a - block * block_frames, _array(y)[a - first : z - first] * w, w))
-            yield pd.DataFrame(out, columns=["track_id", "stem", "channel", "block_no", "at", "y", "w"])
-
-    parts = inferred.select("track_id", "chunk_no", "n_chunks", "frames", "pad", "total", "outputs").mapInPandas(
-        weigh, "track_id string, stem int, channel int, block_no bigint, at bigint, y array<double>, w array<double>")
+                            out.append((row.track_id, number, channel, block, a - block * block_frames, _array(y)[a - first : z - first] * w, w, None))
+            made = pd.DataFrame(out, columns=["track_id", "stem", "channel", "block_no", "at", "y", "w", "error"])
+            yield made.astype({"stem": "Int32", "channel": "Int32", "at": "Int64"})
+
+    parts = inferred.select("track_id", "chunk_no", "n_chunks", "frames", "pad", "total", "outputs", "error").mapInPandas(
+        weigh, "track_id string, stem int, channel int, block_no bigint, at bigint, y array<double>, w array<double>, error string")
+    failed = parts.where("error IS NOT NULL").groupBy("track_id", "block_no").agg(F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("error"))
+    parts = parts.where("error IS NULL")
     # at most overlaps + 1 chunks lie over an output block of a chunk's length or less, plus those starting inside it
     grouped = parts.groupBy("track_id", "stem", "channel", "block_no").agg(F.collect_list(F.struct("at", "y", "w")).alias("p"))
 
@@ -173,4 +178,6 @@ def overlap_add(blocks: DataFrame, model: str, chunk: int, overlaps: int = 4, ba
                     out.append(np.nan_to_num(y / w, nan=0.0))
             yield b[["track_id", "stem", "channel", "block_no"]].assign(samples=out)
 
-    return grouped.mapInPandas(join, "track_id string, stem int, channel int, block_no bigint, samples array<double>")
+    joined = grouped.mapInPandas(join, "track_id string, stem int, channel int, block_no bigint, samples array<double>")
+    told = joined.join(failed, ["track_id", "block_no"], "full")
+    return told.select("track_id", "stem", "channel", "block_no", F.when(F.col("error").isNull(), F.col("samples")).alias("samples"), "error")

@@ -155,18 +155,18 @@ def impulse_response(rate: int, length: int) -> np.ndarray:
     return signal
 
 
-def _with_history(blocks: DataFrame, halo: int, block_frames: int) -> DataFrame:
-    """Attach up to ``halo`` preceding samples to each block as ``history``.
+def _with_history(blocks: DataFrame, seconds: float, block_frames: int) -> DataFrame:
+    """Attach the preceding samples of up to so many seconds, at its own rate, to each block as ``history``.
 
     A block sends its tail to as many followers as the halo reaches; each block
     gathers its own few tails, never its track.
     """
-    reach = -(-halo // block_frames)
-    step = F.col("_j")
+    halo, step = F.floor(F.col("sample_rate") * seconds).cast("int"), F.col("_j")
+    reach = F.ceil(halo / block_frames).cast("int")
     # of a block j places back only the part within the halo is sent
-    wanted = F.greatest(F.lit(0), F.least(F.size("samples"), F.lit(halo) - (step - 1) * F.lit(block_frames)))
+    wanted = F.greatest(F.lit(0), F.least(F.size("samples"), halo - (step - 1) * F.lit(block_frames)))
     tails = (
-        blocks.select(*BLOCK, "samples", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_j"))
+        blocks.where(reach > 0).select(*BLOCK, "samples", "sample_rate", F.explode(F.sequence(F.lit(1), reach)).alias("_j"))
         .select("track_id", "channel", (F.col("block_no") + step).alias("block_no"), "_j",
                 F.slice("samples", F.greatest(F.lit(1), F.size("samples") - wanted + 1), wanted.cast("int")).alias("_tail"))
     )
@@ -196,9 +196,9 @@ class _Weighting:
 HALO_S = 0.2
 
 
-def k_weight(blocks: DataFrame, sample_rate: int, block_frames: int) -> DataFrame:
-    """Blocks of the first two channels after K-weighting."""
-    prepared = _with_history(blocks.where("channel < 2"), int(sample_rate * HALO_S), block_frames)
+def k_weight(blocks: DataFrame, block_frames: int) -> DataFrame:
+    """Blocks of the first two channels after K-weighting, each at its own rate."""
+    prepared = _with_history(blocks.where("channel < 2"), HALO_S, block_frames)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weigh = _Weighting(HALO_S)
@@ -210,22 +210,27 @@ def k_weight(blocks: DataFrame, sample_rate: int, block_frames: int) -> DataFram
         run, "track_id string, channel int, block_no bigint, first_frame bigint, sample_rate int, samples array<double>")
 
 
-def block_energies(blocks: DataFrame, sample_rate: int, block_frames: int, weighted: bool = True) -> DataFrame:
+def _window(rate):
+    """Items of a 400 ms window and of its 100 ms hop."""
+    return max(1, rate * 400 // 1000), max(1, rate * 100 // 1000)
+
+
+def block_energies(blocks: DataFrame, block_frames: int, weighted: bool = True) -> DataFrame:
     """Mean square of 400 ms windows every 100 ms, channels summed; one partial window for a shorter clip.
 
     Each block is weighted and reduced to its share of the windows it touches in
-    one pass, so only window sums leave the task.
+    one pass, at its own sample rate, so only window sums leave the task.
     """
-    window, hop = max(1, sample_rate * 400 // 1000), max(1, sample_rate * 100 // 1000)
     source = blocks.where("channel < 2")
-    prepared = _with_history(source, int(sample_rate * HALO_S), block_frames) if weighted else source.withColumn("history", F.lit(None).cast("array<float>"))
+    prepared = _with_history(source, HALO_S, block_frames) if weighted else source.withColumn("history", F.lit(None).cast("array<float>"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weigh = _Weighting(HALO_S)
         for b in batches:
             names, windows, sums = [], [], []
-            for track, first, samples, history in zip(b["track_id"], b["first_frame"], b["samples"], b["history"]):
-                y = weigh(samples, history, sample_rate) if weighted else _array(samples)
+            for track, first, rate, samples, history in zip(b["track_id"], b["first_frame"], b["sample_rate"], b["samples"], b["history"]):
+                window, hop = _window(int(rate))
+                y = weigh(samples, history, int(rate)) if weighted else _array(samples)
                 total = np.concatenate([[0.0], np.cumsum(y * y)])
                 low = max(0, (first - window) // hop + 1)
                 for w in range(low, (first + len(y) - 1) // hop + 1):
@@ -236,13 +241,14 @@ def block_energies(blocks: DataFrame, sample_rate: int, block_frames: int, weigh
                         sums.append(total[end] - total[start])
             yield pd.DataFrame({"track_id": names, "window_no": np.asarray(windows, dtype="int64"), "s": np.asarray(sums, dtype="float64")})
 
-    parts = prepared.select("track_id", "first_frame", "samples", "history").mapInPandas(run, "track_id string, window_no bigint, s double")
+    parts = prepared.select("track_id", "first_frame", "sample_rate", "samples", "history").mapInPandas(run, "track_id string, window_no bigint, s double")
     sums = parts.groupBy("track_id", "window_no").agg(F.sum("s").alias("s"))
-    frames = decoded_stats(blocks).select("track_id", "frames")
-    whole = F.col("window_no") * hop + window <= F.col("frames")
-    lone = (F.col("frames") < window) & (F.col("window_no") == 0)
+    window, hop = (F.greatest(F.lit(1), F.floor(F.col("sample_rate") * ms / 1000)) for ms in (400, 100))
+    frames = decoded_stats(blocks).select("track_id", "frames", window.alias("_window"), hop.alias("_hop"))
+    whole = F.col("window_no") * F.col("_hop") + F.col("_window") <= F.col("frames")
+    lone = (F.col("frames") < F.col("_window")) & (F.col("window_no") == 0)
     return sums.join(frames, "track_id").where(whole | lone).select(
-        "track_id", "window_no", (F.col("s") / F.when(whole, F.lit(window)).otherwise(F.col("frames"))).alias("energy"))
+        "track_id", "window_no", (F.col("s") / F.when(whole, F.col("_window")).otherwise(F.col("frames"))).alias("energy"))
 
 
 def _lufs(energy: Column) -> Column:

@@ -71,18 +71,22 @@ def top5_results(t):
     return K.top_results(scored(t).withColumn("score", F.round("score", 9))).select("query_id", "search_index", "rank")
 
 
-@query("title_tokens", f"SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS tokens FROM documents")
+@query("title_tokens", f"""
+SELECT 'part' AS kind, p_partkey AS title_id, array_to_string({tokens_sql('p_name')}, ' ') AS tokens FROM part
+UNION ALL SELECT 'search', query_id * 1000 + search_index, array_to_string(t, ' ') FROM v_tokens""")
 def title_tokens(t):
-    return t.source("documents").select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
+    parts = t.source("part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("title_id"), F.col("p_name").alias("title"))
+    found = SR.scan_search_results(t.search_rows).select(F.lit("search").alias("kind"), (F.col("query_id") * 1000 + F.col("search_index")).alias("title_id"), "title")
+    return parts.unionByName(found).select("kind", "title_id", F.array_join(X.tokens(F.col("title")), " ").alias("tokens"))
 
 
-view("v_pairs", "SELECT query_id, search_index, q, t, unnest(t) AS b, q[1] AS a FROM v_tokens")
+view("v_pairs", "SELECT query_id, search_index, q, t, b, unnest(q) AS a FROM (SELECT *, unnest(t) AS b FROM v_tokens)")
 
 
 @query("token_similarity", f"SELECT DISTINCT a, b, round({similarity_sql('a', 'b')}, 6) AS similarity FROM v_pairs")
 def token_similarity(t):
     rows = SR.scan_search_results(t.search_rows)
-    pairs = rows.select(F.get(X.tokens(F.col("query")), F.lit(0)).alias("a"), F.explode(X.tokens(F.col("title"))).alias("b")).distinct()
+    pairs = rows.select(F.explode(X.tokens(F.col("query"))).alias("a"), "title").select("a", F.explode(X.tokens(F.col("title"))).alias("b")).distinct()
     return pairs.select("a", "b", F.round(X.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
@@ -205,11 +209,11 @@ def parsed(t):
 
 def ordered_candidates(t):
     """Candidates with their place in the whole batch, keys not yet unique across line and token."""
-    seq = (F.col("line_no") * 100000 + F.col("token_no")).cast("bigint")
+    seq = F.shiftleft(F.col("line_no").cast("bigint"), 32) + F.col("token_no")
     return t.stored("candidates", lambda: parsed(t).withColumn("seq", seq).withColumn("blocked", F.col("line_no") % 11 == 10), files=8)
 
 
-view("v_ordered", "SELECT *, line_no * 100000 + token_no AS seq, line_no % 11 = 10 AS blocked FROM v_import")
+view("v_ordered", "SELECT *, line_no::BIGINT * 4294967296 + token_no AS seq, line_no % 11 = 10 AS blocked FROM v_import")
 
 
 @query("parse_import_text", "SELECT batch_id, line_no::INT AS line_no, token_no::INT AS token_no, input, title, detail, kind, provider, candidate_key FROM v_import")
@@ -272,12 +276,12 @@ def default_selection(t):
 
 
 @query("reconcile_selection", f"""
-WITH prev AS (SELECT * FROM v_members WHERE group_seq < 300000), kept AS (
+WITH prev AS (SELECT * FROM v_members WHERE group_seq < 12884901888), kept AS (
   SELECT DISTINCT batch_id, input FROM prev WHERE member_seq % 2 = 0 AND (batch_id, input) IN (SELECT (batch_id, input) FROM v_members WHERE NOT blocked)),
 fresh AS ({_PICK.format("n_all = 1")})
 SELECT batch_id, input FROM kept UNION SELECT batch_id, input FROM fresh WHERE (batch_id, input) NOT IN (SELECT (batch_id, input) FROM prev)""")
 def reconcile_selection(t):
-    previous = members(t).where("group_seq < 300000")
+    previous = members(t).where("group_seq < 12884901888")
     return G.reconcile_selection(previous.where("member_seq % 2 = 0"), previous, members(t))
 
 

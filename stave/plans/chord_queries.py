@@ -211,19 +211,19 @@ def edits_upsert(t):
 
 
 def _frames(t):
-    """Per-frame class probabilities: one vector per frame, folded to 73 classes."""
-    probs = F.transform(F.sequence(F.lit(0), F.lit(72)), lambda i: F.abs(F.get("samples", (i % 64).cast("int")).cast("double")))
-    # every timeline track gets the frames of one block track
-    tracks = t.tracks.select("track_id", F.concat(F.lit("a"), F.col("user_id") % 10).alias("audio"))
-    return tracks.join(t.blocks.select(F.col("track_id").alias("audio"), F.col("block_no").alias("frame"), probs.alias("probs")), "audio").drop("audio")
+    """Per-frame class probabilities: one vector for each half second of a track in which a chord starts."""
+    at = F.rint(F.col("start_s") / 0.5).cast("bigint")
+    seeds = t.chords.groupBy("track_id", at.alias("frame")).agg(F.min("idx").alias("seed"))
+    return seeds.select("track_id", "frame", F.transform(F.sequence(F.lit(0), F.lit(72)), lambda i: (i * 7 + F.col("seed")) % 73 / 73.0).alias("probs"))
 
 
 @query("segment_frame_scores", """
-WITH fr AS (SELECT tr.track_id, block_no AS frame, samples FROM v_tracks tr JOIN v_blocks b ON b.track_id = 'a' || (tr.user_id % 10)),
+WITH fr AS (SELECT track_id, round_even(start_s / 5e-1, 0)::BIGINT AS frame, min(idx) AS seed FROM v_chords GROUP BY ALL),
 seg AS (SELECT track_id, idx, greatest(0, round_even(start_s / 5e-1, 0))::BIGINT AS f, round_even(end_s / 5e-1, 0)::BIGINT AS l,
   CASE WHEN source_label = 'N' THEN 0 ELSE CASE WHEN contains(source_label, ':min') THEN 13 ELSE 1 END + """
        + f"({sql_case(_ROOT, V.WORKER_PITCH)})" + """ END AS k FROM v_chords)
-SELECT track_id, idx, round(avg(abs(samples[k % 64 + 1]::DOUBLE)), 6) AS score FROM seg JOIN fr USING (track_id) WHERE frame >= f AND frame < greatest(f + 1, l) GROUP BY ALL""")
+SELECT seg.track_id, seg.idx, round(avg((k * 7 + seed) % 73 / 73e0), 6) AS score
+FROM seg LEFT JOIN fr ON fr.track_id = seg.track_id AND frame >= f AND frame < greatest(f + 1, l) GROUP BY ALL""")
 def segment_frame_scores(t):
     return C.segment_frame_scores(t.chords, _frames(t), 0.5).select("track_id", "idx", r6("score"))
 

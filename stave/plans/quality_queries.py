@@ -315,7 +315,7 @@ def worker_rows(t):
         rows = c.groupBy("track_id", "part").agg(
             F.array_sort(F.collect_list(seg)).alias("segs"), F.array_sort(F.collect_list("start_s")).alias("beats"),
             F.array_sort(F.collect_list(F.when(F.col("event_type") == "purchase", F.col("start_s")))).alias("downs"))
-        rows = rows.join(t.tracks.select("track_id", "user_id"), "track_id").where("part = 0")
+        rows = rows.join(t.tracks.select("track_id", "user_id"), "track_id")
         u = F.col("user_id")
         mode = F.when(u % 3 == 0, "essential").when(u % 3 == 1, "standard").otherwise("complete")
         made = F.when(u % 7 == 6, F.lit("standard")).otherwise(mode)
@@ -325,7 +325,7 @@ def worker_rows(t):
             F.when(u % 10 > 5, F.col("downs")).alias("dbnDownbeats"), F.when(u % 13 != 4, F.map_from_arrays(F.array(made), F.array("segs"))).otherwise(F.create_map().cast(
                 "map<string,array<struct<o:bigint,label:string,sourceLabel:string,startSeconds:double,endSeconds:double,strength:double>>>")).alias("modes"),
             F.when(u % 13 == 4, F.array(F.lit("LV-Chordia failed: no memory"))).when(u % 17 == 3, F.array(F.lit("odd"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
-        return rows.select("track_id", "user_id", mode.alias("requested_mode"), F.to_json(result).alias("json"))
+        return rows.select(F.concat_ws("#", "track_id", "part").alias("track_id"), "user_id", mode.alias("requested_mode"), F.to_json(result).alias("json"))
 
     return t.stored("worker_rows", build)
 
@@ -333,29 +333,31 @@ def worker_rows(t):
 view("v_worker", """
 SELECT *, ['essential','standard','complete'][user_id % 3 + 1] AS requested_mode, CASE WHEN user_id % 7 = 6 THEN 'standard' ELSE ['essential','standard','complete'][user_id % 3 + 1] END AS made,
   user_id % 13 = 4 AS failed FROM v_tracks""")
+view("v_part", "SELECT c.*, c.track_id || '#' || (idx // 4096) AS result_id, idx % 4096 AS part_idx FROM v_chords c")
+view("v_result", "SELECT DISTINCT w.* REPLACE (result_id AS track_id) FROM v_worker w JOIN v_part p ON p.track_id = w.track_id")
 
 
 @query("check_worker_result", """
-WITH r AS (SELECT track_id, requested_mode, 'model version' AS rule FROM v_worker WHERE user_id % 11 = 5
-  UNION ALL SELECT track_id, requested_mode, 'mode missing' FROM v_worker WHERE NOT failed AND made <> requested_mode
-  UNION ALL SELECT track_id, requested_mode, 'mode unexpected' FROM v_worker WHERE NOT failed AND made <> requested_mode
-  UNION ALL SELECT track_id, requested_mode, 'rhythm incomplete' FROM v_worker WHERE (user_id % 5 <> 0) <> (user_id % 10 > 5)
-  UNION ALL SELECT track_id, requested_mode, 'warning' FROM v_worker WHERE user_id % 17 = 3 AND NOT failed)
+WITH r AS (SELECT track_id, requested_mode, 'model version' AS rule FROM v_result WHERE user_id % 11 = 5
+  UNION ALL SELECT track_id, requested_mode, 'mode missing' FROM v_result WHERE NOT failed AND made <> requested_mode
+  UNION ALL SELECT track_id, requested_mode, 'mode unexpected' FROM v_result WHERE NOT failed AND made <> requested_mode
+  UNION ALL SELECT track_id, requested_mode, 'rhythm incomplete' FROM v_result WHERE (user_id % 5 <> 0) <> (user_id % 10 > 5)
+  UNION ALL SELECT track_id, requested_mode, 'warning' FROM v_result WHERE user_id % 17 = 3 AND NOT failed)
 SELECT track_id, requested_mode, rule, 1::BIGINT AS n_bad FROM r""")
 def check_worker_result(t):
     return Q.check_worker_result(WK.parse_worker_results(worker_rows(t)))
 
 
 @query("scan_worker_results", """
-SELECT c.track_id, w.made AS mode, c.idx::INT AS idx, c.label, c.start_s, c.end_s, c.strength FROM v_compact c JOIN v_worker w USING (track_id) WHERE NOT w.failed AND idx < 4096""")
+SELECT c.track_id || '#' || (c.idx // 4096) AS track_id, w.made AS mode, (c.idx % 4096)::INT AS idx, c.label, c.start_s, c.end_s, c.strength FROM v_compact c JOIN v_worker w USING (track_id) WHERE NOT w.failed""")
 def scan_worker_results(t):
     return WK.chords(WK.parse_worker_results(worker_rows(t))).select("track_id", "mode", "idx", "label", "start_s", "end_s", "strength")
 
 
 @query("scan_worker_beats", """
 SELECT track_id, source, (row_number() OVER (PARTITION BY track_id, source ORDER BY beat_s) - 1)::INT AS beat_idx, beat_s, is_downbeat FROM (
-  SELECT c.track_id, source, start_s AS beat_s, bool_or(event_type = 'purchase') OVER (PARTITION BY c.track_id, source, start_s) AS is_downbeat FROM v_chords c JOIN v_worker w USING (track_id),
-    (VALUES ('raw'), ('dbn')) v(source) WHERE idx < 4096 AND CASE source WHEN 'raw' THEN w.user_id % 5 <> 0 ELSE w.user_id % 10 > 5 END)""")
+  SELECT c.result_id AS track_id, source, start_s AS beat_s, bool_or(event_type = 'purchase') OVER (PARTITION BY c.result_id, source, start_s) AS is_downbeat FROM v_part c JOIN v_worker w USING (track_id),
+    (VALUES ('raw'), ('dbn')) v(source) WHERE CASE source WHEN 'raw' THEN w.user_id % 5 <> 0 ELSE w.user_id % 10 > 5 END)""")
 def scan_worker_beats(t):
     return WK.beats(WK.parse_worker_results(worker_rows(t)))
 

@@ -86,11 +86,11 @@ _E = """,
 @query("k_weight", f"{_K} SELECT track_id, channel, frame // 64 AS block_no, round(sum(z * z), 6) AS energy FROM k GROUP BY ALL")
 def k_weight(t):
     energy = F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x * x)
-    return G.k_weight(t.stereo, RATE, BLOCK).select("track_id", "channel", "block_no", F.round(energy, 6).alias("energy"))
+    return G.k_weight(t.stereo, BLOCK).select("track_id", "channel", "block_no", F.round(energy, 6).alias("energy"))
 
 
 def energies(t):
-    return G.block_energies(t.stereo, RATE, BLOCK)
+    return G.block_energies(t.stereo, BLOCK)
 
 
 @query("block_energies", f"{_K}{_E} SELECT track_id, window_no, round(energy, 6) AS energy FROM e")
@@ -267,8 +267,8 @@ def manifest_texts(t):
     """Project documents as JSON text, built from the catalogue tables; projects hold at most 25 tracks."""
     def build():
         u = F.col("user_id")
-        marks = t.markers.groupBy("track_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(
-            F.col("start_s").alias("o"), F.col("marker_id").alias("id"), "label", F.col("start_s").alias("startSeconds"), F.col("end_s").alias("endSeconds"), "origin"))), 1, 512).alias("markers"))
+        marks = t.markers.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct(
+            F.col("start_s").alias("o"), F.col("marker_id").alias("id"), "label", F.col("start_s").alias("startSeconds"), F.col("end_s").alias("endSeconds"), "origin"))).alias("markers"))
         mix = t.stem_mix.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("stem", "gain", "pan", "muted", "soloed"))).alias("mix"))
         sized = F.when(u % 5 == 1, F.concat("mix", F.slice("mix", 1, 2))).when(u % 5 == 2, F.slice("mix", 1, 3)).when(u % 5 != 3, F.col("mix"))
         practice = F.struct(

@@ -63,7 +63,7 @@ def stream_meter(t):
 
 
 @query("stream_worker_results", """
-SELECT track_id, made AS mode, least(n, 4096)::INT AS n_segments FROM v_worker JOIN (SELECT track_id, count(*) AS n FROM v_chords GROUP BY ALL) USING (track_id)
+SELECT track_id, made AS mode, n::INT AS n_segments FROM v_result JOIN (SELECT result_id AS track_id, count(*) AS n FROM v_part GROUP BY ALL) USING (track_id)
 WHERE user_id % 11 <> 5 AND made = requested_mode AND NOT failed AND (user_id % 5 <> 0) = (user_id % 10 > 5) AND user_id % 17 <> 3""")
 def stream_worker_results(t):
     return ingest_results(stream(t, "worker_rows", worker_rows(t)))[0]

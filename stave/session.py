@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_ROWS_CONF = "spark.stave.blockRows"
 _local_scratch: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "stave", master: str | None = None, **conf) -> SparkSession:
@@ -26,7 +30,26 @@ def build_session(app: str = "stave", master: str | None = None, **conf) -> Spar
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, so that their Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-ship-"), "stave.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
 
 
 def block_rows(spark: SparkSession) -> int:
@@ -38,11 +61,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir`` (storage every executor can
-    reach). Only where that is unset, as in local tests, is a temporary folder
-    of this machine used.
+    reach); without it the warehouse is used. Only in local mode, where driver and
+    executors are one process, is a temporary folder of this machine used.
     """
-    app = spark.sparkContext.applicationId
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    app, configured = context.applicationId, spark.conf.get("spark.checkpoint.dir", None)
+    local = re.fullmatch(r"local(\[[^\]]*\])?", context.master)
+    if not configured and not local:
+        configured = spark.conf.get("spark.sql.warehouse.dir")
     if configured:
         return f"{configured.rstrip('/')}/stave-{app}"
     if app not in _local_scratch:

@@ -15,13 +15,14 @@ MAX_FILE_BYTES = 1024 * 1024
 
 
 def read_import_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Text and Markdown files up to 1 MiB, one row each: batch_id (the path) and text."""
+    """Text and Markdown files, one row each: batch_id (the path), text, and the error of one above 1 MiB, which is not read."""
     files = spark.read.format("binaryFile").load(path)
     named = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin("txt", "md")
-    # the size test is on file metadata, so oversized files are not read
-    return files.where((F.col("length") <= MAX_FILE_BYTES) & named).select(
-        F.col("path").alias("batch_id"), F.decode("content", F.lit("UTF-8")).alias("text")
-    )
+    none = F.lit(None).cast("string")
+    # the size tests are on file metadata, and the content of the large ones is not asked for
+    small = files.where((F.col("length") <= MAX_FILE_BYTES) & named).select(F.col("path").alias("batch_id"), F.decode("content", "UTF-8").alias("text"), none.alias("error"))
+    large = files.where((F.col("length") > MAX_FILE_BYTES) & named).select(F.col("path").alias("batch_id"), none.alias("text"), F.lit("larger than 1 MiB").alias("error"))
+    return small.unionByName(large)
 
 
 def parse_import_text(texts: DataFrame, listing: DataFrame) -> DataFrame:

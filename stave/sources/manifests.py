@@ -17,7 +17,7 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     sized = files.select("path", "length").where(F.col("length") > S.MAX_MANIFEST_BYTES).select(
         "path", F.lit("too large").alias("reason"))
-    texts = files.where(F.col("length") <= S.MAX_MANIFEST_BYTES).select("path", F.decode("content", F.lit("UTF-8")).alias("json"))
+    texts = files.where(F.col("length") <= S.MAX_MANIFEST_BYTES).select("path", F.decode("content", "UTF-8").alias("json"))
     return parse_manifests(texts).unionByName(sized, allowMissingColumns=True)
 
 

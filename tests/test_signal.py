@@ -41,7 +41,7 @@ def sequential(x, rate):
 @pytest.mark.parametrize("size", [500, 4096])
 def test_k_weight_blocks(spark, size):
     x = np.random.default_rng(1).uniform(-1, 1, 12_000)
-    made = joined(G.k_weight(blocks(spark, [x], 8000, size), 8000, size))
+    made = joined(G.k_weight(blocks(spark, [x], 8000, size), size))
     assert np.abs(made - sequential(np.float32(x).astype(float), 8000)).max() < 1e-9
 
 
@@ -49,13 +49,13 @@ def test_k_weight_blocks(spark, size):
 def test_loudness_and_peak(spark, size):
     x = sine(48_000, 48_000)
     b = blocks(spark, [x, x], 48_000, size)
-    lufs = G.gated_loudness(G.block_energies(b, 48_000, size)).first().lufs
+    lufs = G.gated_loudness(G.block_energies(b, size)).first().lufs
     assert -1 < lufs < 0.2
     assert 0.99 < G.true_peak(b).first().true_peak < 1.01
     silent = blocks(spark, [np.zeros(8000)], 8000, 1000)
-    assert G.gated_loudness(G.block_energies(silent, 8000, 1000)).first().lufs == float("-inf")
+    assert G.gated_loudness(G.block_energies(silent, 1000)).first().lufs == float("-inf")
     short = blocks(spark, [sine(2000, 8000)], 8000, 700)
-    assert G.block_energies(short, 8000, 700).count() == 1
+    assert G.block_energies(short, 700).count() == 1
 
 
 @pytest.mark.parametrize("size", [64, 1000])
@@ -164,3 +164,38 @@ def test_wav(spark, tmp_path):
     made = WV.scan_wav_blocks(meta, 1000)
     assert made.count() == 6
     assert np.array_equal(joined(made.where("channel = 1")), (-x).astype(np.float32) / np.float32(32768))
+
+
+def test_mixed_rates_are_measured_alike(spark):
+    low, high = blocks(spark, [sine(8000, 8000)], 8000, 1000), blocks(spark, [sine(48_000, 48_000)], 48_000, 1000).withColumn("track_id", F.lit("u"))
+    alone = {r.track_id: r.lufs for b in (low, high) for r in G.gated_loudness(G.block_energies(b, 1000)).collect()}
+    together = {r.track_id: r.lufs for r in G.gated_loudness(G.block_energies(low.unionByName(high), 1000)).collect()}
+    assert together == pytest.approx(alone) and set(together) == {"t", "u"}
+
+
+def test_a_failing_model_loses_no_block(spark):
+    def factory():
+        def model(batch):
+            if np.abs(batch).max() > 1:
+                raise ValueError("too loud")
+            return batch[:, None]
+
+        return model
+
+    NN.register_model("shy", factory)
+    x = np.full(1000, 0.5)
+    x[700:] = 2.0
+    rows = {r.block_no: r for r in NN.overlap_add(blocks(spark, [x], 8000, 100), "shy", chunk=200, overlaps=2, batch=1, block_frames=100).collect()}
+    assert sorted(rows) == list(range(10))
+    assert all((r.samples is None) == (r.error is not None) for r in rows.values())
+    assert rows[0].samples == pytest.approx([0.5] * 100) and rows[9].error == "ValueError: too loud" and rows[9].stem is None
+
+
+def test_oversized_files_are_reported(spark, tmp_path):
+    from stave.sources.imports import read_import_texts
+
+    (tmp_path / "a.txt").write_text("one\ntwo")
+    (tmp_path / "b.md").write_text("x" * (1 << 20) + "y")
+    (tmp_path / "c.bin").write_text("no")
+    made = {r.batch_id.rpartition("/")[2]: (r.text, r.error) for r in read_import_texts(spark, str(tmp_path)).collect()}
+    assert made == {"a.txt": ("one\ntwo", None), "b.md": (None, "larger than 1 MiB")}
