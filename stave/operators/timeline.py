@@ -30,32 +30,38 @@ def _struct(exprs: Mapping[str, Column]) -> Column:
 PROBE = object()
 
 
+#: Cuts kept for a hot key, and so the most blocks it is dealt into.
+GRID = 512
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], axis: str) -> DataFrame | None:
-    """Keys with more rows than a block may hold, with their span; None when there is none.
+    """Keys with more rows than a block may hold, with cuts at even shares of their rows; None when there is none.
 
-    One aggregate over the key and axis columns, combined map-side. The result
-    may be passed to several :func:`annotate` calls over rows of the same table.
+    Both aggregates, of the counts and of the quantile sketches of hot keys, are
+    combined map-side. The result may be passed to several :func:`annotate` calls over
+    rows of the same table.
     """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_hot_n"), F.min(axis).alias("_hot_lo"), F.max(axis).alias("_hot_hi"))
-        .where(F.col("_hot_n") > block_rows(df.sparkSession))
-    )
+    most = block_rows(df.sparkSession)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_n")).where(F.col("_hot_n") > most)
     found = hot.limit(MAX_BROADCAST_HOT_KEYS + 1).count()
     if found == 0:
         return None
-    return F.broadcast(hot) if found <= MAX_BROADCAST_HOT_KEYS else hot
+    few = found <= MAX_BROADCAST_HOT_KEYS
+    named = F.broadcast(hot) if few else hot
+    shares = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
+    sketch = df.select(*keys, F.col(axis).cast("double").alias("_axis")).join(named, list(keys)).groupBy(*keys).agg(
+        F.max("_hot_n").alias("_hot_n"), F.percentile_approx("_axis", shares, 10 * GRID).alias("_grid"))
+    # of the grid every so many cuts, so that a block holds about the rows it may
+    stride = F.greatest(F.lit(1), F.floor(F.lit(GRID) * F.lit(most) / F.col("_hot_n"))).cast("int")
+    cuts = F.array_distinct(F.filter("_grid", lambda cut, i: (i + 1) % stride == 0))
+    made = sketch.select(*keys, cuts.alias("_hot_cuts"))
+    return F.broadcast(made) if few else made
 
 
 def _with_blocks(df: DataFrame, keys: Sequence[str], axis: str, hot: DataFrame) -> DataFrame:
     """Add ``_blk``: the block along the axis for hot keys, null for others."""
-    blocks = F.ceil(F.col("_hot_n") / F.lit(block_rows(df.sparkSession)))
-    span = F.col("_hot_hi") - F.col("_hot_lo")
-    position = F.floor((F.col(axis) - F.col("_hot_lo")) * blocks / F.when(span > 0, span))
-    block = F.when(
-        F.col("_hot_n").isNotNull(), F.coalesce(F.greatest(F.lit(0), F.least(blocks - 1, position)), F.lit(0)).cast("bigint")
-    )
-    return df.join(hot, list(keys), "left").withColumn("_blk", block).drop("_hot_n", "_hot_lo", "_hot_hi")
+    block = F.size(F.filter("_hot_cuts", lambda cut: cut <= F.col(axis))).cast("bigint")
+    return df.join(hot, list(keys), "left").withColumn("_blk", F.when(F.col("_hot_cuts").isNotNull(), block)).drop("_hot_cuts")
 
 
 def annotate(

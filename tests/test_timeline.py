@@ -92,3 +92,18 @@ def test_overlap_join_brute_force(spark):
 def test_keep_first(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, seq int, v string")
     assert sorted((r.k, r.v) for r in keep_first(df, ["k"], ["seq"]).collect()) == [("a", "y"), ("b", "z")]
+
+
+def test_blocks_are_even_in_spite_of_an_outlier(spark):
+    from stave.operators.timeline import _with_blocks, hot_keys
+    from stave.session import BLOCK_ROWS_CONF
+
+    spark.conf.set(BLOCK_ROWS_CONF, "100")
+    try:
+        df = spark.createDataFrame([("k", float(i if i else 1e9)) for i in range(1000)] + [("cold", 1.0)], "k string, t double")
+        blocks = _with_blocks(df, ["k"], "t", hot_keys(df, ["k"], "t")).groupBy("k", "_blk").count().collect()
+    finally:
+        spark.conf.unset(BLOCK_ROWS_CONF)
+    assert all(r._blk is None for r in blocks if r.k == "cold")
+    sizes = [r["count"] for r in blocks if r.k == "k"]
+    assert len(sizes) >= 10 and max(sizes) <= 150
