@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stave.session import block_rows
+from stave.session import block_rows, staged
 
 # More hot keys than this are joined by shuffle instead of broadcast.
 MAX_BROADCAST_HOT_KEYS = 50_000
@@ -54,7 +54,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], axis: str) -> DataFrame | None:
     # of the grid every so many cuts, so that a block holds about the rows it may
     stride = F.greatest(F.lit(1), F.floor(F.lit(GRID) * F.lit(most) / F.col("_hot_n"))).cast("int")
     cuts = F.array_distinct(F.filter("_grid", lambda cut, i: (i + 1) % stride == 0))
-    made = sketch.select(*keys, cuts.alias("_hot_cuts"))
+    # written, as a plan would otherwise hold the rows' lineage once more for each ordered step
+    made = staged(sketch.select(*keys, cuts.alias("_hot_cuts")), "hot")
     return F.broadcast(made) if few else made
 
 
