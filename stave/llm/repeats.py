@@ -7,8 +7,10 @@ the ``gram``-item stretches inside it. Equal windows agree on that gram, so only
 1. Grams seen once are dropped (counts with map-side combine, then a semi join).
 2. Runs that are equal as a whole are *variants* of one gram, counted by hash. A run
    whose variant already settles the question is marked without looking inside.
-3. Only where one gram has several variants left are single windows compared, from
-   short prefixes to the whole span: prefixes seen once are dropped at each length.
+3. Where one gram has several variants left, a unit may first cut their runs into
+   segments, which are judged in the same way.
+4. Only what is left is compared window by window, from short prefixes to the whole
+   span: prefixes seen once are dropped at each length.
 
 A key in a third of all rows stays linear: counts combine before the shuffle, and the
 joins back put one row per key on one side, so the adaptive skew join may split the other.
@@ -18,28 +20,40 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stave.llm.rolling import Rolling, anchored_runs, byte_rolling, documents, word_bounds, word_hashes
+from stave.llm.rolling import Rolling, anchored_runs, byte_rolling, documents, mix, word_bounds, word_hashes
+from stave.llm.steps import discard, step
 
 NULL_ID = -(1 << 63)
+_RUN = "_g long, _d long, _p long, _v long"
 _LOW48, _LOW40 = np.uint64((1 << 48) - 1), np.uint64((1 << 40) - 1)
-# A run's place in one long: 16 bits of the text's hash, 36 of the first window, 11 of the number of windows.
-_COUNT_BITS, _FIRST_BITS = 11, 36
+# A run's place in one long: 14 bits of the text's hash, 31 of the first window, 9 each of the
+# number of windows and of the gram's distance from the first.
+_COUNT_BITS, _FIRST_BITS = 9, 31
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What a window is made of: ``words`` or bytes, its span, gram, and the prefix lengths compared."""
+    """What a window is made of: ``words`` or bytes, its span, gram, and the prefix lengths compared.
+
+    With a ``segment``, runs still undecided are cut into segments of so many windows first.
+    """
 
     words: bool
     span: int
     gram: int
     lengths: tuple[int, ...]
+    segment: int = 0
+
+    def __post_init__(self):
+        if not 0 <= self.span - self.gram < 1 << _COUNT_BITS:
+            raise ValueError(f"a window has at most {(1 << _COUNT_BITS) - 1} items more than a gram")
 
     def items(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[Rolling, np.ndarray]:
         """Rolling hashes over the items and the item bounds of the rows."""
@@ -54,15 +68,19 @@ class Unit:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_d, _t, _text): the id (a null is less than all others), 16 bits of the text's hash, the text (null: empty)."""
+    """(_d, _t, _text): the id (a null is less than all others), 14 bits of the text's hash, the text (null: empty)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_d"),
-        F.coalesce(F.xxhash64(text).bitwiseAND(0xFFFF), F.lit(0)).cast("int").alias("_t"),
+        F.coalesce(F.xxhash64(text).bitwiseAND(0x3FFF), F.lit(0)).cast("int").alias("_t"),
         text.alias("_text"),
     )
 
 
+def _packed(tag: np.ndarray, first: np.ndarray, count: np.ndarray, back: np.ndarray) -> np.ndarray:
+    return (tag.astype(np.int64) << (_FIRST_BITS + 2 * _COUNT_BITS)) | (first << (2 * _COUNT_BITS)) | (count << _COUNT_BITS) | back
+
+
 def _runs(unit: Unit, full: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,22 +96,68 @@ def _runs(unit: Unit, full: bool) -> Callable:
                     yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[a:b][row])], ["_g", "_d"])
                     continue
                 whole = (rolling.stretch(first, first + count - 1 + unit.span) & _LOW40).view(np.int64)
-                packed = (tags[a:b][row].astype(np.int64) << (_FIRST_BITS + _COUNT_BITS)) | ((first - at[row]) << _COUNT_BITS) | count
+                packed = _packed(tags[a:b][row], first - at[row], count, place - first)
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[a:b][row]), pa.array(packed), pa.array(whole)], ["_g", "_d", "_p", "_v"])
 
     return run
 
 
 def _unpacked(df: DataFrame) -> DataFrame:
+    def bits(low: int, width: int) -> Column:
+        return F.shiftright("_p", low).bitwiseAND((1 << width) - 1)
+
     return df.withColumns({
-        "_t": F.shiftright("_p", _FIRST_BITS + _COUNT_BITS).cast("int"),
-        "_first": F.shiftright("_p", _COUNT_BITS).bitwiseAND((1 << _FIRST_BITS) - 1),
-        "_count": F.col("_p").bitwiseAND((1 << _COUNT_BITS) - 1).cast("int"),
+        "_t": F.shiftright("_p", _FIRST_BITS + 2 * _COUNT_BITS).cast("int"),
+        "_first": bits(2 * _COUNT_BITS, _FIRST_BITS),
+        "_count": bits(_COUNT_BITS, _COUNT_BITS).cast("int"),
+        "_back": bits(0, _COUNT_BITS).cast("int"),
     })
 
 
-def _prefixes(unit: Unit, length: int) -> Callable:
-    """Hashes of the first ``length`` items of the asked windows of each text."""
+def _listed(asked: DataFrame) -> DataFrame:
+    """The asked runs of each text; they are not longer than the text."""
+    return _unpacked(asked).groupBy("_d", "_t").agg(F.collect_list(F.struct("_g", "_first", "_count", "_back")).alias("_asked"))
+
+
+def _segments(unit: Unit) -> Callable:
+    """Asked runs cut by the distance of their windows from the gram.
+
+    All windows of one segment hold its core, the stretch common to the whole distance
+    range, so windows can be equal only in segments with equal cores: these are the new grams.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tags = batch.column("_d").to_numpy(), batch.column("_t").to_numpy()
+            rows, asked = batch.column("_asked").offsets.to_numpy(), batch.column("_asked").values
+            gram, first, count, back = (asked.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("_g", "_first", "_count", "_back"))
+            for a, b, raw, bounds in documents(batch, "_text"):
+                rolling, at = unit.items(raw, bounds)
+                mine = slice(rows[a], rows[b])
+                who = np.repeat(np.arange(a, b), np.diff(rows[a: b + 1]))
+                low = (back[mine] - count[mine] + 1) // unit.segment
+                parts = back[mine] // unit.segment - low + 1
+                turn = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+                which = np.repeat(np.arange(len(who)), parts)
+                if not len(which):
+                    continue
+                who, g, far, n, lead = who[which], gram[mine][which], back[mine][which], count[mine][which], first[mine][which]
+                number = low[which] + turn
+                most = np.minimum(far, (number + 1) * unit.segment - 1)
+                least = np.maximum(far - n + 1, number * unit.segment)
+                place = lead + far + at[who - a]
+                wide = np.minimum((number + 1) * unit.segment - 1, unit.span - unit.gram)
+                core = rolling.stretch(place - number * unit.segment, place + unit.span - wide)
+                key = mix(core + mix(g.view(np.uint64) + number.astype(np.uint64))).view(np.int64)
+                start, many = lead + far - most, most - least + 1
+                whole = (rolling.stretch(start + at[who - a], start + at[who - a] + many - 1 + unit.span) & _LOW40).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[who]), pa.array(_packed(tags[who], start, many, most)), pa.array(whole)], ["_g", "_d", "_p", "_v"])
+
+    return run
+
+
+def _prefixes(unit: Unit) -> Callable:
+    """Of each asked window the hashes of its first items, for each of the unit's lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,15 +172,14 @@ def _prefixes(unit: Unit, length: int) -> Callable:
                     continue
                 owner = np.repeat(np.arange(a, b), np.diff(rows[a: b + 1]))
                 size = count[lo:hi]
-                total = int(size.sum())
-                offset = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+                offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
                 place = np.repeat(first[lo:hi], size) + offset
                 who = np.repeat(owner, size)
                 start = place + at[who - a]
-                value = rolling.stretch(start, start + length).view(np.int64)
+                values = [pa.array(rolling.stretch(start, start + n).view(np.int64)) for n in unit.lengths]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(gram[lo:hi], size)), pa.array(value), pa.array(ids[who]), pa.array(tags[who]), pa.array(place)],
-                    ["_g", "_h", "_d", "_t", "_first"])
+                    [pa.array(np.repeat(gram[lo:hi], size)), pa.array(ids[who]), pa.array(tags[who]), pa.array(place), *values],
+                    ["_g", "_d", "_t", "_first", *(f"_h{n}" for n in unit.lengths)])
 
     return run
 
@@ -183,33 +246,52 @@ def remove_repeats(docs: DataFrame, unit: Unit, id_col: str, text_col: str, earl
     false), or in a row with a smaller id. Windows are judged on the input.
     """
     texts = keyed(docs, id_col, text_col)
-    seen = F.min("_d") < F.max("_d") if earlier_only else F.count(F.lit(1)) > 1
-    grams = texts.mapInArrow(_runs(unit, False), "_g long, _d long")
-    again = grams.groupBy("_g").agg(seen.alias("_again")).where("_again").select("_g")
-    runs = texts.mapInArrow(_runs(unit, True), "_g long, _d long, _p long, _v long").join(again, "_g", "left_semi")
-    # An expression hides the partitioning of the join, which leaves it free to split skewed grams.
-    runs = runs.select(F.bitwise_not("_g").alias("_g"), "_d", "_p", "_v")
-    one = F.struct("_d", "_p")
-    variants = runs.groupBy("_g", "_v").agg(F.min(one).alias("_one"), F.count(F.lit(1)).alias("_n"))
-    settled, asked = (_settled_earlier if earlier_only else _settled_any)(runs, variants)
-    marks = _unpacked(settled).select("_d", "_t", "_first", "_count")
-    left = _unpacked(asked).select("_d", "_t", "_g", "_first", "_count")
+    kinds = "".join(f", _h{n} long" for n in unit.lengths)
+
+    def of_texts(asked: DataFrame, work: Callable, schema: str) -> DataFrame:
+        return texts.join(_listed(asked).hint("shuffle_hash"), ["_d", "_t"]).mapInArrow(work, schema)
+
+    written = [step(_shared_runs(texts, unit, earlier_only), "runs")]
+    settled, asked = _judged(written, earlier_only)
+    marks = [settled]
+    if unit.segment:
+        written.append(step(of_texts(asked, _segments(unit), _RUN), "segments"))
+        settled, asked = _judged(written, earlier_only)
+        marks.append(settled)
+    windows = step(of_texts(asked, _prefixes(unit), f"_g long, _d long, _t int, _first long{kinds}"), "windows")
+    written.append(windows)
     for length in unit.lengths:
-        found = _recurring(texts, unit, left, length, earlier_only)
-        left = found.select("_d", "_t", "_g", "_first", F.lit(1).alias("_count"))
-    marks = marks.unionByName(found.where("_goes").select("_d", "_t", "_first", F.lit(1).alias("_count")))
-    listed = marks.groupBy("_d", "_t").agg(F.collect_list(F.struct("_first", "_count")).alias("_marks"))
+        windows = _recurring(windows, f"_h{length}", earlier_only)
+    marks = reduce(DataFrame.unionByName, [_unpacked(m).select("_d", "_t", "_first", "_count") for m in marks])
+    marks = marks.unionByName(windows.where("_goes").select("_d", "_t", "_first", F.lit(1).alias("_count")))
+    marks = step(marks.groupBy("_d", "_t").agg(F.collect_list(F.struct("_first", "_count")).alias("_marks")), "marks")
+    discard(*written)
     empty = F.array().cast("array<struct<_first:bigint,_count:int>>")
-    both = texts.join(listed.hint("shuffle_hash"), ["_d", "_t"], "left").withColumn("_marks", F.coalesce("_marks", empty))
+    both = texts.join(marks.hint("shuffle_hash"), ["_d", "_t"], "left").withColumn("_marks", F.coalesce("_marks", empty))
     done = both.select("_d", "_text", "_marks").mapInArrow(_marked(unit), f"_d long, n_items long, n_removed long, n_spans long, kept {'string' if unit.words else 'binary'}")
     return done.select(F.when(F.col("_d") != NULL_ID, F.col("_d")).alias(id_col), "n_items", "n_removed", "n_spans", "kept")
 
 
+def _shared_runs(texts: DataFrame, unit: Unit, earlier_only: bool) -> DataFrame:
+    """The runs of windows whose gram occurs again (under another id, for ``earlier_only``)."""
+    seen = F.min("_d") < F.max("_d") if earlier_only else F.count(F.lit(1)) > 1
+    again = texts.mapInArrow(_runs(unit, False), "_g long, _d long").groupBy("_g").agg(seen.alias("_again")).where("_again").select("_g")
+    return texts.mapInArrow(_runs(unit, True), _RUN).join(again, "_g", "left_semi")
+
+
+def _judged(written: list[DataFrame], earlier_only: bool) -> tuple[DataFrame, DataFrame]:
+    """The settled and the asked ones of the runs written last."""
+    runs = written[-1]
+    variants = step(runs.groupBy("_g", "_v").agg(F.min(F.struct("_d", "_p")).alias("_one"), F.count(F.lit(1)).alias("_n")), "variants")
+    written.append(variants)
+    return (_settled_earlier if earlier_only else _settled_any)(runs, variants)
+
+
 def _settled_any(runs: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs equal to another run; one run of each variant, where a gram has several variants."""
     repeated = variants.where("_n > 1").select("_g", "_v")
     settled = runs.join(repeated, ["_g", "_v"], "left_semi").select("_d", "_p")
-    several = variants.groupBy("_g").agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_all")).where("_k > 1").select("_g")
+    several = variants.groupBy("_g").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_g")
     asked = variants.join(several, "_g", "left_semi").select("_g", F.col("_one._d").alias("_d"), F.col("_one._p").alias("_p"))
     return settled, asked
 
@@ -218,17 +300,14 @@ def _settled_earlier(runs: DataFrame, variants: DataFrame) -> tuple[DataFrame, D
     """Runs equal to one of a smaller id; the others, where a gram has them under several ids."""
     least = variants.select("_g", "_v", F.col("_one._d").alias("_least"))
     both = runs.join(least, ["_g", "_v"])
-    settled = both.where("_least < _d").select("_d", "_p")
-    first = both.where("_least = _d").select(F.bitwise_not("_g").alias("_g"), "_d", "_p")
-    several = least.groupBy("_g").agg(F.min("_least").alias("_a"), F.max("_least").alias("_b")).where("_a < _b").select(F.bitwise_not("_g").alias("_g"))
-    return settled, first.join(several, "_g", "left_semi")
-
-
-def _recurring(texts: DataFrame, unit: Unit, asked: DataFrame, length: int, earlier_only: bool) -> DataFrame:
-    """The asked windows whose first ``length`` items recur; ``_goes`` tells whether that condemns them."""
-    listed = asked.groupBy("_d", "_t").agg(F.collect_list(F.struct("_g", "_first", "_count")).alias("_asked"))
-    hashed = texts.join(listed.hint("shuffle_hash"), ["_d", "_t"]).mapInArrow(_prefixes(unit, length), "_g long, _h long, _d long, _t int, _first long")
-    per = hashed.groupBy("_g", "_h").agg(F.min("_d").alias("_least"), F.max("_d").alias("_most"), F.count(F.lit(1)).alias("_n"))
-    per = per.where("_least < _most" if earlier_only else "_n > 1").select("_g", "_h", "_least")
+    several = least.groupBy("_g").agg(F.min("_least").alias("_a"), F.max("_least").alias("_b")).where("_a < _b").select("_g")
+    first = both.where("_least = _d").select(F.col("_g"), "_d", "_p").join(several, "_g", "left_semi")
+    return both.where("_least < _d").select("_d", "_p"), first
+
+
+def _recurring(windows: DataFrame, prefix: str, earlier_only: bool) -> DataFrame:
+    """The windows whose prefix recurs; ``_goes`` tells whether that condemns them."""
+    per = windows.groupBy("_g", prefix).agg(F.min("_d").alias("_least"), F.max("_d").alias("_most"), F.count(F.lit(1)).alias("_n"))
+    per = per.where("_least < _most" if earlier_only else "_n > 1").select("_g", prefix, "_least")
     goes = F.col("_least") < F.col("_d") if earlier_only else F.lit(True)
-    return hashed.join(per, ["_g", "_h"]).select(F.bitwise_not("_g").alias("_g"), "_d", "_t", "_first", goes.alias("_goes"))
+    return windows.drop("_goes").join(per, ["_g", prefix]).withColumn("_goes", goes).drop("_least", prefix)

@@ -4,7 +4,7 @@ Suffixes are ordered only through their first ``threshold`` bytes, by most-signi
 digit passes; groups of one leave after each pass, and groups that are equal through the
 threshold are exactly the repeated windows. The first digit is a content-defined gram
 that stands for all suffixes around it (see ``repeats``), so a pass shuffles about one
-row per 150 bytes; suffixes are listed one by one only where a group is still undecided.
+row per 100 bytes; suffixes are listed one by one only where a group is still undecided.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stave.llm.repeats import Unit, remove_repeats
 
 
-def cut_repeated_bytes(docs: DataFrame, threshold: int = 400, digit: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeated_bytes(docs: DataFrame, threshold: int = 400, digit: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each byte covered by a ``threshold``-byte string that also starts anywhere else.
 
     Returns one row per input row: id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal
@@ -24,8 +24,8 @@ def cut_repeated_bytes(docs: DataFrame, threshold: int = 400, digit: int = 100,
     occurrences inside one text count. Texts below the threshold stay whole. A null id is
     kept; other columns are ignored.
     """
-    depths = tuple(range(2 * digit, threshold, 2 * digit)) + (threshold,)
-    unit = Unit(words=False, span=threshold, gram=min(digit, threshold), lengths=depths)
+    digit = min(digit, threshold)
+    unit = Unit(words=False, span=threshold, gram=digit, lengths=(*range(2 * digit, threshold, digit), threshold), segment=max(1, (threshold - digit) // 8))
     out = remove_repeats(docs, unit, id_col, text_col, earlier_only=False)
     return out.withColumnRenamed("n_items", "n_bytes")
 
