@@ -14,6 +14,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from stave.llm.steps import step
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+#: Bands of more texts are compared in blocks of so many texts.
+LISTED, BLOCK = 64, 256
 _BASE_RANK = 0.5
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -145,16 +148,54 @@ def _similar(threshold: float) -> Callable:
             left, right = batch.column("_left"), batch.column("_right")
             ok = np.zeros(len(left), bool)
             for i in range(len(left)):
-                x, y = (np.frombuffer(s[i].as_buffer(), np.uint64) for s in (left, right))
-                place = np.searchsorted(y, x)
-                place[place == len(y)] = 0
-                common = int(np.count_nonzero(y[place] == x)) if len(y) else 0
-                ok[i] = common >= threshold * (len(x) + len(y) - common) - 1e-9
+                ok[i] = _linked(*(np.frombuffer(x[i].as_buffer(), np.uint64) for x in (left, right)), threshold)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     return run
 
 
+def _linked(left: np.ndarray, right: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets are similar enough."""
+    place = np.searchsorted(right, left)
+    place[place == len(right)] = 0
+    common = int(np.count_nonzero(right[place] == left)) if len(right) else 0
+    return common >= threshold * (len(left) + len(right) - common) - 1e-9
+
+
+def _in_blocks(divided: DataFrame, texts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between the minor components of large bands and the rest of their bands.
+
+    Both sides are dealt into blocks by a hash, and each pair of blocks is one group of
+    bounded size. A pair that meets in several bands is compared in the first of them.
+    """
+    rows = divided.select("band", "_i", "node", "root", "_all", (F.col("root") != F.col("top.root")).alias("minor"), F.col("top._m").alias("_major"))
+    rows = rows.join(texts.select("node", "_bands"), "node").join(sets, "node")
+    blocks, minors = F.ceil(F.col("_all") / BLOCK).cast("int"), F.ceil((F.col("_all") - F.col("_major")) / BLOCK).cast("int")
+    part = F.xxhash64("node")
+    keep = ["band", "_i", "node", "root", "_bands", "_set"]
+    left = rows.where("minor").withColumns({"p": F.pmod(part, minors).cast("int"), "q": F.explode(F.sequence(F.lit(0), blocks - 1))}).select(*keep, "p", "q")
+    right = rows.withColumns({"q": F.pmod(part, blocks).cast("int"), "p": F.explode(F.sequence(F.lit(0), minors - 1))})
+    right = right.select(*(F.col(c).alias(f"other{c}") for c in (*keep, "p", "q")))
+
+    def compare(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(mine) and len(other):
+            bands, sizes = np.stack(other["other_bands"]), np.array([len(x) for x in other["other_set"]])
+            others, roots = [np.frombuffer(x, np.uint64) for x in other["other_set"]], [(r["_d"], r["_t"]) for r in other["otherroot"]]
+            roots = np.array(roots, np.int64)
+            for band, node, root, own, blob in zip(mine["_i"], mine["node"], mine["root"], mine["_bands"], mine["_set"]):
+                near = np.minimum(sizes, len(blob)) >= threshold * np.maximum(sizes, len(blob)) - 1e-9
+                near &= (roots != [root["_d"], root["_t"]]).any(axis=1)
+                near &= (bands == np.asarray(own)).argmax(axis=1) == band
+                for j in np.flatnonzero(near):
+                    if _linked(np.frombuffer(blob, np.uint64), others[j], threshold):
+                        out.append((node, other["othernode"].iloc[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    pairs = left.groupBy("band", "p", "q").cogroup(right.groupBy("otherband", "otherp", "otherq"))
+    return pairs.applyInPandas(compare, "a struct<_d:bigint,_t:int>, b struct<_d:bigint,_t:int>")
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
                            id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
     """One row per input row: id, ``class_id`` (the least id of its class), ``is_first``, ``n_texts`` (different texts in the class).
@@ -166,7 +207,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY, shing
 
     Pairs are made in steps that keep hot bands linear: every text with the first of its
     bands, then with one text of the largest component met in each band still divided,
-    and last all remaining pairs across components of one band. Texts without a word
+    and last all remaining pairs across components of one band: listed where the band
+    is small, else compared block by block, which moves each text once for every block
+    of others instead of once for every other. Texts without a word
     (null, empty, blanks) are classes of equal texts. Repeated rows share a class, of
     which one row is first. A null id comes first and gives a null class id. Other
     columns are ignored. With ``tag_col`` the hash ``xxhash64`` of the text is added.
@@ -178,7 +221,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY, shing
     texts = step(texts.select("_k", F.struct("s._d", "s._t").alias("node"), "s._n", "s._bands"), "texts")
     met = texts.where("_n > 0").select("node", "_n", F.posexplode("_bands").alias("_i", "_h"))
     heads = met.groupBy("_i", "_h").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    met = step(met.join(heads.drop("_m"), ["_i", "_h"]).select(F.xxhash64("_i", "_h").alias("band"), "node", "_n", "head"), "met")
+    met = step(met.join(heads.drop("_m"), ["_i", "_h"]).select(F.xxhash64("_i", "_h").alias("band"), "_i", "node", "_n", "head"), "met")
     members = met.select("node", "_n").distinct()
     wanted = members.select(F.col("node._d").alias("_d"), F.col("node._t").alias("_t"))
     sets = base.join(wanted.hint("shuffle_hash"), ["_d", "_t"], "left_semi")
@@ -197,19 +240,22 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY, shing
     links = step(verified(sized(first.join(size, "b"))), "links")
     for last in (False, True):
         roots = components(links)
-        placed = met.join(roots, "node", "left").select("band", "node", "_n", F.coalesce("root", "node").alias("root"))
+        placed = met.join(roots, "node", "left").select("band", "_i", "node", "_n", F.coalesce("root", "node").alias("root"))
         groups = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct("node", "_n")).alias("pick"))
-        major = groups.groupBy("band").agg(F.max(F.struct("_m", "root", "pick")).alias("top"), F.count(F.lit(1)).alias("_groups")).where("_groups > 1")
-        divided = step(placed.join(major.select("band", "top"), "band").select("band", "node", "_n", "root", "top"), "divided")
-        minor = divided.where(F.col("root") != F.col("top.root")).select("band", F.col("node").alias("a"), F.col("_n").alias("x"), F.col("root").alias("ra"), "top.pick")
+        major = groups.groupBy("band").agg(F.max(F.struct("_m", "root", "pick")).alias("top"), F.count(F.lit(1)).alias("_groups"), F.sum("_m").alias("_all")).where("_groups > 1")
+        divided = step(placed.join(major.select("band", "top", "_all"), "band"), "divided")
+        minor = divided.where(F.col("root") != F.col("top.root"))
         if last:
-            other = divided.select("band", F.col("node").alias("b"), F.col("_n").alias("y"), F.col("root").alias("rb"))
+            few = F.col("_all") <= LISTED
+            mine = minor.where(few).select("band", F.col("node").alias("a"), F.col("_n").alias("x"), F.col("root").alias("ra"))
+            other = divided.where(few).select("band", F.col("node").alias("b"), F.col("_n").alias("y"), F.col("root").alias("rb"))
             near = F.least("x", "y") >= threshold * F.greatest("x", "y") - 1e-9
-            pairs = minor.join(other, "band").where((F.col("ra") != F.col("rb")) & near)
+            pairs = mine.join(other, "band").where((F.col("ra") != F.col("rb")) & near)
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "x", "y")
+            found = verified(sized(pairs)).unionByName(_in_blocks(divided.where(~few), texts, sets, threshold))
         else:
-            pairs = minor.select("a", "x", F.col("pick.node").alias("b"), F.col("pick._n").alias("y"))
-        links = step(links.unionByName(verified(sized(pairs))), "links")
+            found = verified(sized(minor.select(F.col("node").alias("a"), F.col("_n").alias("x"), F.col("top.pick.node").alias("b"), F.col("top.pick._n").alias("y"))))
+        links = step(links.unionByName(found), "links")
     roots = components(links)
     named = texts.join(roots, "node", "left").select("_k", F.coalesce("root", "node").alias("root"))
     counts = named.groupBy("root").agg(F.count(F.lit(1)).alias("n_texts"))
