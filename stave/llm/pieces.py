@@ -225,36 +225,60 @@ def encode_slice(auto: Automaton, raw: np.ndarray, bounds: np.ndarray) -> tuple[
     return ids[index], total[np.searchsorted(begin, at)]
 
 
-def _encode(pieces: Pieces) -> Callable:
+class Spelling:
+    """The bytes of all pieces in one buffer, to spell ids by one gather."""
+
+    def __init__(self, pieces: Pieces):
+        whole = [s.replace(BLANK, " ").encode() if p else b"" for s, p in zip(pieces.spelled, pieces.plain)]
+        for b, i in enumerate(pieces.bytes_at):
+            whole[i] = bytes([b])
+        self.size = np.array([len(x) for x in whole], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(whole), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of a sequence of ids, and where each id's begin."""
+        each = self.size[ids]
+        total = np.concatenate([[0], np.cumsum(each)])
+        return self.letters[np.arange(total[-1]) + np.repeat(self.start[ids] - total[:-1], each)], total
+
+
+def spells(spelling: Spelling, ids: np.ndarray, at: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether the ids of each row decode to its text."""
+    data, total = spelling.bytes_of(ids)
+    edges = total[at]
+    out = np.zeros(len(bounds) - 1, bool)
+    for i in range(len(out)):
+        told = data[edges[i]: edges[i + 1]]
+        told = told[1:] if len(told) and told[0] == 0x20 else told
+        out[i] = np.array_equal(told, raw[bounds[i]: bounds[i + 1]])
+    return out
+
+
+def _encode(pieces: Pieces, checked: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton(pieces)
+        auto, spelling = automaton(pieces), Spelling(pieces) if checked else None
         for batch in batches:
             for a, b, raw, bounds in documents(batch, "_text"):
                 ids, at = encode_slice(auto, raw, bounds)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:-1]] + [lists], [*batch.schema.names[:-1], "_ids"])
+                made = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))]
+                if checked:
+                    made.append(pa.array(spells(spelling, ids, at, raw, bounds)))
+                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:-1]] + made, [*batch.schema.names[:-1], "_ids", "_same"][: batch.num_columns - 1 + len(made)])
 
     return run
 
 
 def _decode(pieces: Pieces) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [s.replace(BLANK, " ").encode() if p else b"" for s, p in zip(pieces.spelled, pieces.plain)]
-        for b, i in enumerate(pieces.bytes_at):
-            whole[i] = bytes([b])
-        size = np.array([len(x) for x in whole], np.int64)
-        start = np.cumsum(size) - size
-        letters = np.frombuffer(b"".join(whole), np.uint8)
+        spelling = Spelling(pieces)
         for batch in batches:
             column = batch.column("_ids")
             offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
             for a in range(0, len(column), 256):
                 b = min(len(column), a + 256)
-                ids = values[offsets[a]: offsets[b]]
-                each = size[ids]
-                total = np.concatenate([[0], np.cumsum(each)])
-                index = np.arange(total[-1]) + np.repeat(start[ids] - total[:-1], each)
-                data, at = letters[index].tobytes(), total[offsets[a: b + 1] - offsets[a]]
+                data, total = spelling.bytes_of(values[offsets[a]: offsets[b]])
+                data, at = data.tobytes(), total[offsets[a: b + 1] - offsets[a]]
                 texts = [data[x:y].decode("utf-8", "replace") for x, y in zip(at, at[1:])]
                 texts = pa.array([t[1:] if t.startswith(" ") else t for t in texts], pa.string())
                 yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:-1]] + [texts], [*batch.schema.names[:-1], "_decoded"])
@@ -275,8 +299,8 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str
     has no ids. Whole texts are read.
     """
     rest = docs.drop(ids_col)
-    out = rest.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(_encode(pieces), f"{_typed(rest)}, _ids array<int>")
-    return out.withColumnRenamed("_ids", ids_col)
+    out = rest.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    return out.mapInArrow(_encode(pieces, False), f"{_typed(rest)}, _ids array<int>").withColumnRenamed("_ids", ids_col)
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -286,9 +310,12 @@ def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: s
     return out.withColumnRenamed("_decoded", text_col)
 
 
+def encoded(docs: DataFrame, pieces: Pieces, keep: list[str], text_col: str = "text") -> DataFrame:
+    """Chosen columns, ``n_ids``, ``ids`` and ``round_trip``; the texts go to the tasks, but do not come back."""
+    kind = f"{_typed(docs.select(*keep))}, _ids array<int>, _same boolean"
+    out = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(_encode(pieces, True), kind)
+    return out.select(*keep, F.size("_ids").alias("n_ids"), F.col("_ids").alias("ids"), F.col("_same").alias("round_trip"))
+
+
 def op3_pieces(spark, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
-    pieces = load_pieces(model_path)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs, pieces), pieces)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return both.select("doc_id", F.size("ids").alias("n_ids"), "ids", same.alias("round_trip"))
+    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), load_pieces(model_path), ["doc_id"])
