@@ -276,7 +276,15 @@ def _shared_runs(texts: DataFrame, unit: Unit, earlier_only: bool) -> DataFrame:
     """The runs of windows whose gram occurs again (under another id, for ``earlier_only``)."""
     seen = F.min("_d") < F.max("_d") if earlier_only else F.count(F.lit(1)) > 1
     again = texts.mapInArrow(_runs(unit, False), "_g long, _d long").groupBy("_g").agg(seen.alias("_again")).where("_again").select("_g")
-    return texts.mapInArrow(_runs(unit, True), _RUN).join(again, "_g", "left_semi")
+    return texts.mapInArrow(_runs(unit, True), _RUN).join(_apart(again), "_g", "left_semi")
+
+
+def _apart(df: DataFrame) -> DataFrame:
+    """The rows with ``_g`` as an expression, which hides how an aggregate has dealt them out.
+
+    A join behind then gets an exchange of its own, whose skewed partitions may be split.
+    """
+    return df.withColumn("_g", F.bitwise_not(F.bitwise_not("_g")))
 
 
 def _judged(written: list[DataFrame], earlier_only: bool) -> tuple[DataFrame, DataFrame]:
@@ -292,7 +300,7 @@ def _settled_any(runs: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataF
     repeated = variants.where("_n > 1").select("_g", "_v")
     settled = runs.join(repeated, ["_g", "_v"], "left_semi").select("_d", "_p")
     several = variants.groupBy("_g").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_g")
-    asked = variants.join(several, "_g", "left_semi").select("_g", F.col("_one._d").alias("_d"), F.col("_one._p").alias("_p"))
+    asked = variants.join(_apart(several), "_g", "left_semi").select("_g", F.col("_one._d").alias("_d"), F.col("_one._p").alias("_p"))
     return settled, asked
 
 
@@ -301,7 +309,7 @@ def _settled_earlier(runs: DataFrame, variants: DataFrame) -> tuple[DataFrame, D
     least = variants.select("_g", "_v", F.col("_one._d").alias("_least"))
     both = runs.join(least, ["_g", "_v"])
     several = least.groupBy("_g").agg(F.min("_least").alias("_a"), F.max("_least").alias("_b")).where("_a < _b").select("_g")
-    first = both.where("_least = _d").select(F.col("_g"), "_d", "_p").join(several, "_g", "left_semi")
+    first = both.where("_least = _d").select(F.col("_g"), "_d", "_p").join(_apart(several), "_g", "left_semi")
     return both.where("_least < _d").select("_d", "_p"), first
 
 
@@ -310,4 +318,4 @@ def _recurring(windows: DataFrame, prefix: str, earlier_only: bool) -> DataFrame
     per = windows.groupBy("_g", prefix).agg(F.min("_d").alias("_least"), F.max("_d").alias("_most"), F.count(F.lit(1)).alias("_n"))
     per = per.where("_least < _most" if earlier_only else "_n > 1").select("_g", prefix, "_least")
     goes = F.col("_least") < F.col("_d") if earlier_only else F.lit(True)
-    return windows.drop("_goes").join(per, ["_g", prefix]).withColumn("_goes", goes).drop("_least", prefix)
+    return windows.drop("_goes").join(_apart(per), ["_g", prefix]).withColumn("_goes", goes).drop("_least", prefix)

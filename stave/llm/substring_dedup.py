@@ -3,7 +3,8 @@
 Windows start at a short length; those that recur in another document are extended to
 twice the length, until the full length is reached or no candidate survives. The first
 level is taken at content-defined places only (see ``repeats``), which every longer
-repeat must share.
+repeat must share. It is long enough (seven words) that chance repeats stay rare in a
+large corpus.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from stave.llm.repeats import Unit, remove_repeats
 
 
-def cut_earlier_passages(docs: DataFrame, words: int = 13, start: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_earlier_passages(docs: DataFrame, words: int = 13, start: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each word covered by a window of ``words`` words that also starts under a smaller id.
 
     Returns one row per input row: id, ``n_words``, ``n_removed``, ``n_spans`` and ``kept``
