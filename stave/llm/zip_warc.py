@@ -1,6 +1,7 @@
 """WARC records in ZIP packages: a writer, and a reader that fetches records by byte range.
 
-A package holds WARC files and their index as stored members. The reader finds the central
+A package holds WARC files and their index as stored members; each record is compressed on
+its own, as is usual in WARC files, so a range of records can be read alone. The reader finds the central
 directory (ZIP64 included) from the end of the file, locates the members, reads the index,
 and then reads only the byte ranges of the records; nothing is extracted. Ranges are rows,
 so a large package is read by many tasks. Packages lie in any store that Arrow's file
@@ -9,6 +10,7 @@ systems open by URI.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import struct
@@ -44,7 +46,7 @@ def _record(kind: str, page: int | None, url: str, payload: bytes, size: int, di
     if kind == "revisit":
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{refers}>"]
     body = http + (payload if kind == "response" else b"")
-    return "\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+    return gzip.compress("\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n", 6, mtime=0)
 
 
 class _Packages:
@@ -61,7 +63,7 @@ class _Packages:
             self.stream = self.store.open_output_stream(self.path)
             self.package, self.index, self.size = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_STORED), [], 0
         if self.member is None:
-            self.name, self.at = f"archive/data-{len(self.package.namelist()):05d}.warc", 0
+            self.name, self.at = f"archive/data-{len(self.package.namelist()):05d}.warc.gz", 0
             self.member = self.package.open(self.name, "w", force_zip64=True)
         self.member.write(record)
         self.index.append((self.name, self.at, len(record)))
@@ -224,6 +226,8 @@ def _reader(scheme: str) -> Callable:
                 with store.open_input_file(row["path"]) as file:
                     file.seek(row["start"])
                     data = file.read(row["size"])
+                if data.startswith(b"\x1f\x8b"):
+                    data = gzip.decompress(data)
                 out = []
                 for head, block in parse_records(data):
                     http, _, payload = block.partition(b"\r\n\r\n")
