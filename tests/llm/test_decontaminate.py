@@ -43,6 +43,19 @@ def test_recall_and_verbatim(spark):
     assert all(0 <= r.distance <= D.RATE * r.item_words for r in got.values())
 
 
+def test_every_passage_of_long_items(spark):
+    rng = np.random.default_rng(11)
+    sizes = [1, 3, 7, 8, 15, 60, 100, 300, 600, 1000]
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(5000, size=n))) for i, n in enumerate(sizes)]
+    docs = []
+    for turn in range(12):
+        for i, text in items:
+            around = [" ".join(f"v{x}" for x in rng.integers(5000, size=30)) for _ in range(2)]
+            docs.append((len(items) * turn + i, f"{around[0]} {_edited(rng, text, int(D.RATE * sizes[i]))} {around[1]}"))
+    got = {(r.doc_id, r.item_id) for r in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(d, d % len(items)) for d, _ in docs} <= got
+
+
 def test_edit_distance_finds_the_best_stretch():
     text = np.array([9, 9, 1, 2, 4, 5, 9], np.uint64)
     assert D.edit_distance(np.array([1, 2, 3, 4, 5], np.uint64), text) == (1, 6)
