@@ -69,6 +69,24 @@ def test_stages(spark):
     assert len(last) == len(kept) and all(r.round_trip and r.n_ids == len(r.ids) for r in last)
 
 
+def test_language_stage_rejects_what_is_in_no_language(spark):
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*COLUMNS)
+    rng = np.random.default_rng(5)
+
+    def words(alphabet, n):
+        return " ".join("".join(alphabet[x] for x in rng.integers(len(alphabet), size=rng.integers(2, 9))) for _ in range(n))
+
+    noise = [words(alphabet, n) for alphabet in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя") for n in (100, 300) for _ in range(50)]
+    clean = [r.text for r in source.where("length(text) > 200").orderBy("doc_id").limit(300).collect()]
+    short = [" ".join(t.split()[:n]) for t in clean for n in (1, 2, 4, 8, 16)]
+    short = [t for t in short if any(c.isalpha() for c in t)]
+    rows = [(10_000 + i, t, None, "s", len(t)) for i, t in enumerate(noise)] + [(20_000 + i, t, None, "s", len(t)) for i, t in enumerate(short)]
+    kept = {r.doc_id for r in C.language_id(spark, source.unionByName(spark.createDataFrame(rows, source.schema)), BASE).select("doc_id").collect()}
+    assert sum(10_000 <= d < 20_000 for d in kept) <= 0.03 * len(noise)
+    assert sum(d >= 20_000 for d in kept) >= 0.97 * len(short)
+    assert sum(d < 10_000 for d in kept) >= 0.98 * source.count()
+
+
 def test_run_and_empty_table(spark, tmp_path):
     source = spark.read.parquet(f"{BASE}/documents.parquet")
     source.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
