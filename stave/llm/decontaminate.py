@@ -114,21 +114,22 @@ def _scan(items: Items) -> Callable:
                 if rows:
                     doc, item, end, distance, size = (np.array(x, np.int64) for x in zip(*rows))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("_d").slice(a, b - a).take(pa.array(doc)), pa.array(items.ids[item]), pa.array(end), pa.array(distance), pa.array(size)],
-                        ["_d", "item_id", "end_word", "distance", "item_words"])
+                        [*(batch.column(n).slice(a, b - a).take(pa.array(doc)) for n in ("_d", "_x")), pa.array(items.ids[item]), pa.array(end), pa.array(distance), pa.array(size)],
+                        ["_d", "_x", "item_id", "end_word", "distance", "item_words"])
 
     return run
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text",
-          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+          item_col: str = "item_id", item_text_col: str = "text", tag_col: str | None = None) -> DataFrame:
     """(id, item_id, end_word, distance, item_words): each document that holds a passage within the distance of an item.
 
     The distance counts inserted, dropped and replaced words; allowed are ``rate`` times the
     item's words. Of several passages of one item in a document the nearest is told, then
-    the first. Words are compared in lower case (ASCII) and without punctuation. Null,
+    the first; documents of one id (or without one) and different texts are told apart. Words are compared in lower case (ASCII) and without punctuation. Null,
     empty or blank texts and items match nothing; repeated rows repeat their leaks, once
-    for each id; a null document id is kept, items without an id are left out. All
+    for each id and text; a null document id is kept, items without an id are left out. With
+    ``tag_col`` the hash ``xxhash64`` of the text (null: empty) is added. All
     passages within the distance are found, for items of any length (tested).
 
     The items are the stated query set: they go to all tasks in blocks of 16 MB of text,
@@ -137,8 +138,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str
     rows = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_d"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    kind = "_d long, item_id long, end_word long, distance long, item_words long"
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_d"), F.xxhash64(text).alias("_x"), text.alias("_text"))
+    kind = "_d long, _x long, item_id long, end_word long, distance long, item_words long"
     out = None
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id", "_text"), F.lit(blocks)) == block).collect()
@@ -146,8 +148,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str
         words, at = folded_words(raw, bounds)
         hits = texts.mapInArrow(_scan(Items(np.array([r["item_id"] for r in part], np.int64), words, at, rate)), kind)
         out = hits if out is None else out.unionByName(hits)
-    best = out.groupBy("_d", "item_id").agg(F.min(F.struct("distance", "end_word", "item_words")).alias("m"))
-    return best.select(F.when(F.col("_d") != NULL_ID, F.col("_d")).alias(id_col), "item_id", "m.end_word", "m.distance", "m.item_words")
+    best = out.groupBy("_d", "_x", "item_id").agg(F.min(F.struct("distance", "end_word", "item_words")).alias("m"))
+    tag = [F.col("_x").alias(tag_col)] if tag_col else []
+    return best.select(F.when(F.col("_d") != NULL_ID, F.col("_d")).alias(id_col), *tag, "item_id", "m.end_word", "m.distance", "m.item_words")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -87,6 +87,16 @@ def test_language_stage_rejects_what_is_in_no_language(spark):
     assert sum(d < 10_000 for d in kept) >= 0.98 * source.count()
 
 
+def test_leaks_of_one_id_are_told_apart(spark):
+    item = spark.read.parquet(f"{BASE}/benchmark.parquet").first().text
+    rows = [(d, f"{start} {x}", "en", "s", 1) for d in (None, 7) for start in ("one", "two") for x in (item, "is a clean text")]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in COLUMNS))
+    kept = C.decontaminate(spark, docs, BASE)
+    assert kept.columns == COLUMNS and collections.Counter(map(tuple, kept.collect())) == collections.Counter(r for r in rows if item not in r[1])
+    found = C.leaks(docs, spark.read.parquet(f"{BASE}/benchmark.parquet").limit(1))
+    assert found.count() == 4 and found.where("doc_id IS NULL").count() == 2
+
+
 def test_run_and_empty_table(spark, tmp_path):
     source = spark.read.parquet(f"{BASE}/documents.parquet")
     source.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
