@@ -193,7 +193,7 @@ def _in_blocks(divided: DataFrame, texts: DataFrame, sets: DataFrame, threshold:
         return pd.DataFrame(out, columns=["a", "b"])
 
     pairs = left.groupBy("band", "p", "q").cogroup(right.groupBy("otherband", "otherp", "otherq"))
-    return pairs.applyInPandas(compare, "a struct<_d:bigint,_t:int>, b struct<_d:bigint,_t:int>")
+    return pairs.applyInPandas(compare, "a struct<_d:bigint,_t:bigint>, b struct<_d:bigint,_t:bigint>")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
@@ -216,7 +216,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY, shing
     """
     base = keyed(docs, id_col, text_col)
     signed = step(base.withColumns({"_k": F.unhex(F.md5("_text")), "_x": F.xxhash64("_text")}).mapInArrow(
-        _bands(shingle, bands, rows), "_d long, _t int, _k binary, _x long, _n long, _bands array<long>"), "darts")
+        _bands(shingle, bands, rows), "_d long, _t long, _k binary, _x long, _n long, _bands array<long>"), "darts")
     texts = signed.groupBy("_k").agg(F.min(F.struct("_d", "_t", "_n", "_bands")).alias("s"))
     texts = step(texts.select("_k", F.struct("s._d", "s._t").alias("node"), "s._n", "s._bands"), "texts")
     met = texts.where("_n > 0").select("node", "_n", F.posexplode("_bands").alias("_i", "_h"))
@@ -225,12 +225,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY, shing
     members = met.select("node", "_n").distinct()
     wanted = members.select(F.col("node._d").alias("_d"), F.col("node._t").alias("_t"))
     sets = base.join(wanted.hint("shuffle_hash"), ["_d", "_t"], "left_semi")
-    sets = step(sets.mapInArrow(_sets(shingle), "_d long, _t int, _set binary").groupBy("_d", "_t").agg(F.first("_set").alias("_set"))
+    sets = step(sets.mapInArrow(_sets(shingle), "_d long, _t long, _set binary").groupBy("_d", "_t").agg(F.first("_set").alias("_set"))
                   .select(F.struct("_d", "_t").alias("node"), "_set"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("_set").alias("_left")), "a").join(sets.select(F.col("node").alias("b"), F.col("_set").alias("_right")), "b")
-        return both.select("a", "b", "_left", "_right").mapInArrow(_similar(threshold), "a struct<_d:bigint,_t:int>, b struct<_d:bigint,_t:int>")
+        return both.select("a", "b", "_left", "_right").mapInArrow(_similar(threshold), "a struct<_d:bigint,_t:bigint>, b struct<_d:bigint,_t:bigint>")
 
     def sized(pairs: DataFrame) -> DataFrame:
         return pairs.where(F.least("x", "y") >= threshold * F.greatest("x", "y") - 1e-9).select("a", "b").distinct()

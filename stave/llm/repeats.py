@@ -31,10 +31,10 @@ from stave.llm.rolling import Rolling, anchored_runs, byte_rolling, documents, m
 from stave.llm.steps import discard, step
 
 NULL_ID = -(1 << 63)
-_RUN = "_g long, _d long, _p long, _v long"
+_RUN = "_g long, _d long, _t long, _p long, _v long"
 _LOW48, _LOW40 = np.uint64((1 << 48) - 1), np.uint64((1 << 40) - 1)
-# A run's place in one long: 14 bits of the text's hash, 31 of the first window, 9 each of the
-# number of windows and of the gram's distance from the first.
+# A run's place in one long: 31 bits of the first window, 9 each of the number of windows and
+# of the gram's distance from the first. Its text is known by id and hash beside it.
 _COUNT_BITS, _FIRST_BITS = 9, 31
 
 
@@ -68,17 +68,20 @@ class Unit:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_d, _t, _text): the id (a null is less than all others), 14 bits of the text's hash, the text (null: empty)."""
+    """(_d, _t, _text): the id (a null is less than all others), the text's 64-bit hash, the text (null: empty).
+
+    Of ten million different texts under one id, or without one, two share a hash with a chance of 3 in a million.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_d"),
-        F.coalesce(F.xxhash64(text).bitwiseAND(0x3FFF), F.lit(0)).cast("int").alias("_t"),
+        F.xxhash64(text).alias("_t"),
         text.alias("_text"),
     )
 
 
-def _packed(tag: np.ndarray, first: np.ndarray, count: np.ndarray, back: np.ndarray) -> np.ndarray:
-    return (tag.astype(np.int64) << (_FIRST_BITS + 2 * _COUNT_BITS)) | (first << (2 * _COUNT_BITS)) | (count << _COUNT_BITS) | back
+def _packed(first: np.ndarray, count: np.ndarray, back: np.ndarray) -> np.ndarray:
+    return (first << (2 * _COUNT_BITS)) | (count << _COUNT_BITS) | back
 
 
 def _runs(unit: Unit, full: bool) -> Callable:
@@ -96,8 +99,8 @@ def _runs(unit: Unit, full: bool) -> Callable:
                     yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[a:b][row])], ["_g", "_d"])
                     continue
                 whole = (rolling.stretch(first, first + count - 1 + unit.span) & _LOW40).view(np.int64)
-                packed = _packed(tags[a:b][row], first - at[row], count, place - first)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[a:b][row]), pa.array(packed), pa.array(whole)], ["_g", "_d", "_p", "_v"])
+                packed = _packed(first - at[row], count, place - first)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[a:b][row]), pa.array(tags[a:b][row]), pa.array(packed), pa.array(whole)], ["_g", "_d", "_t", "_p", "_v"])
 
     return run
 
@@ -107,7 +110,6 @@ def _unpacked(df: DataFrame) -> DataFrame:
         return F.shiftright("_p", low).bitwiseAND((1 << width) - 1)
 
     return df.withColumns({
-        "_t": F.shiftright("_p", _FIRST_BITS + 2 * _COUNT_BITS).cast("int"),
         "_first": bits(2 * _COUNT_BITS, _FIRST_BITS),
         "_count": bits(_COUNT_BITS, _COUNT_BITS).cast("int"),
         "_back": bits(0, _COUNT_BITS).cast("int"),
@@ -151,7 +153,7 @@ def _segments(unit: Unit) -> Callable:
                 key = mix(core + mix(g.view(np.uint64) + number.astype(np.uint64))).view(np.int64)
                 start, many = lead + far - most, most - least + 1
                 whole = (rolling.stretch(start + at[who - a], start + at[who - a] + many - 1 + unit.span) & _LOW40).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[who]), pa.array(_packed(tags[who], start, many, most)), pa.array(whole)], ["_g", "_d", "_p", "_v"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[who]), pa.array(tags[who]), pa.array(_packed(start, many, most)), pa.array(whole)], ["_g", "_d", "_t", "_p", "_v"])
 
     return run
 
@@ -258,7 +260,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, id_col: str, text_col: str, earl
         written.append(step(of_texts(asked, _segments(unit), _RUN), "segments"))
         settled, asked = _judged(written, earlier_only)
         marks.append(settled)
-    windows = step(of_texts(asked, _prefixes(unit), f"_g long, _d long, _t int, _first long{kinds}"), "windows")
+    windows = step(of_texts(asked, _prefixes(unit), f"_g long, _d long, _t long, _first long{kinds}"), "windows")
     written.append(windows)
     for length in unit.lengths:
         windows = _recurring(windows, f"_h{length}", earlier_only)
@@ -290,7 +292,7 @@ def _apart(df: DataFrame) -> DataFrame:
 def _judged(written: list[DataFrame], earlier_only: bool) -> tuple[DataFrame, DataFrame]:
     """The settled and the asked ones of the runs written last."""
     runs = written[-1]
-    variants = step(runs.groupBy("_g", "_v").agg(F.min(F.struct("_d", "_p")).alias("_one"), F.count(F.lit(1)).alias("_n")), "variants")
+    variants = step(runs.groupBy("_g", "_v").agg(F.min(F.struct("_d", "_t", "_p")).alias("_one"), F.count(F.lit(1)).alias("_n")), "variants")
     written.append(variants)
     return (_settled_earlier if earlier_only else _settled_any)(runs, variants)
 
@@ -298,9 +300,9 @@ def _judged(written: list[DataFrame], earlier_only: bool) -> tuple[DataFrame, Da
 def _settled_any(runs: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs equal to another run; one run of each variant, where a gram has several variants."""
     repeated = variants.where("_n > 1").select("_g", "_v")
-    settled = runs.join(repeated, ["_g", "_v"], "left_semi").select("_d", "_p")
+    settled = runs.join(repeated, ["_g", "_v"], "left_semi").select("_d", "_t", "_p")
     several = variants.groupBy("_g").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_g")
-    asked = variants.join(_apart(several), "_g", "left_semi").select("_g", F.col("_one._d").alias("_d"), F.col("_one._p").alias("_p"))
+    asked = variants.join(_apart(several), "_g", "left_semi").select("_g", "_one._d", "_one._t", "_one._p")
     return settled, asked
 
 
@@ -309,8 +311,8 @@ def _settled_earlier(runs: DataFrame, variants: DataFrame) -> tuple[DataFrame, D
     least = variants.select("_g", "_v", F.col("_one._d").alias("_least"))
     both = runs.join(least, ["_g", "_v"])
     several = least.groupBy("_g").agg(F.min("_least").alias("_a"), F.max("_least").alias("_b")).where("_a < _b").select("_g")
-    first = both.where("_least = _d").select(F.col("_g"), "_d", "_p").join(_apart(several), "_g", "left_semi")
-    return both.where("_least < _d").select("_d", "_p"), first
+    first = both.where("_least = _d").select(F.col("_g"), "_d", "_t", "_p").join(_apart(several), "_g", "left_semi")
+    return both.where("_least < _d").select("_d", "_t", "_p"), first
 
 
 def _recurring(windows: DataFrame, prefix: str, earlier_only: bool) -> DataFrame:

@@ -74,3 +74,11 @@ def test_nulls_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.class_id)) for r in near_duplicate_classes(df).collect()) == [("4", "None"), ("None", "None"), ("None", "None"), ("None", "None")]
     assert near_duplicate_classes(df.where("false")).count() == 0
+
+
+def test_different_texts_without_an_id(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(100_000, size=60)) for _ in range(1500)]
+    docs = spark.createDataFrame([(None, t + end) for t in texts for end in (" one", " two")], "doc_id long, text string")
+    got = near_duplicate_classes(docs).collect()
+    assert len(got) == 3000 and {r.n_texts for r in got} == {2} and sum(r.is_first for r in got) == 1500

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,16 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert cut_repeated_bytes(df).count() == 0
     assert cut_earlier_passages(df).count() == 0
+
+
+def test_different_texts_without_an_id(spark):
+    rng = np.random.default_rng(4)
+    passage = "".join(chr(97 + x) for x in rng.integers(26, size=450))
+    starts = ["".join(chr(65 + x) for x in rng.integers(26, size=n)) for n in rng.integers(20, 380, size=2000)]
+    texts = [f"{s}{passage}{s}" if i % 2 else s for i, s in enumerate(starts)]
+    count, want = collections.Counter(t[p: p + 400] for t in texts for p in range(len(t) - 399)), collections.Counter()
+    for t in texts:
+        gone = {i for p in range(len(t) - 399) if count[t[p: p + 400]] > 1 for i in range(p, p + 400)}
+        want["".join(c for i, c in enumerate(t) if i not in gone)] += 1
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert collections.Counter(bytes(r.kept).decode() for r in cut_repeated_bytes(docs).collect()) == want
