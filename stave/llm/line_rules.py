@@ -96,12 +96,13 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["_id", "_host", "_k", *MEASURES, "_lines"])
 
 
-def judge_lines(docs: DataFrame, least: int = 20, share: float = 0.005, depleted: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judge_lines(docs: DataFrame, least: int = 20, share: float = 0.005, depleted: float = 0.5, most: int = 100, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per input row: id, the measures, ``n_removed_lines``, ``n_removed_words``, ``base_failed`` and ``kept``.
 
     A line (its words in lower case, blanks as one) is boilerplate where more than
     ``least`` different texts of its host hold it, and more than ``share`` of the host's
-    texts. Equal texts of a host count as one document, however often a line occurs in a
+    texts, or more than ``most`` of them, so that the limit does not grow with the host
+    beyond that. Equal texts of a host count as one document, however often a line occurs in a
     text. Kept is a row that passes the base rules and loses at most ``depleted`` of its words.
     Null and empty texts have no words and fail; a null host is a host of its own; repeated
     rows are judged alike; a null id stays null. Other columns are ignored.
@@ -113,7 +114,7 @@ def judge_lines(docs: DataFrame, least: int = 20, share: float = 0.005, depleted
     texts = rows.groupBy("_host", "_k").agg(F.first("_lines").alias("_lines"))
     hosts = rows.select("_host", "_k").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
     counts = texts.select("_host", F.explode("_lines.h").alias("h")).groupBy("_host", "h").agg(F.count(F.lit(1)).alias("_in")).where(F.col("_in") > least)
-    common = step(counts.join(hosts, "_host").where(F.col("_in") > share * F.col("_texts")).select("_host", "h"), "common_lines")
+    common = step(counts.join(hosts, "_host").where(F.col("_in") > F.least(share * F.col("_texts"), F.lit(float(most)))).select("_host", "h"), "common_lines")
     lines = rows.select("_row", "_host", F.explode("_lines").alias("l")).select("_row", "_host", "l.h", "l.n")
     lost = lines.join(common, ["_host", "h"], "left_semi").groupBy("_row").agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("n").alias("n_removed_words"))
     out = rows.drop("_lines").join(lost, "_row", "left").withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in ("n_removed_lines", "n_removed_words")})

@@ -52,6 +52,12 @@ def test_line_rules(spark, least, share):
         assert (r.n_removed_lines, r.n_removed_words, r.base_failed, r.kept) == (len(common), lost, failed, not failed and lost <= 0.5 * len(words)), d
 
 
+def test_limit_does_not_grow_with_the_host(spark):
+    rows = [(i, f"text number {i} stands alone\n" + ("subscribe to our letter" if i < 120 else ""), "big") for i in range(30_000)]
+    got = {r.doc_id: r.n_removed_lines for r in judge_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i] == (i < 120) for i in got)
+
+
 def _base(text):
     out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
     out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
