@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stave.llm.dart_minhash import op2_dart_minhash
 from stave.llm.decontaminate import op4_decontaminate
 from stave.llm.hd_language import op9_hd_language
+from stave.llm.hard_negatives import op11_hard_negatives
 from stave.llm.hilbert_shards import op1_hilbert_shards
 from stave.llm.line_rules import op5_line_rules
 from stave.llm.linked_secrets import op6_linked_secrets
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_zip_warc": op8_zip_warc,
     "op9_hd_language": op9_hd_language,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "pipeline": pipeline,
 }
 # SQL on whole tables is too slow or cannot express the methods; tests/llm holds each query against brute force.
