@@ -13,6 +13,7 @@ from stave.llm.hard_negatives import op11_hard_negatives
 from stave.llm.hilbert_shards import op1_hilbert_shards
 from stave.llm.line_rules import op5_line_rules
 from stave.llm.linked_secrets import op6_linked_secrets
+from stave.llm.periodic_runs import op13_periodic_runs
 from stave.llm.pieces import op3_pieces
 from stave.llm.substring_dedup import op10_substring_dedup
 from stave.llm.suffix_dedup import op7_suffix_dedup
@@ -38,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hd_language": op9_hd_language,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 # SQL on whole tables is too slow or cannot express the methods; tests/llm holds each query against brute force.
