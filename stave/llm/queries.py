@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stave.llm.contextual_pii import op12_contextual_pii
 from stave.llm.dart_minhash import op2_dart_minhash
 from stave.llm.decontaminate import op4_decontaminate
 from stave.llm.hd_language import op9_hd_language
@@ -39,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hd_language": op9_hd_language,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_contextual_pii": op12_contextual_pii,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
