@@ -56,6 +56,33 @@ def test_every_passage_of_long_items(spark):
     assert {(d, d % len(items)) for d, _ in docs} <= got
 
 
+def test_against_the_distance_to_every_stretch(spark):
+    base = "/root/testdata/sf0.001"
+    rng = np.random.default_rng(9)
+    items = [tuple(r) for r in spark.read.parquet(f"{base}/benchmark.parquet").select("item_id", "text").limit(15).collect()]
+    items += [(7_000 + n, " ".join(f"w{x}" for x in rng.integers(40, size=n))) for n in (1, 2, 9, 70, 130)]
+    docs = [tuple(r) for r in spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text").collect()][:60]
+    docs += [(20_000 + i, f"{docs[i % 9][1][:90]} {_edited(rng, t, int(k * D.RATE * len(t.split())))} {docs[i % 7][1][:60]}") for k in (0.5, 1, 1.3) for i, (_, t) in enumerate(items)]
+
+    def words(text):
+        return "".join(c.lower() if "A" <= c <= "Z" else " " if c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in text).split()
+
+    want = set()
+    for d, text in docs:
+        mine = words(text)
+        for i, t in items:
+            row = [0] * (len(mine) + 1)
+            for n, w in enumerate(words(t)):
+                new = [n + 1]
+                for j, x in enumerate(mine):
+                    new.append(min(row[j] + (x != w), row[j + 1] + 1, new[j] + 1))
+                row = new
+            if min(row) <= D.RATE * len(words(t)):
+                want.add((d, i, row.index(min(row)), min(row), len(words(t))))
+    got = D.leaks(spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string"))
+    assert set(map(tuple, got.collect())) == want and len(want) > 30
+
+
 def test_edit_distance_finds_the_best_stretch():
     text = np.array([9, 9, 1, 2, 4, 5, 9], np.uint64)
     assert D.edit_distance(np.array([1, 2, 3, 4, 5], np.uint64), text) == (1, 6)
