@@ -53,7 +53,8 @@ def letters_of(codes: np.ndarray) -> np.ndarray:
 def gram_counts(raw: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, gram number, count) ordered by row, and the letters of each gram number.
 
-    A run of other characters counts as one blank; each row starts with a blank.
+    A run of other characters counts as one blank; each row starts with a blank. A row with
+    a letter but fewer than n symbols ends with blanks, so that it has a gram as well.
     """
     codes, at = code_points(raw, bounds)
     rows = len(at) - 1
@@ -65,6 +66,9 @@ def gram_counts(raw: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray
     first = np.searchsorted(row, np.arange(rows))
     filled = first < np.searchsorted(row, np.arange(rows), "right")
     letters, row = np.insert(letters, first[filled], 0), np.insert(row, first[filled], np.arange(rows)[filled])
+    last = np.searchsorted(row, np.arange(rows), "right")
+    short = np.where(filled, np.maximum(0, n - (last - np.searchsorted(row, np.arange(rows)))), 0)
+    letters, row = np.insert(letters, np.repeat(last, short), 0), np.insert(row, np.repeat(last, short), np.repeat(np.arange(rows), short))
     alphabet, letter = np.unique(letters, return_inverse=True)
     size, count = len(alphabet), len(letters) - n + 1
     if count <= 0:

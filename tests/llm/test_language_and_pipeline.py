@@ -41,6 +41,15 @@ def test_vectors_against_plain_sums():
         assert np.array_equal(v, np.roll(table[s[0]], 2) * np.roll(table[s[1]], 1) * table[s[2]])
 
 
+def test_texts_of_one_letter(spark):
+    known = H.profiles(spark.read.parquet(f"{BASE}/documents.parquet"))
+    texts = ["a", "the", "é", "5 b", "...", "", "b 5", "x", "12 e"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in H.identify(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), known).collect()}
+    assert all((got[i].lang_pred == "und") == (not any(c.isalpha() for c in t)) for i, t in rows)
+    assert all(got[i].score == 0 for i in (4, 5))
+
+
 def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     assert H.profiles(docs) == {} and H.identify(docs, {}).first().lang_pred == "und"
