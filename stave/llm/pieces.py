@@ -22,7 +22,7 @@ from stave.llm.rolling import Rolling, documents, mix
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-_built: dict[int, Automaton] = {}
+_built: list[tuple[Pieces, Automaton]] = []
 
 
 @dataclass(frozen=True)
@@ -192,11 +192,10 @@ class Automaton:
 
 
 def automaton(pieces: Pieces) -> Automaton:
-    key = hash((len(pieces.spelled), pieces.scores[:64], pieces.scores[-64:], pieces.spelled[-64:]))
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton(pieces)
-    return _built[key]
+    """The automaton of a vocabulary; a worker keeps the last one, and knows it by all of the vocabulary."""
+    if not _built or (_built[0][0] is not pieces and _built[0][0] != pieces):
+        _built[:] = [(pieces, Automaton(pieces))]
+    return _built[0][1]
 
 
 def encode_slice(auto: Automaton, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

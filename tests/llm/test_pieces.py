@@ -1,5 +1,6 @@
 """Encoding against a plain dynamic programme, decoding as an exact round trip."""
 
+import dataclasses
 import math
 
 import numpy as np
@@ -62,6 +63,16 @@ def test_round_trip_and_clashing_columns(spark, vocabulary):
     assert P.encode(docs.where("false"), vocabulary).count() == 0
 
 
+def test_automata_of_similar_vocabularies(vocabulary):
+    turned = [*vocabulary.spelled]
+    turned[1000], turned[1001] = turned[1001], turned[1000]
+    other = dataclasses.replace(vocabulary, spelled=tuple(turned))
+    mine, again = P.automaton(vocabulary), P.automaton(dataclasses.replace(vocabulary))
+    assert mine is again and P.automaton(other) is not mine
+    raw, bounds = text_buffers(pa.array([turned[1000].replace("▁", " ").strip()]))
+    assert P.encode_slice(P.automaton(other), raw, bounds)[0].tolist() == _plain(turned[1000].replace("▁", " ").strip(), other, P.automaton(other).unknown)
+
+
 def test_lone_bytes_decode_to_a_replacement(spark, vocabulary):
     df = spark.createDataFrame([(1, [vocabulary.bytes_at[0xE9]]), (2, None)], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in P.decode(df, vocabulary).collect()} == {1: "�", 2: ""}
