@@ -13,9 +13,11 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
@@ -31,12 +33,19 @@ REVISIT_BYTES = 100
 PACKAGE_BYTES = 256 << 20
 MEMBER_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
+#: Packed bytes that one task reads, and unpacked ones that it hands on at a time; packages whose indexes one task reads.
+TASK_BYTES, BATCH_BYTES, TASK_INDEXES, MOST_TASKS = 8 << 20, 16 << 20, 4, 50_000
 # Fixed values of the formats.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 _END, _END64, _LOCATE64, _ENTRY, _LOCAL = b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4"
 
 
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a folder, also by the scheme names of Hadoop."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def _record(kind: str, page: int | None, url: str, payload: bytes, size: int, digest: str, refers: int | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     head = [
@@ -53,7 +62,7 @@ class _Packages:
     """Writes records to members of packages, and starts anew at the size limits."""
 
     def __init__(self, folder: str):
-        self.store, self.folder = fs.FileSystem.from_uri(folder)
+        self.store, self.folder = open_store(folder)
         self.written: list[tuple[str, int]] = []
         self.package = self.member = None
 
@@ -108,10 +117,10 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     The payload is the text in UTF-8 (null: empty). Of rows with equal payloads of at
     least 100 bytes, that of the smallest id is a response and the others revisit it; a
     null id revisits unless all its equals are null too. Repeated rows are repeated
-    records, and those of the smallest id are all responses. A task that is run again
+    records, and those of the smallest id are all responses; an empty table gives no package. A task that is run again
     writes new packages; only those of the returned table count.
     """
-    store, path = fs.FileSystem.from_uri(folder)
+    store, path = open_store(folder)
     store.create_dir(path, recursive=True)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "n": F.octet_length("payload").cast("long")})
@@ -175,7 +184,7 @@ def _ranges(scheme: str) -> Callable:
     """Byte ranges of whole records, from the packages' indexes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(scheme)
+        store, _ = open_store(scheme)
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 starts, sizes = [], []
@@ -218,37 +227,77 @@ def _page(name: str | None) -> int | None:
     return int(digits) if digits else None
 
 
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The members of a range of gzip members one by one, or the range itself if it isn't packed."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof and at < len(data):
+            part = view[at: at + 65536]
+            parts.append(member.decompress(part))
+            at += len(part)
+        if not member.eof:
+            raise ValueError("a record is cut off")
+        at -= len(member.unused_data)
+        yield b"".join(parts)
+
+
+_READ = ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())
+
+
+def _read(path: str, head: dict[str, str], block: bytes) -> tuple:
+    """The columns of a record; a response's payload must be that of its digest."""
+    http, _, payload = block.partition(b"\r\n\r\n")
+    told = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode().split("\r\n")[1:])}
+    response = head["warc-type"] == "response"
+    digest = hashlib.sha256(payload).hexdigest() if response else head["warc-payload-digest"].removeprefix("sha256:")
+    if response and head["warc-payload-digest"] != f"sha256:{digest}":
+        raise ValueError(f"a payload in {path} is not that of its digest")
+    return _page(head["warc-record-id"]), head["warc-target-uri"], int(told["content-length"]), digest, head["warc-type"], _page(head.get("warc-refers-to")), payload if response else None
+
+
 def _reader(scheme: str) -> Callable:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows), _READ)], [n for n, _ in _READ])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(scheme)
+        store, _ = open_store(scheme)
         for batch in batches:
             for row in batch.to_pylist():
                 with store.open_input_file(row["path"]) as file:
                     file.seek(row["start"])
                     data = file.read(row["size"])
-                if data.startswith(b"\x1f\x8b"):
-                    data = gzip.decompress(data)
-                out = []
-                for head, block in parse_records(data):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    told = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode().split("\r\n")[1:])}
-                    response = head["warc-type"] == "response"
-                    digest = hashlib.sha256(payload).hexdigest() if response else head["warc-payload-digest"].removeprefix("sha256:")
-                    if response and head["warc-payload-digest"] != f"sha256:{digest}":
-                        raise ValueError(f"a payload in {row['path']} is not that of its digest")
-                    out.append((_page(head["warc-record-id"]), head["warc-target-uri"], int(told["content-length"]), digest, head["warc-type"], _page(head.get("warc-refers-to")), payload if response else None))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()))],
-                    ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                out, held = [], 0
+                for member in unpacked(data):
+                    for head, block in parse_records(member):
+                        out.append(_read(row["path"], head, block))
+                        held += len(block)
+                        if held >= BATCH_BYTES:
+                            yield batch_of(out)
+                            out, held = [], 0
+                if out:
+                    yield batch_of(out)
 
     return run
 
 
 def read_packages(packages: DataFrame, folder: str) -> DataFrame:
-    """One row per record of the packages (column ``path``) of a folder: id, url, payload size and digest, type, ``refers_to`` and payload (null for revisits)."""
-    ranges = step(packages.select("path").repartition(F.col("path")).mapInArrow(_ranges(folder), "path string, start long, size long"), "ranges")
-    kind = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(_reader(folder), kind)
+    """One row per record of the packages (column ``path``) of a folder: id, url, payload size and digest, type, ``refers_to`` and payload (null for revisits).
+
+    Each record is a row, so repeated records repeat; an empty table of packages gives no
+    rows, and a package that is broken or whose payload does not fit its digest is an error.
+    Ranges of 4 MB are dealt evenly over tasks of about 8 MB, and unpacked record by record.
+    """
+    # Rows are few and short here, so tasks are dealt by what they will read, not by the rows' size.
+    many = packages.count()
+    dealt = packages.select("path").repartition(min(MOST_TASKS, max(1, -(-many // TASK_INDEXES))))
+    ranges = step(dealt.mapInArrow(_ranges(folder), "path string, start long, size long"), "ranges")
+    total = ranges.agg(F.sum("size")).first()[0] or 0
+    kind = ", ".join(f"{n} {'long' if pa.types.is_integer(t) else 'binary' if pa.types.is_binary(t) else 'string'}" for n, t in _READ)
+    return ranges.repartition(min(MOST_TASKS, max(1, -(-total // TASK_BYTES)))).mapInArrow(_reader(folder), kind)
 
 
 def shared_uri(spark: SparkSession, label: str) -> str:

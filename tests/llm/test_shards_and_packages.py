@@ -1,13 +1,16 @@
 """Hilbert shards, and WARC records in ZIP packages."""
 
 import collections
+import gzip
 import hashlib
 import io
 import struct
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stave.llm import zip_warc as Z
 from stave.llm.hilbert_shards import hilbert_index, hilbert_shards, op1_hilbert_shards
@@ -70,6 +73,33 @@ def test_packages(spark, tmp_path, monkeypatch):
     assert got == want
 
 
+def test_reading_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(1)
+    pages = [(i, "u", rng.bytes(60_000).hex()) for i in range(40)]
+    monkeypatch.setattr(Z, "PACKAGE_BYTES", 500_000)
+    monkeypatch.setattr(Z, "RANGE_BYTES", 100_000)
+    monkeypatch.setattr(Z, "TASK_BYTES", 250_000)
+    monkeypatch.setattr(Z, "BATCH_BYTES", 200_000)
+    packages = Z.write_packages(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), f"file://{tmp_path}/warc")
+    got = Z.read_packages(packages, f"file://{tmp_path}/warc")
+    assert {r.page_id: bytes(r.payload).decode() for r in got.collect()} == {i: h for i, _, h in pages}
+    spread = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(spread) >= 8 and max(r["count"] for r in spread) <= 10
+    assert Z.read_packages(packages.limit(0), f"file://{tmp_path}/warc").count() == 0
+
+
+def test_empty_table_of_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert Z.op8_zip_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_members_one_by_one():
+    parts = [b"a" * 200_000, b"", b"bc"]
+    assert list(Z.unpacked(b"".join(gzip.compress(p) for p in parts))) == parts and list(Z.unpacked(b"plain")) == [b"plain"]
+    with pytest.raises(ValueError):
+        list(Z.unpacked(gzip.compress(b"x" * 99)[:-3]))
+
+
 def test_directory_of_ordinary_and_zip64_archives():
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as out:
