@@ -32,7 +32,6 @@ from stave.llm.steps import discard, step
 
 NULL_ID = -(1 << 63)
 _RUN = "_g long, _d long, _t long, _p long, _v long"
-_LOW48, _LOW40 = np.uint64((1 << 48) - 1), np.uint64((1 << 40) - 1)
 # A run's place in one long: 31 bits of the first window, 9 each of the number of windows and
 # of the gram's distance from the first. Its text is known by id and hash beside it.
 _COUNT_BITS, _FIRST_BITS = 9, 31
@@ -94,11 +93,11 @@ def _runs(unit: Unit, full: bool) -> Callable:
                 row, first, count, place = anchored_runs(grams, unit.width, at, unit.span)
                 if not len(row):
                     continue
-                gram = (grams[place] & _LOW48).view(np.int64)
+                gram = grams[place].view(np.int64)
                 if not full:
                     yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[a:b][row])], ["_g", "_d"])
                     continue
-                whole = (rolling.stretch(first, first + count - 1 + unit.span) & _LOW40).view(np.int64)
+                whole = rolling.stretch(first, first + count - 1 + unit.span).view(np.int64)
                 packed = _packed(first - at[row], count, place - first)
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[a:b][row]), pa.array(tags[a:b][row]), pa.array(packed), pa.array(whole)], ["_g", "_d", "_t", "_p", "_v"])
 
@@ -117,8 +116,8 @@ def _unpacked(df: DataFrame) -> DataFrame:
 
 
 def _listed(asked: DataFrame) -> DataFrame:
-    """The asked runs of each text; they are not longer than the text."""
-    return _unpacked(asked).groupBy("_d", "_t").agg(F.collect_list(F.struct("_g", "_first", "_count", "_back")).alias("_asked"))
+    """The asked runs of each text; a set, so equal rows add nothing, and not longer than the text."""
+    return _unpacked(asked).groupBy("_d", "_t").agg(F.collect_set(F.struct("_g", "_first", "_count", "_back")).alias("_asked"))
 
 
 def _segments(unit: Unit) -> Callable:
@@ -152,7 +151,7 @@ def _segments(unit: Unit) -> Callable:
                 core = rolling.stretch(place - number * unit.segment, place + unit.span - wide)
                 key = mix(core + mix(g.view(np.uint64) + number.astype(np.uint64))).view(np.int64)
                 start, many = lead + far - most, most - least + 1
-                whole = (rolling.stretch(start + at[who - a], start + at[who - a] + many - 1 + unit.span) & _LOW40).view(np.int64)
+                whole = rolling.stretch(start + at[who - a], start + at[who - a] + many - 1 + unit.span).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[who]), pa.array(tags[who]), pa.array(_packed(start, many, most)), pa.array(whole)], ["_g", "_d", "_t", "_p", "_v"])
 
     return run
@@ -266,7 +265,8 @@ def remove_repeats(docs: DataFrame, unit: Unit, id_col: str, text_col: str, earl
         windows = _recurring(windows, f"_h{length}", earlier_only)
     marks = reduce(DataFrame.unionByName, [_unpacked(m).select("_d", "_t", "_first", "_count") for m in marks])
     marks = marks.unionByName(windows.where("_goes").select("_d", "_t", "_first", F.lit(1).alias("_count")))
-    marks = step(marks.groupBy("_d", "_t").agg(F.collect_list(F.struct("_first", "_count")).alias("_marks")), "marks")
+    # A set: equal rows bring the same marks, which must not add up.
+    marks = step(marks.groupBy("_d", "_t").agg(F.collect_set(F.struct("_first", "_count")).alias("_marks")), "marks")
     discard(*written)
     empty = F.array().cast("array<struct<_first:bigint,_count:int>>")
     both = texts.join(marks.hint("shuffle_hash"), ["_d", "_t"], "left").withColumn("_marks", F.coalesce("_marks", empty))

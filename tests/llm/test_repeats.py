@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stave.llm import repeats
 from stave.llm.substring_dedup import cut_earlier_passages
 from stave.llm.suffix_dedup import cut_repeated_bytes
 
@@ -82,3 +83,25 @@ def test_different_texts_without_an_id(spark):
         want["".join(c for i, c in enumerate(t) if i not in gone)] += 1
     docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
     assert collections.Counter(bytes(r.kept).decode() for r in cut_repeated_bytes(docs).collect()) == want
+
+
+def test_equal_rows_add_no_marks(spark, monkeypatch):
+    """Marks of a text are bounded by the text, however many equal rows there are."""
+    rng = np.random.default_rng(6)
+    text = " ".join(f"w{x}" for x in rng.integers(10_000, size=150))
+    sizes = []
+    plain = repeats.step
+
+    def watched(df, label):
+        out = plain(df, label)
+        if label == "marks":
+            sizes.append(out.agg(F.max(F.size("_marks")).alias("n")).first().n)
+        return out
+
+    monkeypatch.setattr(repeats, "step", watched)
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    got = cut_repeated_bytes(docs).groupBy("doc_id", "n_removed").count().collect()
+    assert {(r.doc_id, r.n_removed, r["count"]) for r in got} == {(None, len(text), 20_000), (1, len(text), 1)}
+    got = cut_earlier_passages(docs).groupBy("doc_id", "n_removed").count().collect()
+    assert {(r.doc_id, r.n_removed, r["count"]) for r in got} == {(None, 0, 20_000), (1, 150, 1)}
+    assert max(sizes) <= len(text)
