@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stave.functions import text as X
 from stave.functions.scalars import clamp
-from stave.operators.timeline import annotate, asof, keep_last
+from stave.operators.chains import FAR, group_starts, run_chain, run_maps
+from stave.operators.timeline import _with_blocks, annotate, asof, hot_keys, keep_last
+from stave.session import staged
 
 # Smoothing and metering constants.
 ALPHA = {"fast": 0.72, "medium": 0.38, "smooth": 0.18}
@@ -60,90 +63,72 @@ def progress_sanity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("completed", F.when(sound, F.col("completed"))).withColumn("total", F.when(sound, F.col("total")))
 
 
-def energy_history(levels: DataFrame, points: DataFrame, window_ms: int) -> DataFrame:
+def energy_history(levels: DataFrame, points: DataFrame, window_ms: int, second_ms: int = 1000) -> DataFrame:
     """Strongest and mean level over the last ``window_ms`` before each point, both ends included.
 
-    Levels are joined to points through time bins of the window's length, so a
-    row meets two bins per point and the sums are partial aggregates.
+    No level meets a point. Counts and sums are differences of running sums at the two ends
+    of the window, which as-of look-ups find. A window's greatest level is that of its whole
+    seconds, from a table of greatest levels over 1, 2, 4 ... seconds of which two cover any
+    stretch, and of the parts of its first and last second, which are running maxima within
+    a second forwards and backwards. A point is a few rows, whatever its window holds.
+    Levels are not null; a point without any in its window has no row.
     """
-    binned = levels.withColumn("_bin", F.floor(F.col("ts_ms") / window_ms))
-    wanted = points.select("track_id", "point_id", F.col("ts_ms").alias("_at")).withColumn(
-        "_bin", F.explode(F.array(F.floor(F.col("_at") / window_ms), F.floor(F.col("_at") / window_ms) - 1)))
-    hit = (F.col("ts_ms") <= F.col("_at")) & (F.col("ts_ms") >= F.col("_at") - window_ms)
-    return binned.join(wanted, ["track_id", "_bin"]).where(hit).groupBy("track_id", "point_id").agg(
-        F.max("left").alias("max_left"), F.max("right").alias("max_right"), F.avg("left").alias("avg_left"), F.avg("right").alias("avg_right"), F.count(F.lit(1)).alias("n"))
-
-
-def _ordered(df: DataFrame, key: str, order: list[str], step, schema: str) -> DataFrame:
-    """Run a state step over each key's rows in order.
-
-    Rows are sorted by Spark and streamed batch by batch; a task only ever holds
-    one batch and the state of the key at hand, whatever the key's size.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            parts = []
-            starts = np.flatnonzero(np.r_[True, batch[key].to_numpy()[1:] != batch[key].to_numpy()[:-1]])
-            for low, high in zip(starts, np.r_[starts[1:], len(batch)]):
-                part = batch.iloc[low:high]
-                name = part[key].iloc[0]
-                if name != current:
-                    current, state = name, None
-                state, made = step(state, part)
-                parts.append(made)
-            yield pd.concat(parts)
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
-
-
-FAR = 1e300
-
-
-def scan_maps(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Composes maps x -> min(high, max(low, a x + b)) with all before them in the array (a >= 0).
-
-    Such maps are closed under composition, so n of them take log2(n) vectorised rounds
-    and blocks of them can be folded apart. A constant map (a = 0) forgets what came before.
-    """
-    a, b, low, high = (np.array(x, np.float64) for x in (a, b, low, high))
-    reach = 1
-    while reach < len(a):
-        later, before = (a[reach:], b[reach:], low[reach:], high[reach:]), (a[:-reach], b[:-reach], low[:-reach], high[:-reach])
-        edges = [np.clip(later[0] * x + later[1], later[2], later[3]) for x in before[2:]]
-        a[reach:], b[reach:] = later[0] * before[0], later[0] * before[1] + later[1]
-        low[reach:], high[reach:] = edges
-        reach *= 2
-    return a, b, low, high
-
-
-def run_maps(start, a, b, low, high) -> np.ndarray:
-    """Values after each map, from ``start``."""
-    a, b, low, high = scan_maps(a, b, low, high)
-    return np.clip(a * start + b, low, high)
-
-
-def smooth_step(response: str):
-    """Exponential smoothing of band arrays; the first frame seeds."""
-    alpha = ALPHA[response]
-
-    def step(state, part: pd.DataFrame):
-        bands = np.stack([np.asarray(x, np.float64) for x in part["bands"]])
-        keep, gain = np.full(bands.shape, 1.0 - alpha), alpha * bands
-        if state is None:
-            keep[0], gain[0] = 0.0, bands[0]
-        made = run_maps(0.0 if state is None else state, keep, gain, np.zeros(bands.shape), np.ones(bands.shape))
-        return made[-1], part[["track_id", "frame_no"]].assign(bands=list(made))
-
-    return step
+    key, second_ms = ["track_id"], min(second_ms, window_ms)
+    sides = {"l": "left", "r": "right"}
+    # Whole multiples of 2**-40 add up exactly, so differences of long running sums lose nothing.
+    exact = [F.sum(F.round(F.col(n) * 2.0 ** 40).cast("decimal(20,0)")).alias(f"_s{s}") for s, n in sides.items()]
+    rows = levels.groupBy("track_id", "ts_ms").agg(*(F.max(n).alias(f"_x{s}") for s, n in sides.items()), *exact, F.count(F.lit(1)).alias("_c"))
+    rows = staged(rows.withColumn("_sec", F.floor(F.col("ts_ms") / second_ms).cast("long")), "energy")
+    sums = annotate(rows, key, ["ts_ms"], running={"_n": F.col("_c"), "_tl": F.col("_sl"), "_tr": F.col("_sr")})
+    # Within a second: the greatest level up to each row, and from each row on.
+    ahead = annotate(sums.withColumn("_back", -F.col("ts_ms")), [*key, "_sec"], ["ts_ms"], peak={f"_p{s}": F.col(f"_x{s}") for s in sides}, hot=None)
+    behind = annotate(ahead, [*key, "_sec"], ["_back"], peak={f"_q{s}": F.col(f"_x{s}") for s in sides}, hot=None)
+    reached = {f"_{to}{s}": F.greatest(f"_x{s}", f"_{of}{s}") for to, of in (("f", "p"), ("b", "q")) for s in sides}
+    payload = ["_sec", "_n", "_c", *(f"_{x}{s}" for x in "tsfb" for s in sides)]
+    anchors = behind.withColumns(reached).select("track_id", "ts_ms", *payload)
+
+    asked = points.select("track_id", "point_id", F.col("ts_ms").alias("_at"))
+    last = asof(asked, anchors, key, F.col("_at"), F.col("ts_ms"), payload, before="_last")
+    ends = asof(last, anchors, key, F.col("_at") - window_ms, F.col("ts_ms"), payload, before=None, after="_first", equal="after")
+    hit = ends.where(F.coalesce(F.col("_first.t") <= F.col("_last.t"), F.lit(False)))
+
+    level = rows.groupBy("track_id", "_sec").agg(*(F.max(f"_x{s}").alias(f"_m{s}") for s in sides))
+    table = level.withColumn("_k", F.lit(0))
+    for k in range(1, (-(-window_ms // second_ms) + 1).bit_length()):
+        both = level.withColumn("_sec", F.explode(F.array(F.col("_sec"), F.col("_sec") - (1 << (k - 1)))))
+        level = both.groupBy("track_id", "_sec").agg(*(F.max(f"_m{s}").alias(f"_m{s}") for s in sides))
+        table = table.unionByName(level.withColumn("_k", F.lit(k)))
+    low, high = F.col("_first._sec") + 1, F.col("_last._sec") - 1
+    depth = F.floor(F.log2((high - low + 1).cast("double"))).cast("int")
+    covers = F.array(F.struct(depth.alias("k"), low.alias("s")), F.struct(depth.alias("k"), (high + 1 - F.pow(F.lit(2.0), depth).cast("long")).alias("s")))
+    whole = hit.where(high >= low).select("track_id", "point_id", F.explode(covers).alias("w")).select("track_id", "point_id", F.col("w.k").alias("_k"), F.col("w.s").alias("_sec"))
+    middle = whole.join(table, ["track_id", "_k", "_sec"]).groupBy("track_id", "point_id").agg(*(F.max(f"_m{s}").alias(f"_m{s}") for s in sides))
+    joined = hit.join(middle, ["track_id", "point_id"], "left")
+    # A window is no shorter than a second, so of a lone second it holds a beginning or an end.
+    lone, begins = F.col("_first._sec") == F.col("_last._sec"), F.col("_at") - window_ms <= F.col("_last._sec") * second_ms
+    n = F.col("_last._n") - F.col("_first._n") + F.col("_first._c")
+
+    def strongest(s: str) -> Column:
+        own = F.when(begins, F.col(f"_last._f{s}")).otherwise(F.col(f"_first._b{s}"))
+        return F.when(lone, own).otherwise(F.greatest(F.col(f"_m{s}"), F.col(f"_first._b{s}"), F.col(f"_last._f{s}"))).alias(f"max_{sides[s]}")
+
+    def mean(s: str) -> Column:
+        total = F.col(f"_last._t{s}") - F.col(f"_first._t{s}") + F.col(f"_first._s{s}")
+        return (total.cast("double") / 2.0 ** 40 / n).alias(f"avg_{sides[s]}")
+
+    return joined.select("track_id", "point_id", *map(strongest, sides), *map(mean, sides), n.cast("long").alias("n"))
 
 
 def smooth_bands(spectra: DataFrame, response: str = "medium") -> DataFrame:
-    """Smoothed spectra (track_id, frame_no, bands) in frame order."""
+    """Smoothed spectra (track_id, frame_no, bands) in frame order; the first frame seeds the rest."""
+    alpha = ALPHA[response]
     rows = spectra.select("track_id", "frame_no", "bands")
-    return _ordered(rows, "track_id", ["frame_no"], smooth_step(response), "track_id string, frame_no bigint, bands array<double>")
+    hot = hot_keys(rows, ["track_id"], "frame_no")
+    first = annotate(rows, ["track_id"], ["frame_no"], lag={"_known": F.lit(True)}, hot=hot)
+    known = F.col("_known").isNotNull()
+    gain = F.when(known, alpha).otherwise(1.0)
+    out = run_chain(first, ["track_id"], ["frame_no"], "smooth", slope=F.when(known, 1.0 - alpha).otherwise(0.0), shift=F.transform("bands", lambda x: gain * x), low=0.0, high=1.0, hot=hot)
+    return out.select("track_id", "frame_no", F.col("smooth").alias("bands"))
 
 
 def meter_levels(readings: np.ndarray, gaps: np.ndarray, response: str, start: float) -> np.ndarray:
@@ -199,10 +184,59 @@ def meter_step(response: str, hold_ms: int):
 METER = "track_id string, event_id bigint, level double, held_peak double"
 
 
+def _peaks(hold_ms: int):
+    """Held peaks of sorted stretches of rows, each from no peak at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by, key, state = ["track_id", "_part"], None, (0.0, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            level, at, gap = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("level", "ts_ms", "_gap"))
+            starts, out = group_starts(batch, by), []
+            for low, high in zip(starts, np.append(starts[1:], batch.num_rows)):
+                mine = tuple(batch.column(n)[low].as_py() for n in by)
+                peak, held_at = state if mine == key else (0.0, 0)
+                peaks, held_at = held_peaks(level[low:high], at[low:high], gap[low:high], hold_ms, peak, held_at)
+                key, state = mine, (float(peaks[-1]), held_at)
+                out.append(peaks)
+            yield pa.RecordBatch.from_arrays([batch.column("track_id"), batch.column("event_id"), batch.column("level"), pa.array(np.concatenate(out))], ["track_id", "event_id", "level", "held_peak"])
+
+    return run
+
+
 def meter_history(levels: DataFrame, response: str = "medium", hold: str = "oneSecond") -> DataFrame:
-    """Meter level and held peak after each reading of ``left``."""
-    rows = levels.select("track_id", "event_id", "ts_ms", "left")
-    return _ordered(rows, "track_id", ["ts_ms", "event_id"], meter_step(response, HOLD_MS[hold]), METER)
+    """Meter level and held peak after each reading of ``left``.
+
+    Levels are a chain of maps. A peak's line is gone after the hold time and a full fall, so
+    a reading as high as all within that time before it is a peak whatever came earlier; a
+    hot key's rows are cut at such readings and its parts walked at once.
+    """
+    key, order, hold_ms = ["track_id"], ["ts_ms", "event_id"], HOLD_MS[hold]
+    rows = levels.select("track_id", "event_id", "ts_ms", clamp(F.col("left"), 0.0, 1.0).alias("_x"))
+    hot = hot_keys(rows, key, "ts_ms")
+    rows = annotate(rows, key, order, lag={"_before": F.col("ts_ms")}, hot=hot)
+    gap = F.when(F.col("_before") > 0, F.least(F.lit(MAX_STEP_MS), F.greatest(F.lit(0), F.col("ts_ms") - F.col("_before")))).otherwise(0).cast("double")
+    rows = rows.withColumn("_gap", gap)
+    stay = F.when(F.col("_gap") > 0, F.exp(-F.col("_gap") / RELEASE_MS[response])).otherwise(0.0)
+    made = run_chain(rows, key, order, "level", slope=stay, shift=(1.0 - stay) * F.col("_x"), low=F.col("_x"), hot=hot)
+    if not hold_ms:
+        return made.select("track_id", "event_id", "level", F.lit(0.0).alias("held_peak"))
+    part = F.lit(0)
+    if hot is not None:
+        # Both are read more than once.
+        made = staged(annotate(made, key, order, running={"_gone": F.col("_gap")}, hot=hot), "meter")
+        bins = made.withColumn("_bin", F.floor(F.col("_gone") / (hold_ms + 1 / PEAK_FALL_PER_MS)))
+        tops = bins.groupBy("track_id", "_bin").agg(F.max("level").alias("_top"), F.min_by(F.struct(*order), F.struct(-F.col("level"), *order)).alias("_place"))
+        before = tops.select("track_id", (F.col("_bin") + 1).alias("_bin"), F.col("_top").alias("_earlier"))
+        sure = tops.join(before, ["track_id", "_bin"], "left").where("_earlier IS NULL OR _top >= _earlier").select("track_id", "_place")
+        # Of each block the first sure peak; at most as many as there are cuts.
+        named = _with_blocks(sure.withColumn("ts_ms", F.col("_place.ts_ms")), key, "ts_ms", hot).where("_blk IS NOT NULL")
+        cuts = named.groupBy("track_id", "_blk").agg(F.min("_place").alias("_place")).groupBy("track_id").agg(F.array_sort(F.collect_list("_place")).alias("_cuts"))
+        made = made.join(cuts, "track_id", "left")
+        part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.struct(*order))), F.lit(0))
+    rows = made.select("track_id", "event_id", "ts_ms", "level", "_gap", part.alias("_part"))
+    return rows.repartition("track_id", "_part").sortWithinPartitions("track_id", "_part", *order).mapInArrow(_peaks(hold_ms), METER)
 
 
 # Prior seconds per stage, (floor, share of the duration).
@@ -293,10 +327,69 @@ def remaining_shown(estimates: DataFrame, asked: DataFrame) -> DataFrame:
     return seen.select("job_id", "look_id", shown.alias("shown_s"))
 
 
+def _priors() -> tuple[Column, Column]:
+    """``stage_prior`` as columns of profile, duration_s and stage."""
+    length = F.greatest(F.lit(1.0), F.col("duration_s"))
+
+    def told(i: int) -> Column:
+        value = None
+        for name in STAGES:
+            seconds = _prior_columns(length)
+            at = seconds[name] if i == 0 else sum((seconds[x] for x in STAGES[STAGES.index(name) + 1:] if x != "downloadingModel"), F.lit(0.0))
+            value = F.when(F.col("stage") == name, at) if value is None else value.when(F.col("stage") == name, at)
+        seconds = _prior_columns(length)
+        rest = seconds["separating"] if i == 0 else sum((seconds[x] for x in STAGES[STAGES.index("separating") + 1:]), F.lit(0.0))
+        return value.otherwise(rest)
+
+    return told(0), told(1)
+
+
+def _prior_columns(length: Column) -> dict[str, Column]:
+    hq = F.col("profile") == "hq"
+    share = {"loadingAudio": (2.0, 0.015), "writingStems": (3.0, 0.025), "validatingStems": (3.0, 0.02), "cachingStems": (2.0, 0.015)}
+    fixed = {"checkingCache": F.lit(2.0), "downloadingModel": F.lit(45.0), "loadingModel": F.when(hq, 14.0).otherwise(9.0)}
+    parts = F.when(hq, F.greatest(F.lit(75.0), length * 1.5)).otherwise(F.greatest(F.lit(28.0), length * 0.35))
+    return {**fixed, **{n: F.greatest(F.lit(least), length * of) for n, (least, of) in share.items()}, "separating": parts}
+
+
 def stem_eta(progress: DataFrame) -> DataFrame:
-    """Remaining seconds after each progress report (job_id, seq, ts_ms, profile, duration_s, stage, completed, total)."""
+    """Remaining seconds after each progress report (job_id, seq, ts_ms, profile, duration_s, stage, completed, total).
+
+    What a report does depends on the stage's first report and on whether the stage was
+    measured before, which ordered columns tell; pace and remaining time are then chains of maps.
+    """
+    key, order = ["job_id"], ["ts_ms", "seq"]
     rows = progress.select("job_id", "seq", "ts_ms", "profile", "duration_s", "stage", "completed", "total")
-    return _ordered(rows, "job_id", ["ts_ms", "seq"], eta_rows, ETA)
+    hot = hot_keys(rows, key, "ts_ms")
+    rows = annotate(rows, key, order, lag={"_stage": F.col("stage"), "_at": F.col("ts_ms")}, hot=hot)
+    current, later = _priors()
+    done, total = F.col("completed").cast("double"), F.col("total").cast("double")
+    start = F.when(F.col("_at").isNull(), F.struct(F.col("ts_ms").alias("at"), F.lit(0.0).alias("done")))
+    enters = F.col("stage") != F.coalesce("_stage", F.lit("checkingCache"))
+    rows = rows.withColumns({"_enters": enters, "_current": current, "_later": later, "_done": F.coalesce(done, F.lit(0.0)), "_counted": done.isNotNull() & total.isNotNull()})
+    entry = F.when(F.col("_enters"), F.struct(F.col("ts_ms").alias("at"), F.col("_done").alias("done"))).otherwise(start)
+    rows = annotate(rows, key, order, last={"_entry": entry}, running={"_no": F.col("_enters").cast("int")}, hot=hot)
+    elapsed = F.greatest(F.lit(0.0), (F.col("ts_ms") - F.col("_entry.at")) / 1000.0)
+    units = F.col("_done") - F.col("_entry.done")
+    rows = rows.withColumns({"_elapsed": elapsed, "_units": units})
+    measured = F.col("_counted") & (F.col("_units") > 0) & (F.col("_elapsed") >= LEAST_SECONDS) & ~F.col("_enters")
+    rows = annotate(rows.withColumn("_measured", measured), key, order, peak={"_paced_no": F.when(F.col("_measured"), F.col("_no"))}, hot=hot)
+    known = F.coalesce(F.col("_paced_no") == F.col("_no"), F.lit(False))
+    observed = F.when(F.col("_measured"), F.col("_elapsed") / F.col("_units")).otherwise(0.0)
+    fresh = F.col("_measured") & ~known
+    rows = rows.withColumns({"_paced": known | F.col("_measured"), "_fresh": fresh, "_observed": observed})
+    rows = run_chain(rows, key, order, "_pace", slope=F.when(F.col("_fresh"), 0.0).when(F.col("_measured"), 1.0 - NEW_PACE).otherwise(1.0),
+                     shift=F.when(F.col("_fresh"), F.col("_observed")).when(F.col("_measured"), NEW_PACE * F.col("_observed")).otherwise(0.0), hot=hot)
+    ahead = F.when(F.col("_paced") & F.col("_counted"), F.col("_pace") * F.greatest(F.lit(0.0), F.coalesce(total, F.lit(0.0)) - F.col("_done"))).otherwise(
+        F.greatest(F.lit(0.0), F.col("_current") - F.col("_elapsed"))) + F.col("_later")
+    rows = rows.withColumns({"_ahead": ahead, "_fixed": F.col("_enters") | ~F.col("_paced")})
+    share = 1.0 - NEW_ESTIMATE
+    gap = (F.col("ts_ms") - F.coalesce("_at", "ts_ms")) / 1000.0
+    # The estimate before sinks with the time gone, though not below nothing. A stage is entered, or not yet measured, before any estimate of it counts.
+    low = F.when(F.col("_fixed"), 0.0).otherwise(F.least(F.lit(MOST_SECONDS), NEW_ESTIMATE * F.col("_ahead")))
+    shift = F.when(F.col("_enters"), F.col("_current") + F.col("_later")).when(F.col("_fixed"), clamp(F.col("_ahead"), 0.0, MOST_SECONDS)).otherwise(NEW_ESTIMATE * F.col("_ahead") - share * gap)
+    rows = run_chain(rows, key, order, "remaining_s", slope=F.when(F.col("_fixed"), 0.0).otherwise(share), shift=shift, low=low, high=F.when(F.col("_enters"), FAR).otherwise(MOST_SECONDS), hot=hot)
+    return rows.select("job_id", "seq", "remaining_s", F.greatest(F.lit(1), F.floor(F.col("remaining_s") + 0.5)).cast("int").alias("shown_s"))
 
 
 def latest_generation(rows: DataFrame, key: str, generation: str) -> DataFrame:
