@@ -87,9 +87,12 @@ def energy_history(levels: DataFrame, points: DataFrame, window_ms: int, second_
     payload = ["_sec", "_n", "_c", *(f"_{x}{s}" for x in "tsfb" for s in sides)]
     anchors = behind.withColumns(reached).select("track_id", "ts_ms", *payload)
 
-    asked = points.select("track_id", "point_id", F.col("ts_ms").alias("_at"))
-    last = asof(asked, anchors, key, F.col("_at"), F.col("ts_ms"), payload, before="_last")
-    ends = asof(last, anchors, key, F.col("_at") - window_ms, F.col("ts_ms"), payload, before=None, after="_first", equal="after")
+    # Each point looks back from its moment, and ahead from just before its window.
+    probes = F.explode(F.array(F.struct(F.col("ts_ms").alias("t"), F.lit(True).alias("end")), F.struct((F.col("ts_ms") - window_ms - 1).alias("t"), F.lit(False).alias("end"))))
+    asked = points.select("track_id", "point_id", F.col("ts_ms").alias("_at"), probes.alias("_probe"))
+    seen = asof(asked, anchors, key, F.col("_probe.t"), F.col("ts_ms"), payload, before="_back", after="_ahead")
+    ends = seen.groupBy("track_id", "point_id", "_at").agg(
+        F.first(F.when(F.col("_probe.end"), F.col("_back")), ignorenulls=True).alias("_last"), F.first(F.when(~F.col("_probe.end"), F.col("_ahead")), ignorenulls=True).alias("_first"))
     hit = ends.where(F.coalesce(F.col("_first.t") <= F.col("_last.t"), F.lit(False)))
 
     level = rows.groupBy("track_id", "_sec").agg(*(F.max(f"_x{s}").alias(f"_m{s}") for s in sides))

@@ -480,11 +480,29 @@ def _points(t):
     return t.levels.select("track_id", F.col("event_id").alias("point_id"), "ts_ms")
 
 
-@query("energy_history", """
+def _energy_sql(ms: int) -> str:
+    return f"""
 SELECT p.track_id, p.event_id AS point_id, max(l."left") AS max_left, max(l."right") AS max_right, round(avg(l."left"), 9) AS avg_left, round(avg(l."right"), 9) AS avg_right, count(*) AS n
-FROM v_levels p JOIN v_levels l ON l.track_id = p.track_id AND l.ts_ms BETWEEN p.ts_ms - 15000 AND p.ts_ms GROUP BY ALL""")
+FROM v_levels p JOIN v_levels l ON l.track_id = p.track_id AND l.ts_ms BETWEEN p.ts_ms - {ms} AND p.ts_ms GROUP BY ALL"""
+
+
+def _energy(t, ms: int):
+    return T.energy_history(t.levels, _points(t), ms).select("track_id", "point_id", "max_left", "max_right", F.round("avg_left", 9).alias("avg_left"), F.round("avg_right", 9).alias("avg_right"), "n")
+
+
+@query("energy_history", _energy_sql(15_000))
 def energy_history(t):
-    return T.energy_history(t.levels, _points(t), 15_000).select("track_id", "point_id", "max_left", "max_right", F.round("avg_left", 9).alias("avg_left"), F.round("avg_right", 9).alias("avg_right"), "n")
+    return _energy(t, 15_000)
+
+
+@query("energy_history_5s", _energy_sql(5_000))
+def energy_history_5s(t):
+    return _energy(t, 5_000)
+
+
+@query("energy_history_30s", _energy_sql(30_000))
+def energy_history_30s(t):
+    return _energy(t, 30_000)
 
 
 @query("meter_history", """
@@ -505,7 +523,7 @@ def eta_ms():
     return F.floor(F.col("remaining_s") * 1000 + 0.37).alias("remaining_ms")
 
 
-@query("stem_eta", """
+_ETA_SQL = """
 WITH RECURSIVE base AS MATERIALIZED (SELECT job_id, ts_ms, seq, profile, greatest(1, duration_s) AS d, stage, completed, total, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms, seq) AS i FROM v_progress),
 o AS MATERIALIZED (SELECT *, CASE stage WHEN 'checkingCache' THEN 2 WHEN 'loadingModel' THEN lm WHEN 'loadingAudio' THEN la WHEN 'separating' THEN sp WHEN 'writingStems' THEN wr WHEN 'validatingStems' THEN va ELSE ca END AS cur,
     CASE stage WHEN 'checkingCache' THEN lm + la + sp + wr + va + ca WHEN 'loadingModel' THEN la + sp + wr + va + ca WHEN 'loadingAudio' THEN sp + wr + va + ca WHEN 'separating' THEN wr + va + ca WHEN 'writingStems' THEN va + ca WHEN 'validatingStems' THEN ca ELSE 0 END AS later,
@@ -517,12 +535,27 @@ w AS (SELECT job_id, 0::BIGINT AS i, NULL::BIGINT AS seq, 'checkingCache' AS sta
   FROM (SELECT *, CASE WHEN np IS NOT NULL AND total IS NOT NULL AND completed IS NOT NULL THEN np * greatest(0, total - completed) ELSE greatest(0, cur - elapsed) END + later AS raw FROM (
     SELECT *, CASE WHEN total IS NOT NULL AND completed IS NOT NULL AND completed - first_n > 0 AND elapsed >= 5e-1 THEN CASE WHEN pace IS NULL THEN elapsed / (completed - first_n) ELSE pace * 65e-2 + elapsed / (completed - first_n) * 35e-2 END ELSE pace END AS np
     FROM (SELECT o.*, w.began, w.first_n, w.pace, w.remaining, w.seen, o.stage = w.stage AS same, greatest(0, (o.ts_ms - w.began) / 1e3) AS elapsed FROM w JOIN o ON o.job_id = w.job_id AND o.i = w.i + 1)))
-  )
+  )"""
+
+
+@query("stem_eta", f"""{_ETA_SQL}
 SELECT job_id, seq, floor(remaining * 1000 + 37e-2)::BIGINT AS remaining_ms, greatest(1, floor(remaining + 5e-1))::INT AS shown_s FROM w WHERE i > 0""")
 def stem_eta(t):
     return T.stem_eta(t.progress).select("job_id", "seq", eta_ms(), "shown_s")
 
 
+@query("remaining_shown", f"""{_ETA_SQL},
+looks AS (SELECT job_id, ts_ms + CASE WHEN seq % 7 = 3 THEN -5 ELSE seq * 37 END AS at, seq AS look_id, CASE WHEN seq % 10 = 9 THEN 999e-3 ELSE 5e-1 END AS progress FROM v_progress)
+SELECT l.job_id, l.look_id, coalesce(CASE WHEN w.remaining IS NOT NULL AND l.progress < 999e-3 THEN greatest(1, floor(floor(w.remaining * 1000 + 37e-2) / 1000 - (l.at - w.seen) / 1e3 + 5e-1)) END, -1)::INT AS shown_s
+FROM looks l ASOF LEFT JOIN (SELECT job_id, seen, arg_max(remaining, i) AS remaining FROM w WHERE i > 0 GROUP BY ALL) w ON w.job_id = l.job_id AND l.at >= w.seen""")
+def remaining_shown(t):
+    """Looks between the reports, before the first of a job and at its end."""
+    known = T.stem_eta(t.progress).join(t.progress.select("job_id", "seq", "ts_ms"), ["job_id", "seq"]).withColumn("remaining_s", eta_ms() / 1000)
+    at = F.col("ts_ms") + F.when(F.col("seq") % 7 == 3, -5).otherwise(F.col("seq") * 37)
+    looks = t.progress.select("job_id", at.alias("ts_ms"), F.col("seq").alias("look_id"), F.when(F.col("seq") % 10 == 9, 0.999).otherwise(0.5).alias("progress"))
+    return T.remaining_shown(known, looks).withColumn("shown_s", F.coalesce("shown_s", F.lit(-1)))
+
+
 @query("progress_sanity", "SELECT job_id, seq, CASE WHEN total IS NOT NULL AND completed <= total THEN completed ELSE -1 END AS completed, coalesce(total, -1)::BIGINT AS total FROM v_progress")
 def progress_sanity(t):
     return T.progress_sanity(t.progress).select("job_id", "seq", F.coalesce("completed", F.lit(-1)).alias("completed"), F.coalesce("total", F.lit(-1)).alias("total"))
