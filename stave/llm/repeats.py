@@ -252,24 +252,29 @@ def remove_repeats(docs: DataFrame, unit: Unit, id_col: str, text_col: str, earl
     def of_texts(asked: DataFrame, work: Callable, schema: str) -> DataFrame:
         return texts.join(_listed(asked).hint("shuffle_hash"), ["_d", "_t"]).mapInArrow(work, schema)
 
-    written = [step(_shared_runs(texts, unit, earlier_only), "runs")]
-    settled, asked = _judged(written, earlier_only)
-    marks = [settled]
+    marks: list[DataFrame] = []
+
+    def settled_and(runs: DataFrame, work: Callable, schema: str, label: str) -> DataFrame:
+        """Keep the marks of settled runs, look closer at the asked ones, and free what they came from."""
+        variants, settled, asked = _judged(runs, earlier_only)
+        marks.append(step(_unpacked(settled).select("_d", "_t", "_first", "_count").distinct(), "settled"))
+        closer = step(of_texts(asked, work, schema), label)
+        discard(runs, variants)
+        return closer
+
+    runs = step(_shared_runs(texts, unit, earlier_only), "runs")
     if unit.segment:
-        written.append(step(of_texts(asked, _segments(unit), _RUN), "segments"))
-        settled, asked = _judged(written, earlier_only)
-        marks.append(settled)
-    windows = step(of_texts(asked, _prefixes(unit), f"_g long, _d long, _t long, _first long{kinds}"), "windows")
-    written.append(windows)
+        runs = settled_and(runs, _segments(unit), _RUN, "segments")
+    listed = settled_and(runs, _prefixes(unit), f"_g long, _d long, _t long, _first long{kinds}", "windows")
+    windows = listed
     for length in unit.lengths:
         windows = _recurring(windows, f"_h{length}", earlier_only)
-    marks = reduce(DataFrame.unionByName, [_unpacked(m).select("_d", "_t", "_first", "_count") for m in marks])
-    marks = marks.unionByName(windows.where("_goes").select("_d", "_t", "_first", F.lit(1).alias("_count")))
+    found = reduce(DataFrame.unionByName, marks).unionByName(windows.where("_goes").select("_d", "_t", "_first", F.lit(1).alias("_count")))
     # A set: equal rows bring the same marks, which must not add up.
-    marks = step(marks.groupBy("_d", "_t").agg(F.collect_set(F.struct("_first", "_count")).alias("_marks")), "marks")
-    discard(*written)
+    last = step(found.groupBy("_d", "_t").agg(F.collect_set(F.struct("_first", "_count")).alias("_marks")), "marks")
+    discard(*marks, listed)
     empty = F.array().cast("array<struct<_first:bigint,_count:int>>")
-    both = texts.join(marks.hint("shuffle_hash"), ["_d", "_t"], "left").withColumn("_marks", F.coalesce("_marks", empty))
+    both = texts.join(last.hint("shuffle_hash"), ["_d", "_t"], "left").withColumn("_marks", F.coalesce("_marks", empty))
     done = both.select("_d", "_text", "_marks").mapInArrow(_marked(unit), f"_d long, n_items long, n_removed long, n_spans long, kept {'string' if unit.words else 'binary'}")
     return done.select(F.when(F.col("_d") != NULL_ID, F.col("_d")).alias(id_col), "n_items", "n_removed", "n_spans", "kept")
 
@@ -289,12 +294,10 @@ def _apart(df: DataFrame) -> DataFrame:
     return df.withColumn("_g", F.bitwise_not(F.bitwise_not("_g")))
 
 
-def _judged(written: list[DataFrame], earlier_only: bool) -> tuple[DataFrame, DataFrame]:
-    """The settled and the asked ones of the runs written last."""
-    runs = written[-1]
+def _judged(runs: DataFrame, earlier_only: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The written variants of runs, and the settled and the asked ones of the runs."""
     variants = step(runs.groupBy("_g", "_v").agg(F.min(F.struct("_d", "_t", "_p")).alias("_one"), F.count(F.lit(1)).alias("_n")), "variants")
-    written.append(variants)
-    return (_settled_earlier if earlier_only else _settled_any)(runs, variants)
+    return variants, *(_settled_earlier if earlier_only else _settled_any)(runs, variants)
 
 
 def _settled_any(runs: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
