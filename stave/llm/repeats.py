@@ -257,7 +257,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, id_col: str, text_col: str, earl
     def settled_and(runs: DataFrame, work: Callable, schema: str, label: str) -> DataFrame:
         """Keep the marks of settled runs, look closer at the asked ones, and free what they came from."""
         variants, settled, asked = _judged(runs, earlier_only)
-        marks.append(step(_unpacked(settled).select("_d", "_t", "_first", "_count").distinct(), "settled"))
+        marks.append(step(_unpacked(settled).select("_d", "_t", "_first", "_count"), "settled"))
         closer = step(of_texts(asked, work, schema), label)
         discard(runs, variants)
         return closer

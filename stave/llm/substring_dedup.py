@@ -1,7 +1,7 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-Windows start at three words; those that recur in another document are extended to twice
-the length, six, then twelve, until the full thirteen are reached or no candidate survives.
+Windows start at four words; those that recur in another document are extended to twice
+the length, eight, and then to the full thirteen, until no candidate survives.
 The first level is taken at content-defined places only (see ``repeats``), which every
 longer repeat must share; the second holds the stretches around a surviving place that a
 longer repeat can share with another, and from the third on windows are told one by one.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stave.llm.repeats import Unit, remove_repeats
 
 
-def cut_earlier_passages(docs: DataFrame, words: int = 13, start: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_earlier_passages(docs: DataFrame, words: int = 13, start: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each word covered by a window of ``words`` words that also starts under a smaller id.
 
     Returns one row per input row: id, ``n_words``, ``n_removed``, ``n_spans`` and ``kept``
