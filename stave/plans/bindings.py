@@ -45,6 +45,18 @@ class Tables:
             _written.add(path)
         return self.spark.read.parquet(path)
 
+    def landed(self, name: str, df: DataFrame, axis: str, parts: int = 5) -> str:
+        """A table as files that have arrived one after another in the order of ``axis``, each part after the one before."""
+        path = self.path(f"{name}_landed")
+        if path not in _written:
+            at = F.col(axis).cast("double")
+            cuts = df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+            edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
+            for i, (low, high) in enumerate(zip(edges, edges[1:])):
+                df.where((at > low) & (at <= high)).coalesce(1).write.mode("append" if i else "overwrite").parquet(path)
+            _written.add(path)
+        return path
+
     # -- timelines -------------------------------------------------------
 
     @property

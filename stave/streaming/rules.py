@@ -6,16 +6,14 @@ generation never replaces a newer one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from stave.functions import text as X
 from stave.operators import telemetry as T
 from stave.sources.worker import scan_logs
+from stave.streaming import stateful as ST
 
 
 def log_counts(lines: DataFrame, minimum: str, window: str = "1 hour", delay: str = "10 minutes", origin: str | None = None) -> DataFrame:
@@ -39,77 +37,44 @@ def energy_windows(levels: DataFrame, seconds: int, slide: int, delay: str = "1
     ).select("track_id", F.col("w.end").alias("window_end"), "max_left", "max_right", "avg_left", "avg_right")
 
 
-SUMMARY = "batch_id string, completed bigint, failed bigint"
-_JOBS = "jobs array<string>, states array<string>, at array<bigint>, done boolean"
-
+def _timed(rows: DataFrame, delay: str) -> DataFrame:
+    """Rows with their moment ``ts_ms`` as event time."""
+    return rows.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", delay)
 
-def _summarize(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    jobs, done = {}, False
-    if state.exists:
-        names, states, at, done = state.get
-        jobs = {n: (s, t) for n, s, t in zip(names, states, at)}
-    expected = 0
-    for frame in frames:
-        for row in frame.itertuples():
-            expected = row.expected
-            if row.job_id not in jobs or (row.order_no > jobs[row.job_id][1]):
-                jobs[row.job_id] = (row.state, row.order_no)
-    values = [s for s, _ in jobs.values()]
-    settled = len(values) == expected and all(s in ("completed", "failed") for s in values)
-    state.update((list(jobs), [s for s, _ in jobs.values()], [int(t) for _, t in jobs.values()], bool(done or settled)))
-    if settled and not done:
-        yield pd.DataFrame({"batch_id": [key[0]], "completed": [values.count("completed")], "failed": [values.count("failed")]})
 
+def job_summary(events: DataFrame, delay: str = "1 hour", ttl_ms: int = 7 * ST.DAY_MS) -> DataFrame:
+    """Completed and failed jobs of each import batch that changed, and whether all expected ones are settled (update mode).
 
-def job_summary(events: DataFrame) -> DataFrame:
-    """One row per import batch, once all its expected jobs are settled (append mode).
-
-    ``events``: batch_id, expected, job_id, state, order_no (grows with time).
+    ``events``: batch_id, expected, job_id, state, order_no (grows with time), ts_ms.
     """
-    return events.groupBy("batch_id").applyInPandasWithState(_summarize, SUMMARY, _JOBS, "append", GroupStateTimeout.NoTimeout)
-
-
-def _in_order(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """One micro-batch's rows of one key; their number is bounded by the trigger's input limit."""
-    return pd.concat(list(frames)).sort_values(order)
-
-
-_ETA_STATE = "stage string, started bigint, first bigint, pace double, remaining double, seen bigint"
-
+    return _timed(events, delay).groupBy("batch_id").applyInPandasWithState(ST.summarize(ttl_ms), ST.SUMMARY, ST.JOBS, "update", GroupStateTimeout.EventTimeTimeout)
 
-def _estimate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = tuple(state.get) if state.exists else None
-    known, made = T.eta_rows(known, _in_order(frames, ["ts_ms", "seq"]))
-    stage, started, first, pace, remaining, seen = known
-    state.update((stage, int(started), int(first), None if pace is None else float(pace), float(remaining), int(seen)))
-    yield made
 
+def stem_eta(progress: DataFrame, delay: str = "1 minute", ttl_ms: int = ST.DAY_MS) -> DataFrame:
+    """Remaining time after each progress report (append mode); a report older than the job's last is late and gives none."""
+    return _timed(progress, delay).groupBy("job_id").applyInPandasWithState(ST.eta(ttl_ms), T.ETA, ST.ETA_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
-def stem_eta(progress: DataFrame) -> DataFrame:
-    """Remaining time after each progress report (append mode)."""
-    return progress.groupBy("job_id").applyInPandasWithState(_estimate, T.ETA, _ETA_STATE, "append", GroupStateTimeout.NoTimeout)
 
+def meter(levels: DataFrame, response: str = "medium", hold: str = "oneSecond", delay: str = "1 minute", ttl_ms: int = ST.DAY_MS) -> DataFrame:
+    """Meter level and held peak after each reading (append mode); a reading older than the track's last is late and gives none."""
+    return _timed(levels, delay).groupBy("track_id").applyInPandasWithState(ST.meter(response, hold, ttl_ms), T.METER, ST.METER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
-_METER_STATE = "level double, peak double, held bigint, seen bigint"
 
+def dedupe_candidates(candidates: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """First candidate to arrive per batch and key (append mode). ``candidates`` carry ``ts``.
 
-def meter(levels: DataFrame, response: str = "medium", hold: str = "oneSecond") -> DataFrame:
-    """Meter level and held peak after each reading (append mode)."""
-    step = T.meter_step(response, T.HOLD_MS[hold])
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = tuple(state.get) if state.exists else None
-        known, made = step(known, _in_order(frames, ["ts_ms", "event_id"]))
-        state.update((float(known[0]), float(known[1]), int(known[2]), int(known[3])))
-        yield made
-
-    return levels.groupBy("track_id").applyInPandasWithState(advance, T.METER, _METER_STATE, "append", GroupStateTimeout.NoTimeout)
+    Of equal ones within a micro-batch any may be first; see ``first_candidates`` for the one of the least ``seq``.
+    """
+    keyed = candidates.withColumn("candidate_key", X.candidate_key(F.col("kind"), F.col("input")))
+    return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["batch_id", "candidate_key"])
 
 
-def dedupe_candidates(candidates: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First candidate per batch and key across the stream (append mode). ``candidates`` carry ``ts``."""
+def first_candidates(candidates: DataFrame) -> DataFrame:
+    """The candidate of the least ``seq`` per batch and key so far (update mode), in whatever order they arrive."""
     keyed = candidates.withColumn("candidate_key", X.candidate_key(F.col("kind"), F.col("input")))
-    return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["batch_id", "candidate_key"])
+    rest = [n for n in keyed.columns if n not in ("batch_id", "candidate_key")]
+    best = keyed.groupBy("batch_id", "candidate_key").agg(F.min_by(F.struct(*rest), F.col("seq")).alias("_r"))
+    return best.select("batch_id", "candidate_key", *[F.col("_r")[n].alias(n) for n in rest])
 
 
 def progress_reports(rows: DataFrame) -> DataFrame:
