@@ -90,7 +90,7 @@ def stream_dedupe_candidates(t):
     return done.select(F.col("batch_id").alias("source"), "candidate_key", "kind")
 
 
-@query("stream_first_candidates", "SELECT left(batch_id, 1) AS source, candidate_key, min(seq) AS seq, arg_min(input, seq) AS input FROM v_ordered GROUP BY ALL")
+@query("stream_first_candidates", "SELECT left(batch_id, 1) AS source, candidate_key, min(seq) AS seq, arg_min(input, struct_pack(seq, input)) AS input FROM v_ordered GROUP BY ALL")
 def stream_first_candidates(t):
     """Files in any order; the candidate of the least place is kept."""
     rows = _candidates(stream(t, "candidates", ordered_candidates(t)))

@@ -38,8 +38,8 @@ def energy_windows(levels: DataFrame, seconds: int, slide: int, delay: str = "1
 
 
 def _timed(rows: DataFrame, delay: str) -> DataFrame:
-    """Rows with their moment ``ts_ms`` as event time."""
-    return rows.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", delay)
+    """Rows with their moment ``ts_ms`` as event time, one later, as a watermark starts at 0 and rows at it are late."""
+    return rows.withColumn("ts", F.timestamp_millis(F.col("ts_ms") + 1)).withWatermark("ts", delay)
 
 
 def job_summary(events: DataFrame, delay: str = "1 hour", ttl_ms: int = 7 * ST.DAY_MS) -> DataFrame:
@@ -70,10 +70,10 @@ def dedupe_candidates(candidates: DataFrame, delay: str = "1 hour") -> DataFrame
 
 
 def first_candidates(candidates: DataFrame) -> DataFrame:
-    """The candidate of the least ``seq`` per batch and key so far (update mode), in whatever order they arrive."""
+    """The candidate of the least ``seq``, then input, per batch and key so far (update mode), in whatever order they arrive."""
     keyed = candidates.withColumn("candidate_key", X.candidate_key(F.col("kind"), F.col("input")))
     rest = [n for n in keyed.columns if n not in ("batch_id", "candidate_key")]
-    best = keyed.groupBy("batch_id", "candidate_key").agg(F.min_by(F.struct(*rest), F.col("seq")).alias("_r"))
+    best = keyed.groupBy("batch_id", "candidate_key").agg(F.min_by(F.struct(*rest), F.struct("seq", "input")).alias("_r"))
     return best.select("batch_id", "candidate_key", *[F.col("_r")[n].alias(n) for n in rest])
 
 
