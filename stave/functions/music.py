@@ -142,7 +142,7 @@ def with_pitch_sets(df: DataFrame, label: str = "label") -> DataFrame:
     bare = (F.col("_base") == "") & (F.col("_extra") != "")
     parts = F.split(F.regexp_extract("_extra", r"^\((.*)\)$", 1), ",")
     made = made.select(
-        "*", F.when(bare, F.array().cast("array<string>")).otherwise(F.split(lookup(V.SHORTHAND_DEGREES, base), " ")).alias("_start"),
+        "*", F.when(bare, F.array().cast("array<string>")).otherwise(lookup(V.SHORTHAND_DEGREES, base)).alias("_start"),
         F.filter(parts, lambda m: m != "").alias("_changes"),
     )
     plain = lambda m: F.regexp_replace(m, r"^\*", "")

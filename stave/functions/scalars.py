@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _sql(value) -> str:
+    if isinstance(value, list):
+        return f"array({', '.join(map(_sql, value))})"
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else repr(value)
 
 

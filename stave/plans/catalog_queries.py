@@ -399,6 +399,19 @@ def export_playlist(t):
     return lines.select("project_id", row).select("project_id", "r.*")
 
 
+def _frames(lines, keys: list[str]):
+    """Of each document its first and last line, its lines, and those that end in a comma as all but the last of a list do."""
+    ends = {"head": F.min_by("line", "line_no"), "tail": F.max_by("line", "line_no")}
+    listed = F.count_if(F.col("line").endswith("},"))
+    return lines.groupBy(*keys).agg(*(v.alias(n) for n, v in ends.items()), F.count(F.lit(1)).alias("n_lines"), F.countDistinct("line_no").alias("n_places"), listed.alias("n_commas"))
+
+
+@query("export_playlist_frame", """
+SELECT project_id, '{"project":"Set \\"' || project_id || '\\"","tracks":[' AS head, ']}' AS tail, count(*) + 2 AS n_lines, count(*) + 2 AS n_places, count(*) - 1 AS n_commas FROM v_tracks GROUP BY ALL""")
+def export_playlist_frame(t):
+    return _frames(D.export_playlist(_named(t), t.tracks), ["project_id"])
+
+
 @query("export_playlist_markdown", """
 SELECT project_id, i AS line_no, line FROM (SELECT DISTINCT project_id FROM v_tracks), (VALUES (0::BIGINT), (1), (2), (3)) v(i), LATERAL (SELECT CASE i WHEN 0 THEN '# Set "' || project_id || '"' WHEN 1 THEN ''
   WHEN 2 THEN '| # | Song | Duration | Notes |' ELSE '|---:|---|---:|---|' END AS line)
@@ -416,6 +429,17 @@ def export_jams(t):
     return lines.select("track_id", "mode", row).select("track_id", "mode", "r.time", F.round("r.duration", 6).alias("duration"), "r.value", "r.confidence")
 
 
+@query("export_jams_frame", """
+SELECT track_id, mode, '{"jams_version":"0.3.5","file_metadata":{"title":"' || title || '","artist":"","release":"","duration":#,"identifiers":{}},"annotations":[{"namespace":"chord","annotation_metadata":{"curator":{"name":"stave","email":""},"annotator":{},"version":"1","corpus":"","annotation_tools":"stave","annotation_rules":"","validation":"","data_source":"automatic"},"data":[' AS head,
+  '],"sandbox":{"chord_mode":"' || mode || '"}}],"sandbox":{}}' AS tail, n + 2 AS n_lines, n + 2 AS n_places, n - 1 AS n_commas, duration_s
+FROM (SELECT track_id, mode, count(*) AS n FROM v_compact GROUP BY ALL) JOIN (SELECT track_id, title, duration_s FROM v_tracks) USING (track_id)""")
+def export_jams_frame(t):
+    made = _frames(D.export_jams(compact(t), t.tracks), ["track_id", "mode"])
+    number = r'"duration":([^,]*),"identifiers"'
+    return made.withColumn("duration_s", F.regexp_extract("head", number, 1).cast("double")).withColumn("head", F.regexp_replace("head", number, '"duration":#,"identifiers"'))
+
+
+
 @query("format_time", """
 SELECT event_id, CASE WHEN m < 10 THEN '0' ELSE '' END || m || ':' || CASE WHEN s < 10 THEN '0' ELSE '' END || s AS clock,
   CASE WHEN ms // 60000 < 10 THEN '0' ELSE '' END || (ms // 60000) || ':' || lpad(((ms % 60000) // 1000)::VARCHAR, 2, '0') || '.' || lpad((ms % 1000)::VARCHAR, 3, '0') AS precise,

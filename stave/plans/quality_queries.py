@@ -92,6 +92,13 @@ def parse_ttml(t):
     return LY.parse_ttml(_ttml(t))[0]
 
 
+@query("parse_ttml_words", f"""
+SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY i) - 1 AS line_no, 0 AS word_no, line AS text, (i * 2 + 1) * 1000 + 500 AS start_ms, -1::BIGINT AS end_ms
+FROM (SELECT 'd' || doc_id AS track_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE {_TRIM('line')} <> ''""")
+def parse_ttml_words(t):
+    return LY.parse_ttml(_ttml(t))[1].withColumn("end_ms", F.coalesce("end_ms", F.lit(-1).cast("bigint")))
+
+
 @query("lyric_line_ends", """
 SELECT track_id, line_no, coalesce(CASE WHEN start_ms IS NULL OR line_no % 5 = 0 THEN e ELSE coalesce(nxt, CASE WHEN duration_ms > start_ms THEN duration_ms END) END, -1) AS end_ms
 FROM (SELECT *, CASE WHEN line_no % 5 = 0 THEN end_ms END AS e, (SELECT arg_min(b.start_ms, b.line_no) FROM v_lrc_lines b WHERE b.track_id = a.track_id AND b.line_no > a.line_no AND b.start_ms IS NOT NULL) AS nxt

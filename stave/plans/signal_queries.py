@@ -273,7 +273,10 @@ def manifest_texts(t):
         sized = F.when(u % 5 == 1, F.concat("mix", F.slice("mix", 1, 2))).when(u % 5 == 2, F.slice("mix", 1, 3)).when(u % 5 != 3, F.col("mix"))
         practice = F.struct(
             F.lit(1.0).alias("playbackRate"), F.when(u % 2 == 0, 3.0).alias("pitchSemitones"), F.coalesce("markers", F.array().cast(
-                "array<struct<o:double,id:string,label:string,startSeconds:double,endSeconds:double,origin:string>>")).alias("markers"), sized.alias("stemMix"))
+                "array<struct<o:double,id:string,label:string,startSeconds:double,endSeconds:double,origin:string>>")).alias("markers"), sized.alias("stemMix"),
+            F.when(u % 2 == 0, F.transform("markers", lambda m: F.struct(F.lit("standard").alias("mode"), m["startSeconds"].alias("startSeconds"), (m["startSeconds"] + 0.5).alias("endSeconds"), F.lit("Am").alias("label")))).alias("chordEdits"),
+            F.when(u % 3 == 0, F.array(F.struct(F.lit("essential").alias("mode"), F.transform("markers", lambda m: F.struct(
+                m["id"].alias("id"), m["label"].alias("label"), m["startSeconds"].alias("startSeconds"), (m["startSeconds"] + 2).alias("endSeconds"))).alias("regions")))).alias("chordTimelines"))
         track = F.struct(
             F.col("position").alias("o"), F.col("track_id").alias("id"), "title", F.col("source_path").alias("sourcePath"), "format", F.col("file_size_bytes").alias("fileSizeBytes"),
             F.col("duration_s").alias("durationSeconds"), practice.alias("practice"))
@@ -315,6 +318,18 @@ def manifest_children(t):
     return marks.unionByName(stems).unionByName(bad)
 
 
+@query("manifest_chords", """
+SELECT track_id, 'edit' AS kind, 'standard' AS mode, (row_number() OVER (PARTITION BY track_id ORDER BY start_s, marker_id) - 1)::VARCHAR AS item, 'Am' AS label, start_s, start_s + 5e-1 AS end_s
+FROM v_markers JOIN v_project USING (track_id) WHERE k < 4 AND user_id % 2 = 0
+UNION ALL SELECT track_id, 'region', 'essential', marker_id, label, start_s, start_s + 2 FROM v_markers JOIN v_project USING (track_id) WHERE k < 4 AND user_id % 3 = 0""")
+def manifest_chords(t):
+    """Chord edits and regions of the projects' tracks as rows."""
+    tracks = MF.track_rows(MF.parse_manifests(manifest_texts(t)))
+    edits = MF.chord_edits(tracks).select("track_id", F.lit("edit").alias("kind"), "mode", F.col("edit_seq").cast("string").alias("item"), "label", "start_s", "end_s")
+    regions = MF.chord_regions(tracks).select("track_id", F.lit("region").alias("kind"), "mode", F.col("region_id").alias("item"), "label", "start_s", "end_s")
+    return edits.unionByName(regions)
+
+
 def wav_files(t):
     """WAV files written from the block table: one per 64 blocks of a track, odd ones as 16-bit integers."""
     import struct
