@@ -1,8 +1,10 @@
 """Signal reductions over sample blocks.
 
 A track is many rows (track_id, channel, block_no, first_frame, sample_rate,
-samples), so a long one spreads over tasks. What an operator needs from
-neighbouring blocks travels as a small edge by equi-join on block_no, NumPy works
+samples), so a long one spreads over tasks. Blocks that were read with their track's
+``frames`` and ``channels`` and with the samples ``left`` and ``right`` of them, as files
+are (``sources.wav``), are worked on where they are. For others, what an operator needs from
+neighbouring blocks travels as a small edge by equi-join on block_no. NumPy works
 inside one block, and only reduced rows are grouped per track.
 """
 
@@ -23,16 +25,22 @@ BLOCK = ["track_id", "channel", "block_no"]
 
 def decoded_stats(blocks: DataFrame) -> DataFrame:
     """Frames, channels, rate and duration per track."""
-    per_channel = blocks.groupBy("track_id", "channel").agg(F.sum(F.size("samples")).alias("_n"), F.max("sample_rate").alias("sample_rate"))
-    return per_channel.groupBy("track_id").agg(
-        F.max("_n").alias("frames"), F.count(F.lit(1)).alias("channels"), F.max("sample_rate").alias("sample_rate")
-    ).withColumn("duration_s", F.col("frames") / F.col("sample_rate"))
+    if "frames" in blocks.columns:
+        stats = blocks.groupBy("track_id").agg(F.max("frames").alias("frames"), F.max("channels").cast("bigint").alias("channels"), F.max("sample_rate").alias("sample_rate"))
+    else:
+        per_channel = blocks.groupBy("track_id", "channel").agg(F.sum(F.size("samples")).alias("_n"), F.max("sample_rate").alias("sample_rate"))
+        stats = per_channel.groupBy("track_id").agg(F.max("_n").alias("frames"), F.count(F.lit(1)).alias("channels"), F.max("sample_rate").alias("sample_rate"))
+    return stats.withColumn("duration_s", F.col("frames") / F.col("sample_rate"))
+
+
+def _sized(blocks: DataFrame) -> DataFrame:
+    """Blocks with the ``frames`` and ``channels`` of their track."""
+    return blocks if "frames" in blocks.columns else blocks.join(decoded_stats(blocks).select("track_id", "frames", "channels"), "track_id")
 
 
 def waveform_peaks(blocks: DataFrame, buckets: int = MAX_PEAK_BUCKETS) -> DataFrame:
     """Lowest and highest sample per bucket over all channels; NaN samples are ignored."""
-    sizes = decoded_stats(blocks).select("track_id", F.greatest(F.lit(1), F.ceil(F.col("frames") / F.lit(buckets))).alias("_per"))
-    cut = blocks.join(sizes, "track_id").withColumn("_n", F.size("samples")).where("_n > 0")
+    cut = _sized(blocks).withColumns({"_per": F.greatest(F.lit(1), F.ceil(F.col("frames") / F.lit(buckets))), "_n": F.size("samples")}).where("_n > 0")
     first, last = F.floor(F.col("first_frame") / F.col("_per")), F.floor((F.col("first_frame") + F.col("_n") - 1) / F.col("_per"))
     parts = cut.select("track_id", "first_frame", "samples", "_per", "_n", F.explode(F.sequence(first, last)).alias("bucket"))
     low = F.greatest(F.lit(0), F.col("bucket") * F.col("_per") - F.col("first_frame"))
@@ -68,7 +76,10 @@ def visible_peaks(peaks: DataFrame, zoom: float, start: float, maximum: int) ->
 
 
 def _with_edges(blocks: DataFrame, before: int, after: int) -> DataFrame:
-    """Attach the neighbours' nearest samples: ``_left`` and ``_right`` (null at the ends)."""
+    """Attach the neighbours' nearest samples: ``_left`` and ``_right`` (null or empty at the ends)."""
+    if "left" in blocks.columns:
+        tail = F.slice("left", F.greatest(F.lit(1), F.size("left") - before + 1), F.lit(before))
+        return blocks.withColumns({"_left": tail, "_right": F.slice("right", 1, after)}).drop("left", "right")
     out = blocks
     if before:
         tail = F.slice("samples", F.greatest(F.lit(1), F.size("samples") - before + 1), F.lit(before))
@@ -99,7 +110,7 @@ def _cubic_peak(samples: np.ndarray, left: np.ndarray, right: np.ndarray, channe
 
 def true_peak(blocks: DataFrame) -> DataFrame:
     """Largest magnitude of samples and of the cubic through four of them at quarter steps (channels 1 and 2)."""
-    edged = _with_edges(blocks.select(*BLOCK, "samples"), 1, 2)
+    edged = _with_edges(blocks.select(*BLOCK, "samples", *(n for n in ("left", "right") if n in blocks.columns)), 1, 2)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -158,9 +169,12 @@ def impulse_response(rate: int, length: int) -> np.ndarray:
 def _with_history(blocks: DataFrame, seconds: float, block_frames: int) -> DataFrame:
     """Attach the preceding samples of up to so many seconds, at its own rate, to each block as ``history``.
 
-    A block sends its tail to as many followers as the halo reaches; each block
+    Blocks read with as many samples to their left, at least, have them already. Of others
+    a block sends its tail to as many followers as the halo reaches; each block
     gathers its own few tails, never its track.
     """
+    if "left" in blocks.columns:
+        return blocks.withColumnRenamed("left", "history")
     halo, step = F.floor(F.col("sample_rate") * seconds).cast("int"), F.col("_j")
     reach = F.ceil(halo / block_frames).cast("int")
     # of a block j places back only the part within the halo is sent
@@ -342,9 +356,7 @@ def align_stem(blocks: DataFrame, target_rate: int, target_frames: Column) -> Da
     ``target_frames`` may use the track's ``frames``. Each source block makes the
     output frames that start within it, borrowing one sample from the next block.
     """
-    stats = decoded_stats(blocks).select("track_id", "frames", "channels")
-    sized = stats.withColumn("target", target_frames.cast("bigint"))
-    edged = _with_edges(blocks, 0, 1).join(sized, "track_id").withColumnRenamed("_right", "edge")
+    edged = _sized(_with_edges(blocks, 0, 1)).withColumn("target", target_frames.cast("bigint")).withColumnRenamed("_right", "edge")
     doubled = edged.withColumn("out_channel", F.explode(
         F.when(F.col("channels") == 1, F.array(F.lit(0), F.lit(1))).when(F.col("channel") < 2, F.array(F.col("channel"))).otherwise(F.array().cast("array<int>"))))
     columns = ["track_id", "out_channel", "block_no", "first_frame", "sample_rate", "samples", "edge", "frames", "target"]

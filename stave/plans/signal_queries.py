@@ -369,6 +369,18 @@ def scan_wav_blocks(t):
     return blocks.select(F.regexp_extract("path", r"([^/]*)\.wav$", 1).alias("file"), "block_no", F.size("samples").cast("bigint").alias("n"), F.round(total, 6).alias("total"))
 
 
+@query("wav_waveform", """
+WITH s AS (SELECT track_id || '-' || part AS file, i, CASE WHEN part % 2 = 0 THEN x ELSE greatest(-32768, least(32767, round_even(x * 32768, 0))) / 32768 END AS v
+  FROM (SELECT track_id, block_no // 64 AS part, (block_no % 64) * 64 + k AS i, samples[k + 1]::DOUBLE AS x FROM v_blocks, range(64) g(k))),
+f AS (SELECT file, greatest(1, ceil(count(*) / 10e0))::BIGINT AS per FROM s GROUP BY ALL)
+SELECT file, i // per AS bucket, round(least(1, min(v)), 6) AS "min", round(greatest(-1, max(v)), 6) AS "max" FROM s JOIN f USING (file) GROUP BY ALL""")
+def wav_waveform(t):
+    """Peaks of WAV files, of blocks read with all they need of their file."""
+    blocks = WV.scan_wav_blocks(WV.wav_metadata(t.spark, wav_files(t)), block_frames=1000)
+    peaks = G.waveform_peaks(blocks.withColumn("track_id", F.regexp_extract("path", r"([^/]*)\.wav$", 1)), 10)
+    return peaks.select(F.col("track_id").alias("file"), "bucket", F.round(F.col("min").cast("double"), 6).alias("min"), F.round(F.col("max").cast("double"), 6).alias("max"))
+
+
 @query("write_tables", "SELECT track_id, beat_idx, beat_s FROM v_raw")
 def write_tables(t):
     from stave.session import new_dir

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEADER = "path string, sample_rate int, channels int, code int, width int, data_offset bigint, frames bigint, reason string"
-BLOCKS = "path string, channel int, block_no bigint, first_frame bigint, sample_rate int, samples array<float>"
+BLOCKS = "path string, channel int, block_no bigint, first_frame bigint, sample_rate int, samples array<float>, frames bigint, channels int, left array<float>, right array<float>"
 
 
 def _header(path: str) -> tuple:
@@ -53,21 +53,24 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from stave.sources.files import open_range
 
+    names = [part.split()[0] for part in BLOCKS.split(", ")]
     for batch in batches:
         out = []
         for row in batch.itertuples():
             step = row.channels * row.width
+            low, high = max(0, row.first_frame - row.before), min(row.frames, row.first_frame + row.count + row.after)
             with open_range(row.path) as handle:
-                handle.seek(row.data_offset + row.first_frame * step)
-                raw = handle.read(int(row.count) * step)
+                handle.seek(row.data_offset + low * step)
+                raw = handle.read(int(high - low) * step)
             if row.code == 1:
                 values = np.frombuffer(raw, "<i2").astype(np.float32) / np.float32(32768)
             else:
                 values = np.frombuffer(raw, "<f4")
-            frames = values.reshape(-1, row.channels)
+            begin = row.first_frame - low
+            left, own, right = np.split(values.reshape(-1, row.channels), [begin, begin + row.count])
             for channel in range(row.channels):
-                out.append((row.path, channel, row.block_no, row.first_frame, row.sample_rate, frames[:, channel]))
-        yield pd.DataFrame(out, columns=["path", "channel", "block_no", "first_frame", "sample_rate", "samples"])
+                out.append((row.path, channel, row.block_no, row.first_frame, row.sample_rate, own[:, channel], row.frames, row.channels, left[:, channel], right[:, channel]))
+        yield pd.DataFrame(out, columns=names)
 
 
 def wav_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -77,12 +80,18 @@ def wav_metadata(spark: SparkSession, path: str) -> DataFrame:
     return headers.withColumn("duration_s", F.col("frames") / F.col("sample_rate"))
 
 
-def scan_wav_blocks(metadata: DataFrame, block_frames: int = 65_536, partitions: int | None = None) -> DataFrame:
-    """Blocks of each channel. Every block is its own row before it is read, so a long file spreads over tasks."""
+def scan_wav_blocks(metadata: DataFrame, block_frames: int = 65_536, partitions: int | None = None, before_s: float = 0.0, after: int = 0) -> DataFrame:
+    """Blocks of each channel, with the file's ``frames`` and ``channels``. Every block is its own row before it is read, so a long file spreads over tasks.
+
+    ``left`` holds the samples of up to ``before_s`` seconds before a block and ``right`` those of
+    ``after`` frames behind it. They are read with the block, as one byte range, so what looks
+    over a block's borders needs no exchange of samples.
+    """
     good = metadata.where("reason IS NULL")
     last = F.floor((F.col("frames") - 1) / block_frames)
     ranges = good.withColumn("block_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn(
         "first_frame", F.col("block_no") * block_frames
     ).withColumn("count", F.least(F.lit(block_frames).cast("bigint"), F.col("frames") - F.col("first_frame")))
+    ranges = ranges.withColumns({"before": F.floor(F.col("sample_rate") * before_s).cast("bigint"), "after": F.lit(after).cast("bigint")})
     spread = ranges.repartition(partitions, "path", "block_no") if partitions else ranges.repartition("path", "block_no")
     return spread.mapInPandas(_read, BLOCKS)

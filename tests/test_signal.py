@@ -1,5 +1,7 @@
 """Signal operators against plain NumPy, and independence of the block size."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +201,43 @@ def test_oversized_files_are_reported(spark, tmp_path):
     (tmp_path / "c.bin").write_text("no")
     made = {r.batch_id.rpartition("/")[2]: (r.text, r.error) for r in read_import_texts(spark, str(tmp_path)).collect()}
     assert made == {"a.txt": ("one\ntwo", None), "b.md": (None, "larger than 1 MiB")}
+
+
+def _wav_bytes(channels, rate):
+    body = np.stack(channels, axis=1).astype("<f4").tobytes()
+    n = len(channels)
+    return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 3, n, rate, rate * n * 4, n * 4, 32) + b"data" + struct.pack("<I", len(body)) + body
+
+
+def _exchanged(df):
+    """The columns that exchanges of a plan move."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line]
+
+
+def test_blocks_read_with_their_borders(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    made = {"a": (8000, [rng.uniform(-1, 1, 5001), rng.uniform(-1, 1, 5001)]), "b": (4000, [rng.uniform(-1, 1, 3000)]), "c": (4000, [rng.uniform(-1, 1, 7)])}
+    for name, (rate, channels) in made.items():
+        (tmp_path / f"{name}.wav").write_bytes(_wav_bytes([x.astype(np.float32) for x in channels], rate))
+    rows = WV.scan_wav_blocks(WV.wav_metadata(spark, str(tmp_path)), block_frames=300, before_s=G.HALO_S, after=2)
+    rows = rows.withColumn("track_id", F.regexp_extract("path", r"([^/]*)\.wav$", 1)).drop("path")
+    plain = rows.drop("left", "right", "frames", "channels")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for work, keys in (
+            (lambda b: G.waveform_peaks(b, 100), ["track_id", "bucket"]), (G.true_peak, ["track_id"]), (lambda b: G.block_energies(b, 300), ["track_id", "window_no"]),
+            (lambda b: G.k_weight(b, 300), ["track_id", "channel", "block_no"]), (lambda b: G.align_stem(b, 6000, F.col("frames")), ["track_id", "channel", "block_no"]),
+        ):
+            own, joined_rows = work(rows), work(plain)
+            values = [n for n in own.columns if n not in keys]
+            got, want = ({tuple(r[k] for k in keys): [r[n] for n in values] for r in x.collect()} for x in (own, joined_rows))
+            assert got.keys() == want.keys() and len(got)
+            for k in want:
+                assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(got[k], want[k])), (keys, k)
+            # The only rows exchanged before a reduction are ranges to read.
+            joins = own._jdf.queryExecution().executedPlan().toString()
+            moved = [line for line in _exchanged(own) if "samples" in line]
+            assert not moved and ("SortMergeJoin" not in joins or keys == ["track_id", "window_no"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
