@@ -306,28 +306,26 @@ def downbeat_membership(beats: DataFrame, downbeats: DataFrame) -> DataFrame:
 def beat_lines(beats: DataFrame, viewports: DataFrame, limit: int = 500) -> DataFrame:
     """Beats to draw in each viewport: all when it spans at most 30 s, downbeats from zoom 1.5, thinned evenly.
 
-    ``viewports``: track_id, viewport_id, zoom, start, duration_s.
+    ``viewports``: track_id, viewport_id, zoom, start, duration_s. Beats are numbered once per
+    track, all of them and the downbeats. A viewport looks up the numbers of its first and
+    last beat and asks for at most ``limit`` numbers between, so no other beat ever meets it.
     """
-    from stave.operators.timeline import overlap_join
-
     full = F.col("duration_s") / F.col("zoom") <= 30
     shown = viewports.where((F.col("duration_s") > 0) & (full | (F.col("zoom") >= 1.5)))
-    shown = shown.withColumn("_from", F.col("start") * F.col("duration_s")).withColumn(
-        "_to", (F.col("start") + 1 / F.col("zoom")) * F.col("duration_s")
-    )
-    hits = overlap_join(
-        distinct_or_same(beats), shown, ["track_id"], (F.col("beat_s"), F.col("beat_s") + 1e-9),
-        (F.col("_from"), F.col("_to") + 1e-6), 16.0,
-    ).where((F.col("beat_s") >= F.col("_from")) & (F.col("beat_s") <= F.col("_to")) & (full | F.col("is_downbeat")))
-    counts = hits.groupBy("track_id", "viewport_id").agg(F.count(F.lit(1)).alias("_n"))
-    ordered = annotate(hits, ["track_id", "viewport_id"], ["beat_s", "beat_idx"], ordinal="_i").join(
-        counts, ["track_id", "viewport_id"]
-    )
-    stride = F.greatest(F.lit(1), F.ceil(F.col("_n") / limit))
+    shown = shown.withColumns({
+        "_kind": F.when(full, 0).otherwise(1), "_from": F.col("start") * F.col("duration_s"), "_to": (F.col("start") + 1 / F.col("zoom")) * F.col("duration_s")})
+    key = ["track_id", "_kind"]
+    ranked = annotate(distinct_or_same(beats), ["track_id"], ["beat_s", "beat_idx"], ordinal="_all", running={"_down": F.col("is_downbeat").cast("int")})
+    places = F.array(F.struct(F.lit(0).alias("kind"), F.col("_all").alias("no")), F.when(F.col("is_downbeat"), F.struct(F.lit(1).alias("kind"), (F.col("_down") - 1).cast("bigint").alias("no"))))
+    numbered = ranked.select("track_id", "beat_s", "is_downbeat", F.explode(F.array_compact(places)).alias("p")).select("track_id", F.col("p.kind").alias("_kind"), F.col("p.no").alias("_no"), "beat_s", "is_downbeat")
+    first = asof(shown, numbered, key, F.col("_from"), F.col("beat_s"), ["_no"], ties=["_no"], before=None, after="_first", equal="after")
+    both = asof(first, numbered, key, F.col("_to"), F.col("beat_s"), ["_no"], ties=["_no"], before="_last")
+    n = F.col("_last._no") - F.col("_first._no") + 1
+    asked = both.where(F.coalesce(n > 0, F.lit(False))).select(
+        *key, "viewport_id", "start", "zoom", "duration_s",
+        F.explode(F.sequence(F.col("_first._no"), F.col("_last._no"), F.greatest(F.lit(1), F.ceil(n / limit)).cast("bigint"))).alias("_no"))
     percent = (F.col("beat_s") / F.col("duration_s") - F.col("start")) * F.col("zoom") * 100
-    return ordered.where(F.col("_i") % stride == 0).select(
-        "track_id", "viewport_id", "beat_s", percent.alias("percent"), F.col("is_downbeat").alias("accent")
-    )
+    return asked.join(numbered, [*key, "_no"]).select("track_id", "viewport_id", "beat_s", percent.alias("percent"), F.col("is_downbeat").alias("accent"))
 
 
 def distinct_or_same(beats: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stave.operators import rhythm
 from stave.operators.timeline import annotate, asof, keep_first, nearest, overlap_join
 
 
@@ -107,3 +108,22 @@ def test_blocks_are_even_in_spite_of_an_outlier(spark):
     assert all(r._blk is None for r in blocks if r.k == "cold")
     sizes = [r["count"] for r in blocks if r.k == "k"]
     assert len(sizes) >= 10 and max(sizes) <= 150
+
+
+@pytest.mark.parametrize("limit", [3, 500])
+def test_beat_lines_against_all_pairs(spark, tiny_blocks, limit):
+    rng = random.Random(6)
+    beats = [("a", i, round(i * 0.5 + rng.choice([0, 0, 0.1]), 3), i % 4 == 0) for i in range(120)] + [("a", 120, 10.0, True), ("b", 0, 1.0, False)]
+    views = [(rng.choice("abc"), i, rng.choice([1.0, 1.4, 1.5, 3.0, 8.0]), rng.choice([0.0, 0.25, 0.5, 0.9]), rng.choice([0.0, 20.0, 60.0])) for i in range(60)]
+    got = sorted(tuple(r) for r in rhythm.beat_lines(
+        spark.createDataFrame(beats, "track_id string, beat_idx int, beat_s double, is_downbeat boolean"),
+        spark.createDataFrame(views, "track_id string, viewport_id int, zoom double, start double, duration_s double"), limit).collect())
+    want = []
+    for track, view, zoom, start, length in views:
+        if length <= 0 or (length / zoom > 30 and zoom < 1.5):
+            continue
+        low, high = start * length, (start + 1 / zoom) * length
+        mine = sorted((s, i, d) for k, i, s, d in beats if k == track and low <= s <= high and (length / zoom <= 30 or d))
+        mine = mine[:: max(1, -(-len(mine) // limit))]
+        want += [(track, view, s, (s / length - start) * zoom * 100, d) for s, _, d in mine]
+    assert got == sorted(want) and len(want) > 20
