@@ -1,11 +1,11 @@
 """Suffix-array dedup: cut every passage of a given length that occurs more than once.
 
 Suffixes are told apart only through their first ``threshold`` bytes, by most-significant
-digit passes of 100 bytes each: a pass splits every group by the next digit, groups of one
+digit passes of 150 bytes each (the last of 100): a pass splits every group by the next digit, groups of one
 leave, and groups that are equal through the threshold are exactly the repeated windows.
 Which group a suffix is in matters, not the order of the groups, so digits are compared by
 64-bit hashes. The first digit is a content-defined gram that stands for all suffixes
-around it (see ``repeats``), so its pass shuffles about one row per 150 bytes; suffixes
+around it (see ``repeats``), so its pass shuffles about one row per 125 bytes; suffixes
 are listed one by one only where a group is still undecided.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stave.llm.repeats import Unit, remove_repeats
 
 
-def cut_repeated_bytes(docs: DataFrame, threshold: int = 400, digit: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeated_bytes(docs: DataFrame, threshold: int = 400, digit: int = 150, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each byte covered by a ``threshold``-byte string that also starts anywhere else.
 
     Returns one row per input row: id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal
