@@ -9,7 +9,7 @@ from stave.functions import text as X
 from stave.functions import vocabulary as V
 from stave.operators import catalog as K
 from stave.operators import selection as G
-from stave.plans.chord_queries import compact, r6
+from stave.plans.chord_queries import compact, in_sql, r6
 from stave.plans.registry import query, sql_case, view
 from stave.sinks import documents as D
 from stave.sources import imports as I
@@ -90,6 +90,13 @@ def token_similarity(t):
     return pairs.select("a", "b", F.round(X.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
+@query("sql_token_similarity", same_as="token_similarity")
+def sql_token_similarity(t):
+    return in_sql(t, SR.scan_search_results(t.search_rows), """
+SELECT a, b, round(token_similarity(a, b), 6) AS similarity FROM (
+  SELECT DISTINCT a, b FROM (SELECT title_tokens(query) AS q, title_tokens(title) AS t FROM {rows}) LATERAL VIEW explode(q) x AS a LATERAL VIEW explode(t) y AS b)""")
+
+
 @query("token_recall", f"SELECT query_id, search_index, round({recall_sql('q', 't')}, 6) AS recall, round({recall_sql('t', 'q')}, 6) AS precision FROM v_tokens")
 def token_recall(t):
     rows = SR.scan_search_results(t.search_rows).select("query_id", "search_index", X.tokens(F.col("query")).alias("q"), X.tokens(F.col("title")).alias("t"))

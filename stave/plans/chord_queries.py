@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from stave.functions import music
+from stave.functions import music, sql_names
 from stave.functions import vocabulary as V
 from stave.operators import chords as C
 from stave.operators.catalog import manifest_summary
@@ -244,3 +246,31 @@ def ensemble_mean(t):
 SELECT project_id, count(*) AS track_count, round(sum(duration_s), 6) AS total_duration_s, sum(file_size_bytes)::BIGINT AS total_bytes, count(duration_s) AS with_duration FROM v_tracks GROUP BY ALL""")
 def manifest_summary_query(t):
     return manifest_summary(t.tracks).select("project_id", "track_count", r6("total_duration_s"), "total_bytes", "with_duration")
+
+
+def in_sql(t, rows, text: str):
+    """A query in SQL text over a view of the rows, with the catalogue's function names."""
+    sql_names.register(t.spark)
+    name = f"v_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(name)
+    return t.spark.sql(text.format(rows=name))
+
+
+@query("sql_harte_to_compact", same_as="harte_to_compact")
+def sql_harte_to_compact(t):
+    return in_sql(t, t.chords, "SELECT DISTINCT source_label, harte_to_compact(source_label) AS label FROM {rows}")
+
+
+@query("sql_triad_reduce", same_as="triad_reduce")
+def sql_triad_reduce(t):
+    return in_sql(t, t.chords, "SELECT DISTINCT source_label, triad_family(source_label) AS family, triad_label(source_label) AS triad FROM {rows}")
+
+
+@query("sql_compact_to_harte", same_as="compact_to_harte")
+def sql_compact_to_harte(t):
+    return in_sql(t, compact(t), "SELECT DISTINCT label, compact_to_harte(label) AS harte FROM {rows}")
+
+
+@query("sql_transpose_labels", same_as="transpose_labels")
+def sql_transpose_labels(t):
+    return in_sql(t, compact(t), "SELECT track_id, idx, transpose_label(label, event_id % 25 - 12, event_id % 2 = 0) AS shown FROM {rows}")
