@@ -3,6 +3,8 @@
 Every property of :class:`Tables` derives one catalogue table from the given
 parquet files with Spark and writes it once per session to the shared folder, as
 a catalogue would hold it; queries then read it back with pushdown and pruning.
+Joins with tables that grow are merge joins: their packed files seem small enough for
+a broadcast long before their rows fit the driver.
 The ``view`` beside it is the same derivation in SQL, used by the oracles only.
 """
 
@@ -126,7 +128,7 @@ class Tables:
             fmt = F.element_at(F.array(*[F.lit(x) for x in ("wav", "mp3", "flac", "ogg")]), (F.col("user_id") % 4 + 1).cast("int"))
             name = F.coalesce("p_name", F.lit("untitled"))
             uid = F.col("user_id").cast("string")
-            return spans.join(parts, "user_id", "left").select(
+            return spans.join(parts.hint("merge"), "user_id", "left").select(
                 "track_id", F.concat(F.lit("p"), F.floor(F.col("user_id") / 25)).alias("project_id"),
                 (F.col("user_id") % 25).alias("position"), F.concat(name, F.lit(" "), uid).alias("title"),
                 F.concat(F.lit("/music/"), F.replace(name, F.lit(" "), F.lit("_")), F.lit("/"), uid, F.lit("."), fmt).alias("source_path"),
@@ -242,7 +244,7 @@ class Tables:
                 F.when(F.col("p_partkey") % 10 != 0, (100 + F.col("p_partkey") % 200).cast("double")).alias("audio_s"),
                 F.explode(F.sequence(F.lit(0), F.lit(4))).alias("seq"),
             ).withColumn("r", (F.col("query_id") * 5 + F.col("seq")) % F.lit(total))
-            return queries.join(parts, F.col("r") == F.col("p_partkey")).select(
+            return queries.join(parts.hint("merge"), F.col("r") == F.col("p_partkey")).select(
                 "query_id", "audio_s", "seq", F.col("r").alias("id"), F.col("p_name").alias("track_name"),
                 (F.col("p_size") * 7 + 90).cast("double").alias("duration_s"), (F.col("r") % 6 == 0).alias("instrumental"),
                 (F.col("r") % 2 == 0).alias("has_synced"), (F.col("r") % 3 == 0).alias("has_plain"),
