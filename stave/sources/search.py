@@ -24,6 +24,11 @@ def _filled(text: Column) -> Column:
     return F.when(F.trim(text) != "", text)
 
 
+def _parsed(rows: DataFrame) -> DataFrame:
+    """The rows with their JSON as ``row``; exploded, so that it is parsed once and not again in each filter on its fields."""
+    return rows.select("*", F.explode(F.array(F.from_json("json", ROW))).alias("row"))
+
+
 def _channel() -> Column:
     return F.coalesce("row.channel", "row.uploader", "row.artist", "row.creator", "row.album_artist")
 
@@ -33,7 +38,7 @@ def scan_search_results(rows: DataFrame) -> DataFrame:
 
     Rows without a usable id, title or channel are left out.
     """
-    parsed = rows.withColumn("row", F.from_json("json", ROW)).where(F.col("row.id").rlike(_ID))
+    parsed = _parsed(rows).where(F.col("row.id").rlike(_ID))
     title = _filled(F.coalesce("row.title", "row.track"))
     channel = _filled(_channel())
     typed = parsed.select(
@@ -55,7 +60,7 @@ def scan_search_results(rows: DataFrame) -> DataFrame:
 
 def scan_playlist_entries(rows: DataFrame) -> DataFrame:
     """Candidates from playlist rows (playlist_url, seq, json), each source address once."""
-    parsed = rows.withColumn("row", F.from_json("json", ROW)).withColumn("provider", X.provider_of(F.col("playlist_url")))
+    parsed = _parsed(rows).withColumn("provider", X.provider_of(F.col("playlist_url")))
     video = F.col("provider") == "YouTube"
     link = F.coalesce("row.webpage_url", "row.url")
     address = F.when(

@@ -11,8 +11,17 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("table", ["lyric_results", "tracks"])
+@pytest.mark.parametrize("table", ["search_rows", "lyric_results", "tracks"])
 def test_growing_tables_are_not_broadcast(spark, monkeypatch, table):
     stored = Tables.stored
     monkeypatch.setattr(Tables, "stored", lambda self, name, build, files=None: build() if name == table else stored(self, name, build, files))
     assert "Broadcast" not in plan(getattr(Tables(spark, SF), table))
+
+
+def test_search_rows_are_parsed_once(spark):
+    from stave.sources.search import scan_search_results
+
+    rows = spark.createDataFrame([(1, "q", 0, "youtube", '{"id": "a", "title": "t", "channel": "c"}')], "query_id int, query string, search_index int, provider string, json string")
+    found = scan_search_results(rows)
+    assert found.count() == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
