@@ -5,6 +5,10 @@ compose to a map of the same form, so a key's rows need not be walked by one tas
 above ``spark.stave.blockRows`` rows is cut into blocks, each block is folded into one map,
 the few block maps of a key carry its value from block to block, and all blocks are then
 walked at once from their start values. Without such a key the chain is one pass.
+
+Composed maps differ from a walk row by row in the last bits. Where a result is cut to whole
+numbers these bits can show, so a chain may be walked in ``steps``: all keys of a batch at once,
+each row by its own map. Such a map may take ``drop`` from x first, to 0 at least.
 """
 
 from __future__ import annotations
@@ -47,6 +51,23 @@ def run_maps(start, a, b, low, high) -> np.ndarray:
     return np.clip(a * start + b, low, high)
 
 
+def step_maps(first, starts, a, b, low, high, drop) -> np.ndarray:
+    """Values after each map min(high, max(low, a * max(0, x - drop) + b)), or a x + b where ``drop`` is None.
+
+    Stretches of rows begin at ``starts`` from the values ``first``; they are walked side by side, row by row.
+    """
+    sizes = np.diff(np.append(starts, len(b)))
+    longest = np.argsort(-sizes, kind="stable")
+    value, heads, sizes = np.array(first, np.float64)[longest], starts[longest], sizes[longest]
+    out = np.empty(len(b))
+    for i in range(sizes[0]):
+        n = np.searchsorted(-sizes, -i, "left")
+        rows = heads[:n] + i
+        x = value[:n] if drop is None else np.maximum(0.0, value[:n] - drop[rows])
+        out[rows] = value[:n] = np.minimum(high[rows], np.maximum(low[rows], a[rows] * x + b[rows]))
+    return out
+
+
 def _table(column: pa.Array, width: int | None) -> np.ndarray:
     """A column of numbers, or of lists of ``width`` numbers, as an array of rows."""
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
@@ -118,7 +139,7 @@ def _carried(keys: list[str]) -> Callable:
     return run
 
 
-def _walk(by: list[str], name: str, wide: bool) -> Callable:
+def _walk(by: list[str], name: str, wide: bool, steps: bool, drops: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
@@ -134,25 +155,30 @@ def _walk(by: list[str], name: str, wide: bool) -> Callable:
                 first[known] = values.reshape(len(known), *shift.shape[1:])
             if _key(batch, by, 0) == key:
                 first[0] = state
-            # The first map of a key gets its start value, and so forgets what stands before it in the batch.
-            shift[starts] = np.clip(slope[starts] * first + shift[starts], low[starts], high[starts])
-            slope[starts] = 0.0
-            made = run_maps(0.0, slope, shift, low, high)
+            if steps:
+                made = step_maps(first, starts, slope, shift, low, high, _table(batch.column("_drop"), None) if drops else None)
+            else:
+                # The first map of a key gets its start value, and so forgets what stands before it in the batch.
+                shift[starts] = np.clip(slope[starts] * first + shift[starts], low[starts], high[starts])
+                slope[starts] = 0.0
+                made = run_maps(0.0, slope, shift, low, high)
             key, state = _key(batch, by, batch.num_rows - 1), made[-1]
             value = pa.array(made) if not wide else pa.FixedSizeListArray.from_arrays(pa.array(made.reshape(-1)), made.shape[1]).cast(pa.list_(pa.float64()))
-            kept = [i for i, n in enumerate(batch.schema.names) if n not in ("_slope", "_shift", "_low", "_high", "_start", "_blk")]
+            kept = [i for i, n in enumerate(batch.schema.names) if n not in ("_slope", "_shift", "_low", "_high", "_drop", "_start", "_blk")]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [value], [batch.schema.names[i] for i in kept] + [name])
 
     return run
 
 
 def run_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *, slope: Column, shift: Column, low: Column | float = -FAR, high: Column | float = FAR,
-              hot: DataFrame | None | object = PROBE) -> DataFrame:
+              hot: DataFrame | None | object = PROBE, steps: bool = False, drop: Column | None = None) -> DataFrame:
     """Add ``name``: the value after each row's map in ``order``, from 0 before the first row of a key.
 
     ``shift`` may be an array, of one length within the table: as many values, of one slope and limits.
     A slope is 0 or more and no part of a map is null. ``order`` is a total order whose
     first column is numeric; ``hot`` the answer of an earlier ``hot_keys`` over the same rows.
+    ``steps`` walks row by row, as the maps are written (no arrays; only blocks of hot keys start
+    from composed maps); ``drop`` is then taken from the value first, to 0 at least.
     """
     keys, order = list(keys), list(order)
     if hot is PROBE:
@@ -161,6 +187,11 @@ def run_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     double = "array<double>" if wide else "double"
     limits = [x if isinstance(x, Column) else F.lit(x) for x in (low, high)]
     maps = {"_slope": slope.cast("double"), "_shift": shift.cast(double), "_low": limits[0].cast("double"), "_high": limits[1].cast("double")}
+    composed = maps
+    if drop is not None:
+        # slope * max(0, x - drop) + shift = max(shift, slope * x + shift - slope * drop)
+        composed = {**maps, "_shift": maps["_shift"] - maps["_slope"] * drop, "_low": F.greatest(maps["_low"], F.least(maps["_shift"], maps["_high"]))}
+        maps = {**maps, "_drop": drop.cast("double")}
     rows = df.withColumns(maps)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()) if wide else T.DoubleType())])
     none = F.lit(None).cast("array<double>")
@@ -169,9 +200,9 @@ def run_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     else:
         by = [*keys, "_blk"]
         rows = _with_blocks(rows, keys, order[0], hot)
-        cut = rows.where("_blk IS NOT NULL").select(*by, *[n for n in order if n not in by], *maps)
+        cut = rows.where("_blk IS NOT NULL").select(*by, *[n for n in order if n not in by], *[c.alias(n) for n, c in composed.items()])
         kinds = ", ".join(f"`{n}` {t}" for n, t in cut.select(*by).dtypes)
         folded = cut.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(_fold(by), f"{kinds}, _a array<double>, _b array<double>, _lo array<double>, _hi array<double>")
         starts = folded.groupBy(*keys).applyInPandas(_carried(keys), f"{kinds}, _start array<double>")
         rows = rows.join(starts, by, "left").select(*rows.columns, "_start")
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(_walk(by, name, wide), schema)
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(_walk(by, name, wide, steps, drop is not None), schema)

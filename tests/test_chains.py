@@ -119,3 +119,40 @@ def test_energy_against_all_pairs(spark, window):
         r = got[p]
         assert (r.n, r.max_left, r.max_right) == (len(mine), max(x for x, _ in mine), max(y for _, y in mine))
         assert math.isclose(r.avg_left, sum(x for x, _ in mine) / len(mine), abs_tol=1e-9) and math.isclose(r.avg_right, sum(y for _, y in mine) / len(mine), abs_tol=1e-9)
+
+
+def _eta_in_steps(rows):
+    """Remaining seconds after each report of one job, report by report."""
+    known, began, first, pace, left, seen = "checkingCache", rows[0][2], 0, None, None, rows[0][2]
+    for _, seq, at, profile, length, stage, done, total in rows:
+        current, later = T.stage_prior(profile, length, stage)
+        left = 2.0 + T.stage_prior(profile, length, "checkingCache")[1] if left is None else left
+        if stage != known:
+            known, began, first, pace, left = stage, at, done or 0, None, current + later
+        else:
+            elapsed = max(0.0, (at - began) / 1000.0)
+            if done is not None and total is not None and done > first and elapsed >= 0.5:
+                pace = elapsed / (done - first) if pace is None else pace * 0.65 + elapsed / (done - first) * 0.35
+            raw = (pace * max(0, total - done) if None not in (pace, done, total) else max(0.0, current - elapsed)) + later
+            left = min(7200.0, max(0.0, raw if pace is None else max(0.0, left - (at - seen) / 1000.0) * 0.35 + raw * 0.65))
+        seen = at
+        yield seq, left
+
+
+def test_eta_to_the_last_bit(spark):
+    rng, jobs = random.Random(5), {}
+    for j in range(12):
+        at = 10_000
+        for i in range(90):
+            at += rng.randint(0, 9000)
+            jobs.setdefault(f"j{j}", []).append((f"j{j}", i, at, "hq" if j % 2 else "fast", 61.52 + j, T.STAGES[min(7, i // 11)], i % 11 * 2, 22 if rng.random() < 0.9 else None))
+    kind = "job_id string, seq long, ts_ms long, profile string, duration_s double, stage string, completed long, total long"
+    got = {(r.job_id, r.seq): r.remaining_s for r in T.stem_eta(spark.createDataFrame(sum(jobs.values(), []), kind).repartition(3)).collect()}
+    for job, rows in jobs.items():
+        wanted = dict(_eta_in_steps(rows))
+        assert {s: got[job, s] for s in wanted} == wanted
+        state, made = None, []
+        for i in range(0, len(rows), 25):
+            state, part = T.eta_rows(state, pd.DataFrame(rows[i: i + 25], columns=[c.split()[0] for c in kind.split(", ")]))
+            made += part["remaining_s"].tolist()
+        assert made == list(wanted.values())
