@@ -22,8 +22,8 @@ from stave.llm.steps import step
 SIGNS = 1024
 #: A text is far from every language below this quantile of the learned texts with as many letters.
 FAR = 0.005
-#: Learned texts are also cut to so many characters. Quantiles come from about so many of them, and of so many pieces at least.
-CUTS, SAMPLE, LEAST = (20, 40, 80, 160, 320, 640, 1280, 2560), 20_000, 100
+#: Learned texts are also cut to so many characters. Quantiles come of so many pieces at least.
+CUTS, LEAST = (20, 40, 80, 160, 320, 640, 1280, 2560), 100
 
 
 def _letters():
@@ -34,14 +34,13 @@ def _letters():
 def floors(learned: DataFrame, known: dict[str, list[int]]) -> dict[int, float]:
     """For each power of two of letters the least score of a text in a known language.
 
-    It is a low quantile of the scores of learned texts and their beginnings that are told
+    It is a low quantile of the scores of all learned texts and their beginnings that are told
     as their own language, so that of clean texts of any length about as many fall below.
     A size with too few of them is left out.
     """
-    sample = max(1, learned.count() // SAMPLE)
-    some = learned.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0).where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
+    named = learned.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     cuts = F.array(F.col("text"), *(F.when(F.length("text") > n, F.substring("text", 1, n)) for n in CUTS))
-    pieces = some.select("lang", F.explode(cuts).alias("text")).where("text IS NOT NULL")
+    pieces = named.select("lang", F.explode(cuts).alias("text")).where("text IS NOT NULL")
     told = identify(pieces, known, dimensions=SIGNS).where("lang_pred = lang").groupBy(_letters().alias("size"))
     rows = told.agg(F.percentile_approx("score", FAR, 10_000).alias("floor"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= LEAST) & F.col("size").isNotNull())
     return {r["size"]: r["floor"] for r in rows.collect()}

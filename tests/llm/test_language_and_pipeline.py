@@ -112,3 +112,12 @@ def test_run_and_empty_table(spark, tmp_path):
     spark.read.parquet(f"{BASE}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
     assert C.ORACLE_SQL is None and [n for n in QUERIES if n.startswith("op")] == sorted((n for n in QUERIES if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and not ORACLES
+
+
+def test_floors_come_from_every_learned_text(spark, monkeypatch):
+    """Whatever number of rows was once thought enough, the least scores of all of them count."""
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(P, "SAMPLE", 1, raising=False)
+    docs = spark.createDataFrame([(i, "the cat sat on a mat and slept there", "en") for i in range(P.LEAST)], "doc_id long, text string, lang string")
+    assert P.floors(docs, P.profiles(docs, dimensions=P.SIGNS))
