@@ -14,13 +14,16 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from stave.functions.scalars import lrc_time
 from stave.operators.timeline import annotate
 from stave.plans.registry import view
-from stave.session import shared_dir
+from stave.session import new_dir, shared_dir
 
 _written: set[str] = set()
+#: Rows of a file that lands, at most.
+LANDED_ROWS = 2_000_000
 
 
 class Tables:
@@ -37,25 +40,37 @@ class Tables:
         tag = hashlib.sha256(self.sf_dir.encode()).hexdigest()[:12]
         return f"{shared_dir(self.spark)}/{tag}/{name}"
 
-    def stored(self, name: str, build, files: int | None = None) -> DataFrame:
+    def stored(self, name: str, build, spread: bool = False) -> DataFrame:
+        """The table, written when first asked for; ``spread`` deals it evenly over files, whose number follows its size."""
         path = self.path(name)
         if path not in _written:
             made = build()
-            if files:
-                made = made.repartition(files)
+            if spread:
+                made = made.hint("rebalance")
             made.write.mode("overwrite").parquet(path)
             _written.add(path)
         return self.spark.read.parquet(path)
 
     def landed(self, name: str, df: DataFrame, axis: str, parts: int = 5) -> str:
-        """A table as files that have arrived one after another in the order of ``axis``, each part after the one before."""
+        """A table as files that have arrived one after another in the order of ``axis``, each part after the one before.
+
+        The number of parts, and so of files and micro-batches, grows with the rows, so that none
+        holds more than some ``LANDED_ROWS``, unless more share one moment.
+        """
         path = self.path(f"{name}_landed")
         if path not in _written:
             at = F.col(axis).cast("double")
+            parts = max(parts, -(-df.count() // LANDED_ROWS))
             cuts = df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-            edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
-            for i, (low, high) in enumerate(zip(edges, edges[1:])):
-                df.where((at > low) & (at <= high)).coalesce(1).write.mode("append" if i else "overwrite").parquet(path)
+            cuts = sorted(set(cuts))
+            part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < at)) if cuts else F.lit(0)
+            dealt = new_dir(self.spark, f"{name}-parts")
+            # dealt in one pass, so that no part reads the rows of the others
+            df.withColumn("_part", part).write.partitionBy("_part").parquet(dealt)
+            whole = StructType([*df.schema.fields, StructField("_part", IntegerType())])
+            rows = self.spark.read.schema(whole).parquet(dealt)
+            for i in range(len(cuts) + 1):
+                rows.where(F.col("_part") == i).drop("_part").repartition(1).write.mode("append" if i else "overwrite").parquet(path)
             _written.add(path)
         return path
 
@@ -232,7 +247,7 @@ class Tables:
                 "query_id", "query", "search_index", F.lit("youtube").alias("provider"), F.to_json(row).alias("json")
             )
 
-        return self.stored("search_rows", build, files=8)
+        return self.stored("search_rows", build, spread=True)
 
     @property
     def lyric_results(self) -> DataFrame:
@@ -255,7 +270,7 @@ class Tables:
     @property
     def import_texts(self) -> DataFrame:
         """Pasted texts: every document, and every page address in prose."""
-        return self.stored("import_texts", self._import_texts, files=8)
+        return self.stored("import_texts", self._import_texts, spread=True)
 
     def _import_texts(self) -> DataFrame:
         docs = self.source("documents")
@@ -318,7 +333,7 @@ class Tables:
                 ((F.col("doc_id") % 5 - 2) * 100).alias("offset_ms"), (F.size(lines) * 2500 + 5000).cast("bigint").alias("duration_ms"),
             )
 
-        return self.stored("lyric_texts", build, files=8)
+        return self.stored("lyric_texts", build, spread=True)
 
     @property
     def lyric_parsed(self) -> DataFrame:
@@ -369,7 +384,7 @@ class Tables:
                 origin.alias("origin"), F.concat(F.lit("  at "), level, F.lit(" track "), "track_id", F.lit(" ")).alias("line"),
             )
 
-        return self.stored("logs", build, files=4)
+        return self.stored("logs", build, spread=True)
 
     @property
     def jobs(self) -> DataFrame:
@@ -385,7 +400,7 @@ class Tables:
                 (F.col("value") / 500).alias("progress"),
             )
 
-        return self.stored("jobs", build, files=4)
+        return self.stored("jobs", build, spread=True)
 
     @property
     def progress(self) -> DataFrame:
@@ -400,7 +415,7 @@ class Tables:
                 ((F.col("beat_idx") % 10) * 2).alias("completed"), F.when(F.col("event_id") % 9 != 0, F.lit(20).cast("bigint")).alias("total"),
             )
 
-        return self.stored("progress", build, files=4)
+        return self.stored("progress", build, spread=True)
 
     @property
     def levels(self) -> DataFrame:
@@ -410,7 +425,7 @@ class Tables:
                 "track_id", "event_id", F.floor(F.col("beat_us") / 1000).alias("ts_ms"), left.alias("left"), (1 - left).alias("right")
             )
 
-        return self.stored("levels", build, files=4)
+        return self.stored("levels", build, spread=True)
 
     @property
     def metrics(self) -> DataFrame:
@@ -433,7 +448,7 @@ class Tables:
                 (F.col("block_no") * 64).alias("first_frame"), F.lit(4000).alias("sample_rate"), F.col("embedding").alias("samples"), "vec_id",
             )
 
-        return self.stored("blocks", build, files=8)
+        return self.stored("blocks", build, spread=True)
 
     @property
     def stereo(self) -> DataFrame:

@@ -217,7 +217,7 @@ def parsed(t):
 def ordered_candidates(t):
     """Candidates with their place in the whole batch, keys not yet unique across line and token."""
     seq = F.shiftleft(F.col("line_no").cast("bigint"), 32) + F.col("token_no")
-    return t.stored("candidates", lambda: parsed(t).withColumn("seq", seq).withColumn("blocked", F.col("line_no") % 11 == 10), files=8)
+    return t.stored("candidates", lambda: parsed(t).withColumn("seq", seq).withColumn("blocked", F.col("line_no") % 11 == 10), spread=True)
 
 
 view("v_ordered", "SELECT *, line_no::BIGINT * 4294967296 + token_no AS seq, line_no % 11 = 10 AS blocked FROM v_import")

@@ -13,9 +13,9 @@ from stave.streaming import rules as R
 from stave.streaming.results import ingest_results
 from stave.streaming.runner import read_files, run_append, run_updates
 
-def stream(t: Tables, name: str, df, max_files: int = 1):
-    """The files of a stored catalogue table as a stream, in any order."""
-    return read_files(t.spark, t.path(name), df.schema, max_files)
+def stream(t: Tables, name: str, df, batches: int = 8):
+    """The files of a stored catalogue table as a stream, in any order, in so many micro-batches at most."""
+    return read_files(t.spark, t.path(name), df.schema, max(1, -(-len(df.inputFiles()) // batches)))
 
 
 def live(t: Tables, name: str, df, axis: str):

@@ -14,7 +14,7 @@ def plan(df) -> str:
 @pytest.mark.parametrize("table", ["search_rows", "lyric_results", "tracks"])
 def test_growing_tables_are_not_broadcast(spark, monkeypatch, table):
     stored = Tables.stored
-    monkeypatch.setattr(Tables, "stored", lambda self, name, build, files=None: build() if name == table else stored(self, name, build, files))
+    monkeypatch.setattr(Tables, "stored", lambda self, name, build, spread=False: build() if name == table else stored(self, name, build, spread))
     assert "Broadcast" not in plan(getattr(Tables(spark, SF), table))
 
 
@@ -25,3 +25,31 @@ def test_search_rows_are_parsed_once(spark):
     found = scan_search_results(rows)
     assert found.count() == 1
     assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_files_that_land_are_bounded_and_in_order(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from stave.plans import bindings
+
+    monkeypatch.setattr(bindings, "LANDED_ROWS", 100)
+    table = Tables(spark, str(tmp_path))
+    rows = spark.range(2000).select(F.col("id"), (F.col("id") * 37 % 2000).alias("at"))
+    landed = spark.read.parquet(table.landed("bounded", rows, "at")).withColumn("file", F.input_file_name()).withColumn("when", F.col("_metadata.file_modification_time"))
+    files = landed.groupBy("file", "when").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).orderBy("when").collect()
+    assert sum(f.n for f in files) == 2000 and max(f.n for f in files) <= 150
+    assert all(a.high < b.low for a, b in zip(files, files[1:]))
+
+
+def test_stored_tables_follow_their_size(spark, monkeypatch, tmp_path):
+    """No fixed number of tasks: more rows are more files."""
+    from stave.plans.bindings import Tables as T
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        files = [len(T(spark, str(tmp_path)).stored(f"spread{n}", lambda n=n: spark.range(n).selectExpr("id", "uuid() AS u"), spread=True).inputFiles()) for n in (100, 200_000)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    assert files[0] == 1 and files[1] > 8
