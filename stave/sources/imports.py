@@ -31,13 +31,11 @@ def parse_import_text(texts: DataFrame, listing: DataFrame) -> DataFrame:
     Every address in a line is a candidate; a line without any is a stored file
     (path in ``listing``) or, up to 180 bytes, a search.
     """
-    lines = texts.select("batch_id", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line")).withColumn(
-        "line", trimmed(F.col("line"))
-    ).where(F.col("line") != "")
+    # trimmed before they become rows, so that no filter on a line trims it again
+    lines = texts.select("batch_id", F.posexplode(F.transform(F.split("text", r"\r?\n"), trimmed)).alias("line_no", "line")).where(F.col("line") != "")
     linked = F.col("line").contains("http://") | F.col("line").contains("https://")
-    tokens = lines.where(linked).select(
-        "batch_id", "line_no", F.posexplode(F.split("line", r"\s+")).alias("token_no", "token")
-    ).withColumn("input", F.regexp_replace("token", r"""^[,;:()\[\]<>"']+|[,;:()\[\]<>"']+$""", ""))
+    bared = F.transform(F.split("line", r"\s+"), lambda token: F.regexp_replace(token, r"""^[,;:()\[\]<>"']+|[,;:()\[\]<>"']+$""", ""))
+    tokens = lines.where(linked).select("batch_id", "line_no", F.posexplode(bared).alias("token_no", "input"))
     urls = tokens.where(F.col("input").startswith("http://") | F.col("input").startswith("https://"))
     provider, listed = X.provider_of(F.col("input")), X.is_playlist(F.col("input"))
     remote = urls.select(

@@ -53,3 +53,13 @@ def test_stored_tables_follow_their_size(spark, monkeypatch, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
     assert files[0] == 1 and files[1] > 8
+
+
+def test_import_lines_are_trimmed_once(spark):
+    from stave.sources.imports import parse_import_text
+
+    texts = spark.createDataFrame([("a", " x \nhttps://e.com/1,")], "batch_id string, text string")
+    found = parse_import_text(texts, spark.createDataFrame([("/x",)], "path string"))
+    assert sorted(r.input for r in found.collect()) == ["https://e.com/1", "x"]
+    filters = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter " in line]
+    assert filters and not any("regexp_replace" in line for line in filters)
