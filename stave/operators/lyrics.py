@@ -41,14 +41,17 @@ def active_lyric_line(positions: DataFrame, docs: DataFrame, lines: DataFrame) -
     )
 
 
-def active_lyric_word(active: DataFrame, words: DataFrame) -> DataFrame:
-    """Word sounding within each active line; -1 before its first word."""
+def active_lyric_word(active: DataFrame, lines: DataFrame) -> DataFrame:
+    """Word sounding within each active line; -1 before its first word.
+
+    ``lines`` hold their words as an array, of which only the starts travel, once a line.
+    """
     lit = active.where(F.col("line_no").isNotNull())
-    found = asof(
-        lit, words.select("track_id", "line_no", "word_no", "start_ms"), ["track_id", "line_no"], F.col("at_ms"),
-        F.col("start_ms"), ["word_no"], ties=["word_no"], before="_h",
-    )
-    return found.select(*active.columns, F.coalesce(F.col("_h.word_no"), F.lit(-1)).cast("int").alias("word_no"))
+    timed = lines.where(F.size("words") > 0).select("track_id", "line_no", F.col("words.start_ms").alias("_starts"))
+    begun = F.filter(F.transform("_starts", lambda start, i: F.struct(start.alias("at"), i.alias("no"))), lambda w: w["at"] <= F.col("at_ms"))
+    # the latest start, and of equal ones the last word
+    return lit.join(timed.hint("merge"), ["track_id", "line_no"], "left").select(
+        *[F.col(n) for n in active.columns], F.coalesce(F.array_max(begun)["no"], F.lit(-1)).cast("int").alias("word_no"))
 
 
 def estimated_line(positions: DataFrame, docs: DataFrame) -> DataFrame:

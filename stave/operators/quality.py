@@ -168,32 +168,40 @@ def check_practice_state(practice, edits, markers, regions, stem_mix, tracks) ->
     return out
 
 
-def check_lyrics(docs: DataFrame, lines: DataFrame, words: DataFrame) -> DataFrame:
-    """Lyric documents (language, offset_ms), their lines and words."""
+def check_lyrics(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Lyric documents (language, offset_ms) and their lines, which hold their words as an array.
+
+    A line's text and words are judged where they are; only its times and counts are shuffled.
+    """
     head = tally(docs, ["track_id"], {
         "language": (F.trim("language") == "") | (F.char_length("language") > 35) | F.col("language").rlike(CONTROL),
         "offset": F.abs("offset_ms") > 30_000,
     })
-    lane = annotate(lines, ["track_id"], ["line_no"], last={"_s": F.col("start_ms")})
-    lane = annotate(lane, ["track_id"], ["line_no"], lag={"_ps": F.col("_s")})
     start, end = F.col("start_ms"), F.col("end_ms")
-    per_line = tally(lane, ["track_id"], {
-        "line text": (F.trim("text") == "") | (F.char_length("text") > 4_096) | F.col("text").contains("\x00"),
-        "line order": F.coalesce(start < F.col("_ps"), F.lit(False)),
-        "line range": F.coalesce(end <= start, F.lit(False)) | (start.isNull() & end.isNotNull()),
-    })
-    spans = lines.select("track_id", "line_no", F.col("start_ms").alias("_ls"), F.col("end_ms").alias("_le"))
-    spoken = annotate(words, ["track_id", "line_no"], ["word_no"], lag={"_pw": F.col("start_ms")}).join(spans, ["track_id", "line_no"], "left")
-    per_word = tally(spoken, ["track_id"], {
-        "word text": (F.trim("text") == "") | (F.char_length("text") > 512),
-        "word order": F.coalesce(start < F.col("_pw"), F.lit(False)),
-        "word range": F.coalesce(end <= start, F.lit(False)),
-        "word outside line": F.coalesce(start < F.col("_ls"), F.lit(False)) | F.coalesce(start >= F.col("_le"), F.lit(False)),
-    })
-    return (
-        head.unionByName(per_line).unionByName(per_word).unionByName(too_many(lines, ["track_id"], "line count", V.MAX_LYRIC_LINES))
-        .unionByName(too_many(words, ["track_id"], "word count", V.MAX_LYRIC_WORDS))
-    )
+    earlier = F.concat(F.array(F.lit(None).cast("bigint")), F.slice("words.start_ms", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))))
+    pairs = F.zip_with("words", earlier, lambda word, before: F.struct(word.alias("word"), before.alias("before")))
+    word_rules = {
+        "word text": lambda w, before: (F.trim(w["text"]) == "") | (F.char_length(w["text"]) > 512),
+        "word order": lambda w, before: F.coalesce(w["start_ms"] < before, F.lit(False)),
+        "word range": lambda w, before: F.coalesce(w["end_ms"] <= w["start_ms"], F.lit(False)),
+        "word outside line": lambda w, before: F.coalesce(w["start_ms"] < start, F.lit(False)) | F.coalesce(w["start_ms"] >= end, F.lit(False)),
+    }
+
+    def broken(rule) -> Column:
+        return F.size(F.filter("_pairs", lambda p: F.coalesce(rule(p["word"], p["before"]), F.lit(True))))
+
+    text = (F.trim("text") == "") | (F.char_length("text") > 4_096) | F.col("text").contains("\x00")
+    words = F.when(F.size("words") > 0, F.size("words")).otherwise(0)
+    judged = lines.withColumn("_pairs", F.when(F.size("words") > 0, pairs).otherwise(F.slice(pairs, 1, 0))).select(
+        "track_id", "line_no", "start_ms", "end_ms", F.coalesce(text, F.lit(True)).alias("_text"), words.alias("_words"), *[broken(rule).alias(name) for name, rule in word_rules.items()])
+    lane = annotate(judged, ["track_id"], ["line_no"], last={"_s": start})
+    lane = annotate(lane, ["track_id"], ["line_no"], lag={"_ps": F.col("_s")})
+    counts = lane.groupBy("track_id").agg(
+        F.count_if("_text").alias("line text"), F.count_if(F.coalesce(start < F.col("_ps"), F.lit(False))).alias("line order"),
+        F.count_if(F.coalesce(end <= start, F.lit(False)) | (start.isNull() & end.isNotNull())).alias("line range"),
+        *[F.sum(f"`{name}`").alias(name) for name in word_rules],
+        (F.count(F.lit(1)) - V.MAX_LYRIC_LINES).alias("line count"), (F.sum("_words") - V.MAX_LYRIC_WORDS).alias("word count"))
+    return head.unionByName(_long(counts, ["track_id"], ["line text", "line order", "line range", *word_rules, "line count", "word count"]))
 
 
 def check_export(segments: DataFrame) -> DataFrame:

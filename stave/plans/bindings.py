@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -24,6 +24,8 @@ from stave.session import new_dir, shared_dir
 _written: set[str] = set()
 #: Rows of a file that lands, at most.
 LANDED_ROWS = 2_000_000
+#: Lyric files that a task makes and parses, on the average.
+TASK_TEXTS = 2_000
 
 
 class Tables:
@@ -304,42 +306,55 @@ class Tables:
 
     @property
     def lyric_texts(self) -> DataFrame:
-        """Documents as lyric files: plain, line-tagged or word-tagged."""
-        def build():
-            kind = F.col("doc_id") % 3
-            lines = F.split("text", "\n")
+        """Documents as lyric files: plain, line-tagged or word-tagged.
 
-            def plain(line, i):
-                return line
+        Not stored: a text is made where it is read, of documents dealt evenly over tasks, whose number follows theirs.
+        """
+        kind = F.col("doc_id") % 3
+        lines = F.split("text", "\n")
 
-            def tagged(line, i):
-                at = i * 2500
-                twice = F.when(i % 7 == 3, F.concat(F.lit("["), lrc_time(at + 1000), F.lit("]"))).otherwise("")
-                return F.concat(F.lit("["), lrc_time(at), F.lit("]"), twice, line)
+        def plain(line, i):
+            return line
 
-            def worded(line, i):
-                words = F.transform(
-                    F.split(line, " "),
-                    lambda w, j: F.concat(F.lit("<"), lrc_time(i * 2500 + j * 150), F.lit(">"), w, F.lit(" ")),
-                )
-                return F.concat(F.lit("["), lrc_time(i * 2500), F.lit("]"), F.array_join(words, ""))
+        def tagged(line, i):
+            at = i * 2500
+            twice = F.when(i % 7 == 3, F.concat(F.lit("["), lrc_time(at + 1000), F.lit("]"))).otherwise("")
+            return F.concat(F.lit("["), lrc_time(at), F.lit("]"), twice, line)
 
-            made = (
-                F.when(kind == 0, F.transform(lines, plain)).when(kind == 1, F.transform(lines, tagged))
-                .otherwise(F.transform(lines, worded))
-            )
-            return self.source("documents").select(
-                F.concat(F.lit("d"), "doc_id").alias("track_id"), F.array_join(made, "\n").alias("text"),
-                ((F.col("doc_id") % 5 - 2) * 100).alias("offset_ms"), (F.size(lines) * 2500 + 5000).cast("bigint").alias("duration_ms"),
+        def worded(line, i):
+            words = F.transform(
+                F.split(line, " "),
+                lambda w, j: F.concat(F.lit("<"), lrc_time(i * 2500 + j * 150), F.lit(">"), w, F.lit(" ")),
             )
+            return F.concat(F.lit("["), lrc_time(i * 2500), F.lit("]"), F.array_join(words, ""))
+
+        made = (
+            F.when(kind == 0, F.transform(lines, plain)).when(kind == 1, F.transform(lines, tagged))
+            .otherwise(F.transform(lines, worded))
+        )
+        docs = self.source("documents").select("doc_id", "text")
+        tasks = max(1, -(-docs.count() // TASK_TEXTS))
+        return docs.repartition(tasks, F.xxhash64("doc_id", "text")).select(self._lyric_id, F.array_join(made, "\n").alias("text"), *self._lyric_times)
 
-        return self.stored("lyric_texts", build, spread=True)
+    @property
+    def lyric_heads(self) -> DataFrame:
+        """Lyric files without their texts."""
+        return self.source("documents").select(self._lyric_id, *self._lyric_times)
+
+    @property
+    def _lyric_id(self) -> Column:
+        return F.concat(F.lit("d"), "doc_id").alias("track_id")
+
+    @property
+    def _lyric_times(self) -> list[Column]:
+        n_lines = F.size(F.split("text", "\n"))
+        return [((F.col("doc_id") % 5 - 2) * 100).alias("offset_ms"), (n_lines * 2500 + 5000).cast("bigint").alias("duration_ms")]
 
     @property
     def lyric_parsed(self) -> DataFrame:
         from stave.sources.lyrics import parse_lrc_rows
 
-        return self.stored("lyric_parsed", lambda: parse_lrc_rows(self.lyric_texts))
+        return self.stored("lyric_parsed", lambda: parse_lrc_rows(self.lyric_texts, self.lyric_heads))
 
     @property
     def lyric_lines(self) -> DataFrame:
@@ -356,15 +371,14 @@ class Tables:
         from stave.operators.lyrics import sync_levels
 
         def build():
-            levels = sync_levels(self.lyric_lines, self.lyric_words)
-            return self.lyric_texts.select("track_id", "offset_ms", "duration_ms").join(levels, "track_id")
+            levels = sync_levels(self.lyric_lines, self.lyric_parsed.where(F.size("words") > 0))
+            return self.lyric_heads.join(levels.hint("merge"), "track_id")
 
         return self.stored("lyric_docs", build)
 
     @property
     def lyric_positions(self) -> DataFrame:
-        docs = self.lyric_texts.select("track_id", "duration_ms")
-        return docs.select(
+        return self.lyric_heads.select(
             "track_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("duration_ms") / 2500).cast("int") - 3)).alias("query_id")
         ).withColumn("now_ms", (F.col("query_id") * 2500 + 1234).cast("bigint"))
 

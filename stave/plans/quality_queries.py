@@ -51,13 +51,13 @@ SELECT track_id, query_id, query_id * 2500 + 1234 AS now_ms FROM (SELECT track_i
 
 @query("parse_lrc", "SELECT track_id, line_no, text, coalesce(start_ms, -1) AS start_ms, coalesce(end_ms, -1) AS end_ms FROM v_lrc_lines")
 def parse_lrc(t):
-    lines, _ = LY.parse_lrc(t.lyric_texts)
+    lines, _ = LY.parse_lrc(t.lyric_texts, t.lyric_heads)
     return lines.select("track_id", "line_no", "text", F.coalesce("start_ms", F.lit(-1)).alias("start_ms"), F.coalesce("end_ms", F.lit(-1)).alias("end_ms"))
 
 
 @query("parse_lrc_words", "SELECT track_id, line_no, word_no::INT AS word_no, text, start_ms, coalesce(end_ms, -1) AS end_ms FROM v_lrc_words")
 def parse_lrc_words(t):
-    _, words = LY.parse_lrc(t.lyric_texts)
+    _, words = LY.parse_lrc(t.lyric_texts, t.lyric_heads)
     return words.select("track_id", "line_no", "word_no", "text", "start_ms", F.coalesce("end_ms", F.lit(-1)).alias("end_ms"))
 
 
@@ -105,7 +105,7 @@ FROM (SELECT *, CASE WHEN line_no % 5 = 0 THEN end_ms END AS e, (SELECT arg_min(
   FROM v_lrc_lines a JOIN (SELECT track_id, duration_ms FROM v_lyric_texts) USING (track_id))""")
 def lyric_line_ends(t):
     open_ends = t.lyric_lines.withColumn("end_ms", F.when(F.col("line_no") % 5 == 0, F.col("end_ms")))
-    return L.lyric_line_ends(open_ends, t.lyric_texts.select("track_id", "duration_ms")).select("track_id", "line_no", F.coalesce("end_ms", F.lit(-1)).alias("end_ms"))
+    return L.lyric_line_ends(open_ends, t.lyric_heads.select("track_id", "duration_ms")).select("track_id", "line_no", F.coalesce("end_ms", F.lit(-1)).alias("end_ms"))
 
 
 _ACTIVE = """
@@ -127,7 +127,7 @@ def active_lyric_line(t):
 SELECT a.track_id, query_id::INT AS query_id, a.line_no, coalesce(max(word_no) FILTER (start_ms <= at_ms), -1)::INT AS word_no FROM v_active a
 LEFT JOIN v_lrc_words w ON w.track_id = a.track_id AND w.line_no = a.line_no WHERE a.line_no IS NOT NULL GROUP BY ALL""")
 def active_lyric_word(t):
-    return L.active_lyric_word(active(t), t.lyric_words).select("track_id", "query_id", "line_no", "word_no")
+    return L.active_lyric_word(active(t), t.lyric_parsed).select("track_id", "query_id", "line_no", "word_no")
 
 
 @query("estimated_line", """
@@ -199,9 +199,9 @@ UNION ALL SELECT track_id, 'line count', count(*) - 10000 FROM l GROUP BY track_
 def check_lyrics(t):
     docs = t.lyric_docs.withColumn("language", F.when(F.col("offset_ms") == 100, " ").otherwise("en")).withColumn("offset_ms", F.col("offset_ms") * 200)
     n = F.col("line_no") % 10
-    lines = t.lyric_lines.withColumn("end_ms", F.when(n == 5, F.col("start_ms")).otherwise(F.col("end_ms"))).withColumn(
+    lines = t.lyric_parsed.withColumn("end_ms", F.when(n == 5, F.col("start_ms")).otherwise(F.col("end_ms"))).withColumn(
         "start_ms", F.when(n == 9, F.col("start_ms") - 9000).otherwise(F.col("start_ms")))
-    return Q.check_lyrics(docs, lines, t.lyric_words)
+    return Q.check_lyrics(docs, lines)
 
 
 @query("check_chords", """
