@@ -10,12 +10,15 @@ inside one block, and only reduced rows are grouped per track.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from stave.functions.scalars import stem_gains
 from stave.functions.vocabulary import MAX_PEAK_BUCKETS
@@ -90,6 +93,23 @@ def _with_edges(blocks: DataFrame, before: int, after: int) -> DataFrame:
     return out
 
 
+#: Bytes of rows that Python works on at a time.
+SLICE_BYTES = 2 << 20
+
+
+def map_slices(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, multiple: int = 1) -> DataFrame:
+    """``run`` over frames of some ``SLICE_BYTES``, of ``multiple`` rows or whole multiples, so that arrays become Python objects by the slice, not by the batch."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = max(1, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes) // multiple) * multiple
+            for low in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_pandas(run(batch.slice(low, rows).to_pandas()), schema=kind, preserve_index=False)
+
+    return df.mapInArrow(sliced, schema)
+
+
 def _array(value) -> np.ndarray:
     return np.zeros(0) if value is None else np.asarray(value, dtype=np.float64)
 
@@ -214,14 +234,14 @@ def k_weight(blocks: DataFrame, block_frames: int) -> DataFrame:
     """Blocks of the first two channels after K-weighting, each at its own rate."""
     prepared = _with_history(blocks.where("channel < 2"), HALO_S, block_frames)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weigh = _Weighting(HALO_S)
-        for b in batches:
-            out = [weigh(s, h, r) for s, h, r in zip(b["samples"], b["history"], b["sample_rate"])]
-            yield b[["track_id", "channel", "block_no", "first_frame", "sample_rate"]].assign(samples=out)
+    weigh = _Weighting(HALO_S)
 
-    return prepared.select(*BLOCK, "first_frame", "sample_rate", "samples", "history").mapInPandas(
-        run, "track_id string, channel int, block_no bigint, first_frame bigint, sample_rate int, samples array<double>")
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        out = [weigh(s, h, int(r)) for s, h, r in zip(b["samples"], b["history"], b["sample_rate"])]
+        return b[["track_id", "channel", "block_no", "first_frame", "sample_rate"]].assign(samples=out)
+
+    return map_slices(
+        prepared.select(*BLOCK, "first_frame", "sample_rate", "samples", "history"), run, "track_id string, channel int, block_no bigint, first_frame bigint, sample_rate int, samples array<double>")
 
 
 def _window(rate):
