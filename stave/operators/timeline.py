@@ -78,6 +78,7 @@ def annotate(
     running: Mapping[str, Column] | None = None,
     peak: Mapping[str, Column] | None = None,
     hot: DataFrame | None | object = PROBE,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add order-dependent columns per key.
 
@@ -86,7 +87,8 @@ def annotate(
     and ``lead`` the neighbouring row's value, ``last`` the last non-null value
     up to and including the row, ``upcoming`` the first non-null value from the
     row on, ``running`` the inclusive sum and ``peak`` the maximum over strictly
-    earlier rows. ``hot`` is the answer of an earlier :func:`hot_keys`.
+    earlier rows. ``hot`` is the answer of an earlier :func:`hot_keys`;
+    ``tasks`` the number of tasks the rows are dealt over, instead of the session's.
     """
     keys, order = list(keys), list(order)
     lag, lead, last = dict(lag or {}), dict(lead or {}), dict(last or {})
@@ -100,6 +102,8 @@ def annotate(
         by, source = [*keys, "_blk"], _carry(blocked, keys, order, ordinal, lag, lead, last, upcoming, running, peak)
     else:
         by, source = keys, df
+    if tasks:
+        source = source.repartition(tasks, *by)
 
     forward = Window.partitionBy(*by).orderBy(*order)
     to_here = forward.rowsBetween(Window.unboundedPreceding, 0)
@@ -197,6 +201,7 @@ def asof(
     before: str | None = "prev",
     after: str | None = None,
     equal: str = "before",
+    tasks: int | None = None,
 ) -> DataFrame:
     """For each point, the latest anchor at or before it and/or the first after it.
 
@@ -234,8 +239,10 @@ def asof(
         ["_t", "_side", *[f"_tie{i}" for i in range(len(ties))]],
         last={"_before": F.col("_a")} if before else None,
         upcoming={"_after": F.col("_a")} if after else None,
+        tasks=tasks,
     ).where(F.col("_side") == 1)
-    kept = [F.col("_p")[n].alias(n) for n in names]
+    # the keys as they are, so that their partitioning is kept
+    kept = [F.col(n) if n in keys else F.col("_p")[n].alias(n) for n in names]
     if before:
         kept.append(F.col("_before").alias(before))
     if after:

@@ -95,3 +95,25 @@ def test_lyric_words_stay_in_their_lines(spark):
     assert sorted((r.query_id, r.word_no) for r in active_lyric_word(active, lines).collect()) == [(0, 0), (1, 1), (2, -1), (3, -1)]
     twice = spark.createDataFrame([("a", "[00:01.00]x"), ("a", "[00:99.00]y"), ("b", "ok")], "track_id string, text string")
     assert sorted((r.track_id, r.verdict, r.n_lines) for r in lrc_validate(twice).collect()) == [("a", "invalid timestamp", 2), ("a", "invalid timestamp", 2), ("b", "ok", 1)]
+
+
+def test_python_works_on_slices(spark, monkeypatch):
+    """A frame holds a bounded number of bytes, however many rows a batch has."""
+    import pandas as pd
+
+    from stave.operators import signal
+
+    monkeypatch.setattr(signal, "SLICE_BYTES", 8_000)
+    rows = spark.range(0, 1000, numPartitions=1).selectExpr("id", "array_repeat(double(id), 100) AS samples")
+    sizes = signal.map_slices(rows, lambda b: pd.DataFrame({"n": [len(b)]}), "n bigint", multiple=2).collect()
+    assert sum(r.n for r in sizes) == 1000 and max(r.n for r in sizes) <= 10
+
+
+def test_energy_tasks_follow_the_rows(spark, monkeypatch):
+    from stave.operators import telemetry
+
+    monkeypatch.setattr(telemetry, "TASK_ROWS", 10)
+    levels = spark.range(30).selectExpr("concat('t', id % 3) AS track_id", "id * 100 AS ts_ms", "0.5D AS left", "0.25D AS right")
+    made = telemetry.energy_history(levels, levels.selectExpr("track_id", "ts_ms AS point_id", "ts_ms"), 1000)
+    assert "hashpartitioning(track_id" in plan(made) and ", 9), REPARTITION_BY_NUM" in plan(made)
+    assert {(r.max_left, r.avg_right) for r in made.collect()} == {(0.5, 0.25)}
