@@ -42,22 +42,27 @@ def _timed(rows: DataFrame, delay: str) -> DataFrame:
     return rows.withColumn("ts", F.timestamp_millis(F.col("ts_ms") + 1)).withWatermark("ts", delay)
 
 
-def job_summary(events: DataFrame, delay: str = "1 hour", ttl_ms: int = 7 * ST.DAY_MS) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, delay: str, slots: int):
+    """Timed rows by the slot of their key, the group of a stateful function."""
+    return _timed(rows, delay).withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(slots))).groupBy("_slot")
+
+
+def job_summary(events: DataFrame, delay: str = "1 hour", ttl_ms: int = 7 * ST.DAY_MS, order: tuple[str, ...] = ("order_no",), slots: int = ST.SLOTS) -> DataFrame:
     """Completed and failed jobs of each import batch that changed, and whether all expected ones are settled (update mode).
 
-    ``events``: batch_id, expected, job_id, state, order_no (grows with time), ts_ms.
+    ``events``: batch_id, expected, job_id, state, order_no (grows with time; or the numbers named by ``order``), ts_ms.
     """
-    return _timed(events, delay).groupBy("batch_id").applyInPandasWithState(ST.summarize(ttl_ms), ST.SUMMARY, ST.JOBS, "update", GroupStateTimeout.EventTimeTimeout)
+    return _dealt(events, "batch_id", delay, slots).applyInPandasWithState(ST.summarize([*order], ttl_ms), ST.SUMMARY, ST.SLOT_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def stem_eta(progress: DataFrame, delay: str = "1 minute", ttl_ms: int = ST.DAY_MS) -> DataFrame:
+def stem_eta(progress: DataFrame, delay: str = "1 minute", ttl_ms: int = ST.DAY_MS, slots: int = ST.SLOTS) -> DataFrame:
     """Remaining time after each progress report (append mode); a report older than the job's last is late and gives none."""
-    return _timed(progress, delay).groupBy("job_id").applyInPandasWithState(ST.eta(ttl_ms), T.ETA, ST.ETA_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return _dealt(progress, "job_id", delay, slots).applyInPandasWithState(ST.eta(ttl_ms), T.ETA, ST.SLOT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def meter(levels: DataFrame, response: str = "medium", hold: str = "oneSecond", delay: str = "1 minute", ttl_ms: int = ST.DAY_MS) -> DataFrame:
+def meter(levels: DataFrame, response: str = "medium", hold: str = "oneSecond", delay: str = "1 minute", ttl_ms: int = ST.DAY_MS, slots: int = ST.SLOTS) -> DataFrame:
     """Meter level and held peak after each reading (append mode); a reading older than the track's last is late and gives none."""
-    return _timed(levels, delay).groupBy("track_id").applyInPandasWithState(ST.meter(response, hold, ttl_ms), T.METER, ST.METER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return _dealt(levels, "track_id", delay, slots).applyInPandasWithState(ST.meter(response, hold, ttl_ms), T.METER, ST.SLOT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedupe_candidates(candidates: DataFrame, delay: str = "1 hour") -> DataFrame:
