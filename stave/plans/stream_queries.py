@@ -10,6 +10,7 @@ from stave.plans.chord_queries import r6
 from stave.plans.quality_queries import eta_ms, worker_rows
 from stave.plans.registry import ORACLES, query
 from stave.streaming import rules as R
+from stave.streaming import stateful as ST
 from stave.streaming.results import ingest_results
 from stave.streaming.runner import read_files, run_append, run_updates
 
@@ -49,9 +50,15 @@ def stream_energy(t):
 
 @query("stream_job_summary", same_as="import_batch_summary")
 def stream_job_summary(t):
-    """The last summary of each batch, where it is settled."""
-    rows = live(t, "jobs", t.jobs, "event_id").select("*", F.col("event_id").alias("order_no"), F.unix_millis("ts").alias("ts_ms"))
-    return run_updates(R.job_summary(rows), ["batch_id"], "stream_jobs").where("settled").drop("settled")
+    """The last summary of each batch, where it is settled.
+
+    Files arrive in the order of time, which that of the ids need not be; a batch may rest as long as the table spans.
+    """
+    us = F.unix_micros("ts")
+    rows = live(t, "jobs", t.jobs, "ts").select("*", us.alias("ts_us"), F.floor(us / 1000).alias("ts_ms"))
+    span = t.jobs.agg(F.max(us) - F.min(us)).first()[0] or 0
+    done = run_updates(R.job_summary(rows, ttl_ms=span // 1000 + ST.DAY_MS, order=("ts_us", "event_id")), ["batch_id"], "stream_jobs")
+    return done.where("settled").drop("settled")
 
 
 @query("stream_eta", same_as="stem_eta")

@@ -1,6 +1,7 @@
 """Stateful streams deal their keys to slots, so that calls and states do not grow with keys times micro-batches."""
 
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -121,3 +122,16 @@ def test_states_do_not_grow_with_keys(spark):
     made = N.run_append(R.meter(N.read_files(spark, folder, spark.read.parquet(folder).schema, 1), slots=8), "meter", out)
     assert made.count() == 1400
     assert spark.read.format("statestore").load(f"{out}/checkpoint").count() == 8
+
+def test_jobs_against_time_and_after_a_rest(spark, tmp_path):
+    """Ids that run against time, and a batch that rests for longer than the rule's time to live."""
+    import __spark_entry__ as entry
+
+    day, rng, rows = 86_400, random.Random(2), []
+    for user in range(40):
+        moments = sorted(rng.uniform(0, 5 * day) if rng.random() < 0.6 else rng.uniform(25 * day, 30 * day) for _ in range(12))
+        rows += [(user * 100 + 11 - i, datetime(2024, 1, 1) + timedelta(seconds=s), user, rng.choice(["view", "error", "purchase", "purchase"]), 1.0, None) for i, s in enumerate(moments)]
+    frame = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    frame.write.parquet(f"{tmp_path}/events.parquet")
+    got, twin = ({tuple(r) for r in entry.queries()[n](spark, str(tmp_path)).select("batch_id", "completed", "failed").collect()} for n in ("stream_job_summary", "import_batch_summary"))
+    assert got == twin and len(twin) > 3
